@@ -7,16 +7,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestore.llm import bpe, crf, mixing, secrets, simhash
+from lodestore.llm import bpe, chat, crf, html_text, mixing, mtree, secrets, simhash, url_filter, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_vectors": vectors.op1,
+    "op2_urls": url_filter.op2,
+    "op3_chat": chat.op3,
     "op4_mixing": mixing.op4,
     "op5_bpe": bpe.op5,
     "op6_quality": crf.op6,
+    "op7_html": html_text.op7,
+    "op8_mtree": mtree.op8,
     "op9_simhash": simhash.op9,
     "op10_secrets": secrets.op10,
 }
-ORACLES: dict[str, str] = {"op4_mixing": mixing.OP4_SQL}
+ORACLES: dict[str, str] = {"op1_vectors": vectors.OP1_SQL, "op2_urls": url_filter.OP2_SQL, "op3_chat": chat.OP3_SQL, "op4_mixing": mixing.OP4_SQL, "op8_mtree": mtree.OP8_SQL}
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,7 +69,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 REQUESTS = (
     HISTORY
     + """, requests AS (
-  SELECT event_id AS id, ts, epoch_ms(ts) AS ts_ms, event_type AS endpoint, ['simple', 'medium', 'complex'][event_id % 3 + 1] AS classification,
+  SELECT event_id AS id, ts, (epoch_us(ts) // 1000) AS ts_ms, event_type AS endpoint, ['simple', 'medium', 'complex'][event_id % 3 + 1] AS classification,
          ['ollama', 'openai-local', 'anthropic', 'openai'][user_id % 4 + 1] AS provider,
          ['ollama', 'openai-local', 'anthropic', 'openai'][user_id % 4 + 1] || '-m' || (k % 3) AS model,
          k * 7 % 2000 AS prompt_tokens, event_id * 13 % 700 AS completion_tokens, CAST(round(value * 10) AS BIGINT) AS latency_ms,

@@ -81,57 +81,78 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _near_tiles(block: np.ndarray, other: np.ndarray, ids: np.ndarray, other_ids: np.ndarray, limit: int, rows: int = 256, cols: int = 4096) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, column, boolean tile) of pairs that may be within ``limit`` of each other in a block; certainly all that are.
+
+    Ids are sorted; tiles in which no pair has the smaller id on the left are left out.
+
+    One product per tile: |a|^2 + |b|^2 - 2ab as an inner product of vectors with two more
+    coordinates, in single precision with a margin.
+    """
+    a, b = block.astype(np.float32) / UNIT, other.astype(np.float32) / UNIT
+    na, nb = (a * a).sum(1, keepdims=True), (b * b).sum(1, keepdims=True)
+    a = np.hstack([a, -na / 2, np.ones_like(na)])
+    b = np.hstack([b, np.ones_like(nb), -nb / 2])
+    least = np.float32(-limit / UNIT**2 / 2 - 2e-5)
+    for i in range(0, len(a), rows):
+        for j in range(0, len(b), cols):
+            if other_ids[min(j + cols, len(b)) - 1] > ids[i]:
+                yield i, j, a[i : i + rows] @ b[j : j + cols].T >= least
+
+
 def join_cell(block: int, home: np.ndarray, other: np.ndarray, home_id: np.ndarray, other_id: np.ndarray, home_n: np.ndarray, other_n: np.ndarray, min_cos: float):
     """Links of one cell: (counts by id, forest edges, pairs to be checked exactly). A pair counts where the smaller id is at home."""
     dims = home.shape[1]
     limit, sure, beyond = radii(dims, min_cos)
     parts = blocks_of(dims)
-    counts: dict[int, int] = {}
+    order, other_order = np.argsort(home_id), np.argsort(other_id)
+    home, home_id, home_n = home[order], home_id[order], home_n[order]
+    other, other_id, other_n = other[other_order], other_id[other_order], other_n[other_order]
+    counts_home, counts_other = np.zeros(len(home), np.int64), np.zeros(len(other), np.int64)
     edges: list[tuple[int, int]] = []
     check: list[tuple[int, int]] = []
-    step = 1024
-    o = other.astype(np.float64)
-    o_norm = [np.einsum("ij,ij->i", o[:, p], o[:, p]) for p in parts]
-
-    def squared(x: np.ndarray, k: int) -> np.ndarray:  # integers below 2^53: exact
-        p = parts[k]
-        return np.einsum("ij,ij->i", x[:, p], x[:, p])[:, None] + o_norm[k] - 2 * (x[:, p] @ o[:, p].T)
-
-    for i in range(0, len(home), step):
-        x, ids = home[i : i + step].astype(np.float64), home_id[i : i + step]
-        near = squared(x, block) <= limit[block]
-        near &= ids[:, None] < other_id
-        a, b = np.nonzero(near)
-        if not len(a):
+
+    def squared(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:  # integers below 2^53: exact
+        x, y = x[:, parts[k]].astype(np.float64), y[:, parts[k]].astype(np.float64)
+        return (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * (x @ y.T)
+
+    for i, j, near in _near_tiles(home[:, parts[block]], other[:, parts[block]], home_id, other_id, int(limit[block])):
+        ids, there = home_id[i : i + len(near)], other_id[j : j + near.shape[1]]
+        if not near.any():
             continue
-        if len(a) < 0.02 * near.size:
-            links = np.zeros(near.shape, bool)
-            for j in range(0, len(a), 50_000):
-                p, q = a[j : j + 50_000], b[j : j + 50_000]
-                d = np.add.reduceat((x[p] - o[q]) ** 2, [s.start for s in parts], axis=1)
+        x, y = home[i : i + len(near)], other[j : j + near.shape[1]]
+        if near.mean() < 0.02:
+            a, b = np.divmod(np.flatnonzero(near), near.shape[1])
+            keep = ids[a] < there[b]
+            a, b = a[keep], b[keep]
+            near = np.zeros(near.shape, bool)
+            for k in range(0, len(a), 20_000):
+                p, q = a[k : k + 20_000], b[k : k + 20_000]
+                d = np.add.reduceat((x[p].astype(np.int64) - y[q]) ** 2, [s.start for s in parts], axis=1)
                 whole = d.sum(1)
-                first = (d[:, :block] > limit[:block]).all(1) & (whole < beyond)
-                links[p[first & (whole <= sure)], q[first & (whole <= sure)]] = True
-                edge = first & (whole > sure)
-                check += zip(ids[p[edge]].tolist(), other_id[q[edge]].tolist(), strict=True)
+                first = (d[:, block] <= limit[block]) & (d[:, :block] > limit[:block]).all(1) & (whole < beyond)
+                ok, edge = first & (whole <= sure), first & (whole > sure)
+                near[p[ok], q[ok]] = True
+                check += zip(ids[p[edge]].tolist(), there[q[edge]].tolist(), strict=True)
         else:
-            whole = squared(x, block)
+            near &= ids[:, None] < there
+            whole = np.zeros(near.shape)
             for k in range(len(parts)):
-                if k != block:
-                    d = squared(x, k)
-                    if k < block:
-                        near &= d > limit[k]
-                    whole += d
-            links = near & (whole <= sure)
+                d = squared(x, y, k)
+                if k <= block:
+                    near &= d <= limit[k] if k == block else d > limit[k]
+                whole += d
             a, b = np.nonzero(near & (whole > sure) & (whole < beyond))
-            check += zip(ids[a].tolist(), other_id[b].tolist(), strict=True)
-        if links.any():
-            here, there = links @ other_n, home_n[i : i + step] @ links
-            for j in np.flatnonzero(here):
-                counts[int(ids[j])] = counts.get(int(ids[j]), 0) + int(here[j])
-            for j in np.flatnonzero(there):
-                counts[int(other_id[j])] = counts.get(int(other_id[j]), 0) + int(there[j])
-            edges += [(int(other_id[j]) if j >= 0 else int(ids[-1 - j]), int(ids[r])) for j, r in _forest(links)]
+            check += zip(ids[a].tolist(), there[b].tolist(), strict=True)
+            near &= whole <= sure
+        if near.any():
+            counts_home[i : i + len(near)] += near @ other_n[j : j + near.shape[1]]
+            counts_other[j : j + near.shape[1]] += home_n[i : i + len(near)] @ near
+            edges += [(int(there[v]) if v >= 0 else int(ids[-1 - v]), int(ids[r])) for v, r in _forest(near)]
+    counts: dict[int, int] = {}
+    for ids, n in ((home_id, counts_home), (other_id, counts_other)):
+        for k in np.flatnonzero(n):
+            counts[int(ids[k])] = counts.get(int(ids[k]), 0) + int(n[k])
     return counts, edges, check
 
 
@@ -178,7 +199,7 @@ def _spread(classes: DataFrame, grid_dims: int, min_cos: float) -> DataFrame:
 
 def grid_dimensions(rows: int) -> int:
     """So many that cells stay of a like size as the table grows: each further one halves a cell's share or better, and doubles the visits."""
-    return int(np.clip(np.ceil(np.log2(max(rows, 1) / 12_500)), 1, BLOCK_DIMS))
+    return int(np.clip(np.ceil(np.log2(max(rows, 1) / 50_000)), 1, BLOCK_DIMS))
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", min_cos: float = 0.95) -> DataFrame:

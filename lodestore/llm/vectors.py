@@ -26,7 +26,7 @@ from lodestore.session import materialize, python_path
 BLOCK_DIMS = 8
 UNIT = 32767
 #: rows of a cell that one task holds on either side
-CELL_ROWS = 6144
+CELL_ROWS = 16_384
 
 
 def rotation(dims: int, seed: int = 7) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Byte-level BPE: encoding by a priority queue of merge ranks over a doubly linked symbol list.
 
-Each pre-token is a linked list of symbols. The queue holds (rank, position, left id, right id)
-of adjacent pairs; an entry whose symbols have changed since is stale and is skipped. A merge
+Each pre-token is a linked list of symbols. The queue holds ranks and positions of adjacent
+pairs; an entry whose pair has changed since is stale and is skipped. A merge
 joins two list cells and queues the pairs with the new neighbours, so a pre-token of n bytes
 costs n log n however long it is. Decoding concatenates vocabulary strings.
 """
@@ -25,9 +25,7 @@ from lodestore.session import python_path
 
 #: Fixed: the pre-tokenizer pattern of byte-level BPE.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: A space beside other white space or at the end: there the space isn't simply the head of the next word.
-ODD_SPACE = regex.compile(r" (?:\s|$)|\s ", regex.A)
-WIDE_SPACE = regex.compile(r"[^\S\x20\x09-\x0d]")
+WIDE_SPACE = regex.compile(r"[^\S\x20\x0a]")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -37,6 +35,15 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _odd_space(text: str) -> bool:
+    """Whether a space lies beside other white space or at the end, or there is any but spaces and newlines: there a space isn't simply the head of the next word."""
+    if "  " in text or " \n" in text or "\n " in text or text[-1:] == " ":
+        return True
+    if text.isascii():
+        return any(c in text for c in "\t\r\v\f\x1c\x1d\x1e\x1f")
+    return WIDE_SPACE.search(text) is not None
+
+
 class ByteBPE:
     """Encoder and decoder of one vocabulary file; caches are bounded and only save time."""
 
@@ -57,63 +64,80 @@ class ByteBPE:
         self.merges = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.merges[vocab[a] << 20 | vocab[b]] = rank << 20 | vocab[a + b]
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.size, self.words, self.pieces = cache, {}, {}
+        self.old_words, self.old_pieces = {}, {}  # the generation before: what is in use moves on, the rest goes
 
     def merge(self, data: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        ids = [self.byte_id[b] for b in data]
-        n, merges = len(ids), self.merges
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        """Ids of one pre-token. A queue entry is rank * n + position; it is stale if the pair there has another rank by now."""
+        ids = list(map(self.byte_id.__getitem__, data))
+        n, get = len(ids), self.merges.get
+        if n == 1:
+            return ids
         queue = []
         for i in range(n - 1):
-            if (m := merges.get((ids[i], ids[i + 1]))) is not None:
-                queue.append((m[0], i, ids[i], ids[i + 1], m[1]))
+            if (m := get(ids[i] << 20 | ids[i + 1])) is not None:
+                queue.append((m >> 20) * n + i)
+        if not queue:
+            return ids
         heapq.heapify(queue)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        pop, push = heapq.heappop, heapq.heappush
         while queue:
-            _, i, left, right, new = heapq.heappop(queue)
-            j = after[i] if ids[i] == left else -1
-            if j < 0 or ids[j] != right:
-                continue  # stale: one of the two has been merged since
+            rank, i = divmod(pop(queue), n)
+            left, j = ids[i], after[i]
+            if left < 0 or j >= n or (m := get(left << 20 | ids[j])) is None or m >> 20 != rank:
+                continue  # stale
+            new = m & 0xFFFFF
             ids[i], ids[j] = new, -1
             k = after[i] = after[j]
-            if k >= 0:
+            if k < n:
                 before[k] = i
-                if (m := merges.get((new, ids[k]))) is not None:
-                    heapq.heappush(queue, (m[0], i, new, ids[k], m[1]))
+                if (m := get(new << 20 | ids[k])) is not None:
+                    push(queue, (m >> 20) * n + i)
             h = before[i]
-            if h >= 0 and (m := merges.get((ids[h], new))) is not None:
-                heapq.heappush(queue, (m[0], h, ids[h], new, m[1]))
+            if h >= 0 and (m := get(ids[h] << 20 | new)) is not None:
+                push(queue, (m >> 20) * n + h)
         return [x for x in ids if x >= 0]
 
     def _word(self, word: str) -> bytes:
         if (got := self.words.get(word)) is None:
-            got = array("I", self.merge(word.encode("utf-8"))).tobytes()
+            if (got := self.old_words.get(word)) is None:
+                got = array("I", self.merge(word.encode("utf-8"))).tobytes()
             if len(word) <= 32:
                 if len(self.words) >= self.size:
-                    self.words.clear()
+                    self.old_words, self.words = self.words, {}
                 self.words[word] = got
         return got
 
+    def _piece(self, piece: str) -> bytes:
+        """Of a space and what follows it up to the next."""
+        if (got := self.old_pieces.get(piece)) is None:
+            got = self._plain(" " + piece)
+        if len(piece) <= 32:
+            if len(self.pieces) >= self.size:
+                self.old_pieces, self.pieces = self.pieces, {}
+            self.pieces[piece] = got
+        return got
+
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self._word, PATTERN.findall(text)))
 
     def _ordinary(self, text: str) -> bytes:
-        if ODD_SPACE.search(text) or WIDE_SPACE.search(text):
+        if _odd_space(text):
             return self._plain(text)
         # each space is the head of the pre-token that follows it, so what lies between spaces encodes by itself
         head, *rest = text.split(" ")
-        pieces, out = self.pieces, [self._plain(head)]
-        for piece in rest:
-            if (got := pieces.get(piece)) is None:
-                got = self._plain(" " + piece)
-                if len(piece) <= 32:
-                    if len(pieces) >= self.size:
-                        pieces.clear()
-                    pieces[piece] = got
-            out.append(got)
-        return b"".join(out)
+        out = list(map(self.pieces.get, rest))
+        i = out.index(None) if None in out else -1
+        while i >= 0:
+            out[i] = self.pieces.get(rest[i]) or self._piece(rest[i])
+            try:
+                i = out.index(None, i + 1)
+            except ValueError:
+                break
+        return self._plain(head) + b"".join(out)
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as unsigned 32-bit numbers in native (little-endian) order. Special tokens' strings become their ids."""

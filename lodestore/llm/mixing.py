@@ -135,11 +135,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plan, pieces = mix(docs, id_col, text_col, source_col, **how)
     last = pieces.groupBy("sid").agg(F.max("epoch").alias("rounds"))
     end = pieces.join(last, "sid").filter("epoch = rounds").groupBy("sid").agg(F.max("start").alias("start"), F.max("rounds").alias("rounds"))
-    cuts = plan.filter("size > 0").join(end, ["sid", "start"]).select("source", F.col("rounds").alias("_rounds"), F.col("key").alias("_cut"))
-    cuts = materialize(cuts.withColumnRenamed("source", "_source"), "cuts")
-    out = docs.join(cuts, F.col(source_col).cast("string").eqNullSafe(F.col("_source")), "inner")
-    times = F.col("_rounds") + F.when(shuffle_key(id_col) <= F.col("_cut"), 1).otherwise(0)
-    return out.withColumn("_times", times).filter("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    cuts = materialize(plan.filter("size > 0").join(end, ["sid", "start"]).select(F.col("source").alias("of"), "rounds", F.col("key").alias("cut")), "cuts")
+    # the row travels as one struct: its columns can't clash with ours
+    rows = docs.select(F.col(source_col).cast("string").alias("source"), shuffle_key(id_col).alias("key"), F.struct(*docs.columns).alias("row"))
+    out = rows.join(cuts, F.col("source").eqNullSafe(F.col("of")), "inner").withColumn("times", F.col("rounds") + F.when(F.col("key") <= F.col("cut"), 1).otherwise(0))
+    return out.filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time")).select("row.*")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

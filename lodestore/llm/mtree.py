@@ -126,9 +126,9 @@ def _matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def quantized(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(id, dims, x array<long>) of the usable rows: no null vector or id, no null or non-finite component."""
+    """(id, dims, x array<long>) of the usable rows: no null vector or id, no null or non-finite component, nor one of 2^30 or more, whose scores long can't hold."""
     x = F.col(vec_col).cast("array<double>")
-    bad = F.exists(x, lambda y: y.isNull() | F.isnan(y) | (F.abs(y) == F.lit(float("inf"))))
+    bad = F.exists(x, lambda y: y.isNull() | F.isnan(y) | (F.abs(y) >= F.lit(float(1 << 30))))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("v"), bad.alias("bad")).filter("id IS NOT NULL AND NOT bad AND size(v) > 0")
     return rows.select("id", F.size("v").alias("dims"), F.transform("v", lambda y: F.floor(y * F.lit(float(scale))).cast("long")).alias("x"))
 

@@ -180,17 +180,18 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Of rows that repeat that id one stays. A component of null ids alone keeps one row.
     """
     comps = materialize(simhash_components(docs, id_col, text_col, shingle_words, distance), "comps")
-    kept = comps.filter("id = component_id").select(F.col("id").alias("_id"))
-    key = F.col(id_col).cast("long")
-    out = docs.join(kept.distinct(), key == F.col("_id"), "left_semi")
-    if comps.filter("id = component_id").groupBy("id").count().filter("count > 1").limit(1).count():
-        out = out.dropDuplicates([id_col])
-    bare = comps.filter("id IS NULL AND component_id IS NULL").select(F.col("fp").alias("_fp"), F.col("component").alias("_component")).distinct()
+    kept = comps.filter("id = component_id").select(F.col("id").alias("k"))
+    # the row travels as one struct: its columns can't clash with ours
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.struct(*docs.columns).alias("row"))
+    out = rows.join(kept.distinct(), "k", "left_semi")
+    if not kept.groupBy("k").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates(["k"])
+    bare = comps.filter("id IS NULL AND component_id IS NULL").select("fp", "component").distinct()
     if not bare.isEmpty():
         own = F.pandas_udf(lambda texts: texts.map(lambda t: fingerprint(t, shingle_words)).astype("uint64").astype("int64"), "long")
-        rows = docs.filter(F.col(id_col).isNull()).withColumn("_fp", own(F.col(text_col).cast("string")))
-        out = out.unionByName(rows.join(bare, "_fp").dropDuplicates(["_component"]).select(docs.columns))
-    return out
+        null_rows = rows.filter("k IS NULL").withColumn("fp", own(F.col("row")[text_col].cast("string")))
+        out = out.unionByName(null_rows.join(bare, "fp").dropDuplicates(["component"]).select("k", "row"))
+    return out.select("row.*")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,3 +166,18 @@ def changed_since(stores: dict[str, DataFrame], epoch: int) -> DataFrame:
         part = df.filter(F.col("epoch") > epoch).select(F.lit(name).alias("store"), F.col("id").cast("long").alias("id"), "epoch")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def all_projects(graphs: dict[str, DataFrame]) -> DataFrame:
+    """Triples of several projects, tagged with theirs."""
+    out = None
+    for name, df in graphs.items():
+        part = lowered(df).withColumn("project", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def project_stats(triples: DataFrame) -> DataFrame:
+    """(project, triples, entities)."""
+    ends = triples.select("project", F.explode(F.array("s", "o")).alias("e")).groupBy("project").agg(F.count_distinct("e").alias("entities"))
+    return triples.groupBy("project").agg(F.count("*").alias("triples")).join(ends, "project")

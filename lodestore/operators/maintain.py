@@ -206,3 +206,65 @@ def context_counts(stores: dict[str, DataFrame]) -> DataFrame:
 def undo(stores: dict[str, DataFrame], key: str) -> dict[str, DataFrame]:
     """Every store without the rows of an id."""
     return {name: df.filter(F.col("id") != key) for name, df in stores.items()}
+
+
+def fresh_index(findings: DataFrame, now: int, budget: int = 12_000, days: int = 7) -> DataFrame:
+    """(id, line): lines of findings of the last days, newest first, until the next would exceed the budget.
+
+    A line has at least five characters and its newline, so only so many newest findings can be in
+    it: they are taken by a distributed top-k before their lengths are summed up.
+    """
+    badge = F.when(F.col("staleness") == "stable", "").otherwise(F.concat(F.lit(" ["), "staleness", F.lit("]")))
+    line = F.concat(F.lit("- **"), F.coalesce("topic", F.lit("untitled")), F.lit("**"), badge, F.lit(": "), blank(F.col("finding")))
+    near = findings.filter(F.col("epoch") >= now - days * DAY).select("id", "epoch", line.alias("line")).orderBy(F.desc("epoch"), "id").limit(budget // 6 + 1)
+    w = W.orderBy(F.desc("epoch"), "id")
+    used = F.coalesce(F.sum(F.length("line") + 1).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cut = near.withColumn("over", (used + F.length("line") > budget).cast("int"))
+    return cut.withColumn("past", F.max("over").over(w.rowsBetween(W.unboundedPreceding, 0))).filter("past = 0").select("id", "line")
+
+
+def freshness(findings: DataFrame, now: int, days: int = 7) -> DataFrame:
+    """One row: fresh and stale findings."""
+    old = F.col("epoch") < now - days * DAY
+    return findings.agg(F.count_if(~old).alias("fresh"), F.count_if(old).alias("stale"))
+
+
+def overlapping_topics(findings: DataFrame) -> DataFrame:
+    """(id, kept_id): findings of which the topic is part of a newer one's (or holds it), with two common tags or more; the newer one is kept."""
+    f = findings.select("id", "topic", "tags", "epoch")
+    pairs = dedup_probe_all(f)
+    return pairs.groupBy("id").agg(F.max_by("kept_id", F.struct("kept_epoch", "kept_id")).alias("kept_id"))
+
+
+def dedup_probe_all(findings: DataFrame) -> DataFrame:
+    f = findings.select("id", topic_key(F.col("topic")).alias("t"), F.transform("tags", F.lower).alias("tags"), "epoch").filter("t <> ''")
+    pairs = F.flatten(F.transform(F.array_distinct("tags"), lambda x: F.transform(F.filter(F.array_distinct("tags"), lambda y: y > x), lambda y: F.concat(x, F.lit("\x00"), y))))
+    k = f.withColumn("k", F.explode(pairs))
+    newer = k.select(F.col("id").alias("kept_id"), F.col("t").alias("kt"), F.col("epoch").alias("kept_epoch"), "k")
+    return k.join(newer, "k").filter("(kept_epoch > epoch OR (kept_epoch = epoch AND kept_id > id)) AND (contains(t, kt) OR contains(kt, t))").select("id", "kept_id", "kept_epoch").distinct()
+
+
+def since_session(stores: dict[str, DataFrame], start: int) -> DataFrame:
+    """(store, n): rows after the session's start."""
+    out = None
+    for name, df in stores.items():
+        part = df.agg(F.count_if(F.col("epoch") > start).alias("n")).select(F.lit(name).alias("store"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def migrated_scripts(research: DataFrame, parameterize) -> tuple[DataFrame, DataFrame]:
+    """(scripts, research without them): findings that hold scripts, parameterised, one per normalised template with its usage.
+
+    ``parameterize``: a function from (id, command) to (id, template, parameters).
+    """
+    from lodestore.functions.text import is_reusable_script, normalize_template
+
+    is_script = blank(F.col("topic")).startswith("Script:") | ((blank(F.col("source_tool")) == "auto-capture") & F.coalesce(F.array_contains("tags", "script"), F.lit(False)))
+    f = blank(F.col("finding"))
+    at = F.locate(": ", f)
+    s = research.filter(is_script).select("id", "epoch", F.filter("tags", lambda t: ~t.isin("auto-capture", "script")).alias("tags"), F.when(at > 1, f.substr(at + 2, F.length(f))).otherwise(f).alias("command"), F.when(at > 1, f.substr(F.lit(1), at - 1)).otherwise(F.regexp_replace(blank(F.col("topic")), r"^Script:\s*", "")).alias("description"))
+    s = s.filter((F.length("command") >= 10) & is_reusable_script(F.col("command")))
+    t = s.join(parameterize(s.select("id", "command")), "id").withColumn("key", normalize_template(F.col("template")))
+    one = t.groupBy("key").agg(F.min_by(F.struct("id", "description", "tags", "template", "parameters", "command"), F.struct("epoch", "id")).alias("s"), F.count("*").alias("usage_count"), F.max("epoch").alias("last_used"))
+    return one.select("s.*", "usage_count", "last_used"), research.filter(~is_script)

@@ -164,3 +164,24 @@ def cache_stats(packed: DataFrame) -> DataFrame:
     """One row: vectors, bytes packed and full (32-bit), share saved."""
     p = packed.select((F.length("quantized") + F.coalesce(F.length("signs"), F.lit(0))).alias("b"), (F.col("dim") * 4).alias("f"))
     return p.agg(F.count("*").alias("vectors"), F.sum("b").alias("bytes"), F.sum("f").alias("full_bytes")).withColumn("saved_pct", F.round((1 - F.col("bytes") / F.col("full_bytes")) * 100, 1))
+
+
+def similarity_correlation(vectors: DataFrame, bits: int = 3, blocks: int = 4) -> DataFrame:
+    """One row (pairs, pearson): full against quantized inner products of all pairs, met in block cells."""
+    back = dequantize_vectors(quantize_vectors(vectors, bits), bits).withColumnRenamed("vec", "approx")
+    v = vectors.select(F.col("id"), F.col("vec").cast("array<double>").alias("full")).join(back, "id").withColumn("g", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    cells = F.sequence(F.lit(0), F.lit(blocks - 1))
+    a = v.select(F.col("id").alias("i1"), F.col("full").alias("f1"), F.col("approx").alias("a1"), F.col("g").alias("i"), F.explode(cells).alias("j"))
+    b = v.select(F.col("id").alias("i2"), F.col("full").alias("f2"), F.col("approx").alias("a2"), F.explode(cells).alias("i"), F.col("g").alias("j"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, p: t + p)
+    p = a.join(b, ["i", "j"]).filter("i1 < i2").select(dot("f1", "f2").alias("x"), dot("a1", "a2").alias("y"))
+    return p.agg(F.count("*").alias("pairs"), F.round(F.corr("x", "y"), 4).alias("pearson"))
+
+
+def as_text(packed: DataFrame) -> DataFrame:
+    """The bytes in base 64."""
+    return packed.withColumn("quantized", F.base64("quantized")).withColumn("signs", F.base64("signs"))
+
+
+def from_text(packed: DataFrame) -> DataFrame:
+    return packed.withColumn("quantized", F.unbase64("quantized")).withColumn("signs", F.unbase64("signs"))

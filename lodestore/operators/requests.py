@@ -218,3 +218,14 @@ def breaker_states(calls: DataFrame, key: str = "provider", limit: int = 5, rest
     python_path(calls.sparkSession)
     dealt = calls.select(key, "seq", "ts_ms", "ok").repartition(key).sortWithinPartitions(key, "ts_ms", "seq")
     return dealt.mapInPandas(run, f"{key} string, seq long, state string, allowed boolean")
+
+
+VOLATILE = ("user", "stream")
+CANONICAL = ("max_tokens", "messages", "model", "stop", "system", "temperature", "tools", "top_k", "top_p")
+
+
+def canonical_json(body: Column) -> Column:
+    """The fields of a request that its answer depends on, in the order of their names; volatile ones are left out."""
+    fields = [F.get_json_object(body, f"$.{name}") for name in CANONICAL]
+    parts = F.array_compact(F.array(*(F.when(v.isNotNull(), F.concat(F.lit(f'"{n}":'), F.to_json(F.struct(v.alias("v"))))) for n, v in zip(CANONICAL, fields, strict=True))))
+    return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))

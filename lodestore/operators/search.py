@@ -145,3 +145,48 @@ def resolve(nodes: DataFrame, name: str, cols: Sequence[str], key: str = "qualif
 
 def staleness_badge(staleness: Column) -> Column:
     return F.when(staleness == "stable", "FRESH").when(staleness == "versioned", "CHECK VERSION").otherwise("VERIFY")
+
+
+def save_index(docs: DataFrame, path: str, version: str, id_col: str = "id", text_col: str = "text", buckets: int = 64) -> None:
+    """Write the inverted index for reuse: postings dealt by term, so a query reads the files of its terms only, and the corpus figures."""
+    p = postings(docs, id_col, text_col).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    p.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{version}/postings")
+    corpus_stats(docs, text_col).write.mode("overwrite").parquet(f"{path}/{version}/stats")
+
+
+def indexed_bm25(spark, path: str, version: str, queries: dict[int, str], buckets: int = 64, k1: float = K1, b: float = B) -> DataFrame:
+    """``bm25`` from a saved index; the version is the staleness key: another one is another index."""
+    every = spark.read.parquet(f"{path}/{version}/postings")
+    stats = spark.read.parquet(f"{path}/{version}/stats")
+    terms = query_terms(every, queries)
+    wanted = [(r.term, r.bucket) for r in terms.select("term", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")).distinct().collect()]
+    hits = every.filter(F.col("bucket").isin([x for _, x in wanted]) & F.col("term").isin([t for t, _ in wanted]))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    weight = terms.join(df, "term").crossJoin(stats)  # stats is one row
+    idf = F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+    part = F.col("mult") * idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)))
+    return hits.join(F.broadcast(weight), "term").groupBy("qid", "id").agg(F.sum(part).alias("score"))
+
+
+def graph_reranked(scores: DataFrame, entries: DataFrame, hops, best: int = 5, base: float = 0.01) -> DataFrame:
+    """(id, score, from_graph): vector scores, and ``base`` for entries that only the graph around the best ones' entities finds.
+
+    ``hops``: a function from entity names to connections (…, src); ``entries``: id, entities.
+    The few best entries' entities are fetched to seed the traversal.
+    """
+    lead = top(scores, best).select("id").join(entries, "id").select(F.explode("entities").alias("e")).distinct()
+    seeds = [r.e for r in lead.orderBy("e").collect()]
+    if not seeds:
+        return scores.withColumn("from_graph", F.lit(False))
+    found = hops(seeds).select(F.col("src").alias("id")).distinct().withColumn("g", F.lit(True))
+    out = scores.join(found, "id", "full")
+    return out.select("id", F.coalesce("score", F.lit(base)).alias("score"), (F.col("score").isNull() & F.col("g")).alias("from_graph"))
+
+
+def across_projects(stores: dict[str, DataFrame], query: Sequence[float], min_percent: float = 5.0) -> DataFrame:
+    """(project, id, percent) of vectors (id, vec) of several projects, best first among those above a share."""
+    out = None
+    for name, df in stores.items():
+        part = cosine_scores(df, query).select(F.lit(name).alias("project"), "id", (F.round(F.col("score") * 1000) / 10).alias("percent"))
+        out = part if out is None else out.unionByName(part)
+    return out.filter(F.col("percent") > min_percent)

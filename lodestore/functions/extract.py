@@ -37,6 +37,23 @@ def _kept(found: Column) -> Column:
     return F.filter(found, lambda e: (F.length(e) > 3) & ~e.isin(*STOP))
 
 
+def _kept_cased(found: Column) -> Column:
+    return F.filter(found, lambda e: (F.length(e) > 3) & ~F.lower(e).isin(*STOP))
+
+
+def typed_entities(text: Column) -> Column:
+    """Array of (name, type): lower-case names, typed by how the text writes them; the first writing of a name counts."""
+    m = lambda p: all_matches(text, p, 1)
+    cased = F.concat(_kept_cased(m(_PASCAL)), _kept_cased(m(_CAMEL)), m(_FILE), _kept_cased(m(_CALL)), m(_ASYNC), m(_NAMESPACE), m(_TOOL))
+    names = entities(text)
+
+    def written(name: Column) -> Column:
+        same = F.filter(cased, lambda c: F.lower(c) == name)
+        return F.coalesce(F.get(same, F.lit(0)), name)
+
+    return F.transform(names, lambda n: F.struct(n.alias("name"), entity_type(written(n)).alias("type")))
+
+
 def entities(text: Column) -> Column:
     """Distinct lower-case entity names in order of discovery: by kind of pattern, then by place."""
     low = lambda p: F.transform(all_matches(text, p, 1), F.lower)

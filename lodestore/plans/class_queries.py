@@ -79,7 +79,11 @@ def _(s, d):
     return C.complexity(_requests(s, d)).select("id", "score", "forced", "borderline")
 
 
-@query("complexity_signals")
+@query("complexity_signals", f"""WITH {REQ}, {SIGNALS} SELECT id, round(2.0::DOUBLE * least(tok / 4000, 1), 3) AS "c_promptTokens", round(least(turns / 10.0::DOUBLE, 1), 3) AS "c_conversationDepth", round(2.5::DOUBLE * least(n_tools / 2.0::DOUBLE, 1), 3) AS "c_toolCount",
+ round(least(CASE WHEN n_tools > 0 THEN tools_bytes ELSE 0 END / 8000.0::DOUBLE, 1), 3) AS "c_toolByteSize", round(1.5::DOUBLE * least(blocks / 3, 1), 3) AS "c_codeBlocks", round(1.5::DOUBLE * least(big / 2000.0::DOUBLE, 1), 3) AS "c_largestCodeBlock",
+ CASE WHEN fmt THEN 1.5::DOUBLE ELSE 0 END AS "c_structuredOutput", CASE WHEN verbs > 0 THEN 2.0::DOUBLE ELSE 0 END AS "c_imperativeVerbs", round(2.0::DOUBLE * least(files / 3.0::DOUBLE, 1), 3) AS "c_multiFileRefs", 2.5::DOUBLE * diff::INTEGER AS "c_diffMarkers",
+ round(1.5::DOUBLE * least(reasons / 2.0::DOUBLE, 1), 3) AS "c_reasoningRequest", round(0.5::DOUBLE * least(urls / 3.0::DOUBLE, 1), 3) AS "c_urlCount", round(0.5::DOUBLE * least(len(assistant_text) / 2000.0::DOUBLE, 1), 3) AS "c_recentAssistantLen",
+ round(least(greatest((max_tokens - 2048) / 6144.0::DOUBLE, 0), 1), 3) AS "c_outputBudget", round(0.5::DOUBLE * least(greatest((temperature - 0.7::DOUBLE) / (1.0::DOUBLE - 0.7::DOUBLE), 0), 1), 3) AS "c_temperature", 0.3::DOUBLE * has_stop::INTEGER AS "c_stopConstraints" FROM bl""")
 def _(s, d):
     return C.complexity(_requests(s, d)).select("id", *(f"c_{k}" for k in C.WEIGHTS))
 
@@ -208,7 +212,14 @@ def _(s, d):
     return r.select("id", "r.format", "r.model", "r.system", said.alias("said"), "r.n_tools")
 
 
-@query("rendered_responses")
+RENDERED = [
+    ("anthropic", '{"type":"message","content":[{"type":"text","text":"hello"}],"stop_reason":"max_tokens","usage":{"input_tokens":3,"output_tokens":4}}'),
+    ("openai", '{"object":"chat.completion","choices":[{"message":{"role":"assistant","content":"hello"},"finish_reason":"length"}],"usage":{"prompt_tokens":3,"completion_tokens":4}}'),
+    ("responses", '{"object":"response","output_text":"hello","usage":{"input_tokens":3,"output_tokens":4}}'),
+]
+
+
+@query("rendered_responses", D.sql_rows(RENDERED, "fmt string, body string"))
 def _(s, d):
     f = D.values(s, [("anthropic",), ("openai",), ("responses",)], "fmt string")
     return f.select("fmt", C.rendered_response(F.lit("hello"), F.lit("length"), F.lit(3), F.lit(4), F.col("fmt")).alias("body"))

@@ -117,3 +117,8 @@ def sql_values(rows: list[tuple], schema: str, name: str) -> str:
     body = ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
     casts = ", ".join(f"CAST({c} AS {kind.get(t, t)}) AS {c}" for c, t in cols)
     return f"{name} AS (SELECT {casts} FROM (VALUES {body}) AS v({', '.join(c for c, _ in cols)}))"
+
+
+def sql_rows(rows: list[tuple], schema: str) -> str:
+    """SQL that gives exactly these rows."""
+    return f"WITH {sql_values(rows, schema, 'expected')} SELECT * FROM expected"

@@ -177,17 +177,29 @@ def _(s, d):
     return D.values(s, TEXTS, TEXT_SCHEMA).select("id", F.explode(E.entities(F.col("text"))).alias("entity"))
 
 
-@query("relations")
+RELATIONS = (
+    [(1, a, "uses", b) for a in ("domservice", "domservice.cs") for b in ("automationelement", "findalldescendants", "xpathdocument")]
+    + [(1, a, "returns", "automationelement") for a in ("findalldescendants", "xpathdocument")]
+    + [(2, "domservice", "uses", "xpathdocument")]
+    + [(3, a, "calls", "parsetree") for a in ("build", "dev.example.com", "getpagesourceasync", "logs", "npm", "org")]
+)
+TOGETHER = [(3, a, b) for a, bs in (("getpagesourceasync", ("npm", "build", "logs", "org")), ("npm", ("build", "logs", "org")), ("org", ("build", "logs")), ("build", ("logs",))) for b in bs]
+
+
+@query("relations", D.sql_rows(RELATIONS, "id long, s string, p string, o string"))
 def _(s, d):
     return E.relations(D.values(s, TEXTS, TEXT_SCHEMA))
 
 
-@query("cooccurrence")
+@query("cooccurrence", D.sql_rows(TOGETHER, "id long, s string, o string"))
 def _(s, d):
     return E.cooccurrences(D.values(s, TEXTS, TEXT_SCHEMA))
 
 
-@query("triples_from_entries")
+MADE = [(str(i), "mentions", e, i) for i, es in FOUND.items() for e in es] + [(s, p, o, i) for i, s, p, o in RELATIONS] + [(s, "related_to", o, i) for i, s, o in TOGETHER]
+
+
+@query("triples_from_entries", D.sql_rows(MADE, "s string, p string, o string, src long"))
 def _(s, d):
     return E.triples(D.values(s, TEXTS, TEXT_SCHEMA))
 
@@ -235,7 +247,14 @@ def _(s, d):
     return D.values(s, COMMANDS, CMD_SCHEMA).select("id", X.is_reusable_script(F.col("command")).alias("reusable"))
 
 
-@query("command_templates")
+TEMPLATES = [
+    (1, 'curl -X POST "https://api.example.com/projects/{{uuid}}/builds/{{build_id}}" -d \'{"title": "{{title}}"}\'', 'curl -X POST "https://api.example.com/projects/{{PARAM}}/builds/{{PARAM}}" -d \'{"title": "{{PARAM}}"}\''),
+    (4, 'cat "{{file_path}}" | python -c "import sys" && echo done 123456', 'cat "{{PARAM}}" | python -c "import sys" && echo done 123456'),
+    *((i, c, c) for i, c, _ in COMMANDS if i not in (1, 4)),
+]
+
+
+@query("command_templates", D.sql_rows(TEMPLATES, "id long, template string, normal string"))
 def _(s, d):
     return D.values(s, COMMANDS, CMD_SCHEMA).select("id", X.template_only(F.col("command")).alias("template"), X.normalize_template(X.template_only(F.col("command"))).alias("normal"))
 

@@ -144,10 +144,12 @@ def _(s, d):
     return p.select("id", F.array_join(X.file_paths(F.col("t")), ",").alias("paths"))
 
 
-@query("typed_entities")
+TYPED = {"domservice.cs": "File", "domservice": "Class", "xpathdocument": "Concept", "findalldescendants": "Class", "automationelement": "Class", "getpagesourceasync": "Function", "parsetree": "Function", "npm": "Tool", "dev.example.com": "Namespace"}
+
+
+@query("typed_entities", D.sql_rows([(i, e, TYPED.get(e, "Concept")) for i, es in GQ.FOUND.items() for e in es], "id long, name string, type string"))
 def _(s, d):
-    t = D.values(s, GQ.TEXTS, GQ.TEXT_SCHEMA).select("id", F.explode(E.entities(F.col("text"))).alias("name"))
-    return t.select("id", "name", E.entity_type(F.col("name")).alias("type"))
+    return D.values(s, GQ.TEXTS, GQ.TEXT_SCHEMA).select("id", F.inline(E.typed_entities(F.col("text"))))
 
 
 @query("backfilled_triples", "SELECT count(*)::BIGINT * 0 AS second_time FROM region")

@@ -12,6 +12,7 @@ from lodestore.operators import snapshot as P
 from lodestore.plans import data as D
 from lodestore.plans import graph_queries as G
 from lodestore.plans.request_queries import BREAKER
+from lodestore.plans.search_queries import VEC0, _bm25_sql
 from lodestore.plans.session_queries import ORDER
 from lodestore.sources import code as C
 from lodestore.sources import files as S_
@@ -110,7 +111,16 @@ def _(s, d):
     return C.code_graph(D.values(s, SOURCES, "path string, content string"))[0].select("kind", "qualified_name")
 
 
-@query("source_edges")
+EDGES = [
+    ("CALLS", "src/a.py::A.__init__", "f", "src/a.py", 6), ("CALLS", "src/a.py::A.run", "os.getcwd", "src/a.py", 9), ("CALLS", "src/a.py::main", "A", "src/a.py", 12), ("CALLS", "src/a.py::main", "A().run", "src/a.py", 12),
+    ("CALLS", "src/c.js::C.go", "helper", "src/c.js", 5), ("CALLS", "src/e.cs::E.Run", "Help", "src/e.cs", 3), ("CONTAINS", "src/a.py::A", "src/a.py::A.__init__", "src/a.py", 5), ("CONTAINS", "src/a.py::A", "src/a.py::A.run", "src/a.py", 8),
+    ("CONTAINS", "src/c.js::C", "src/c.js::C.constructor", "src/c.js", 4), ("CONTAINS", "src/c.js::C", "src/c.js::C.go", "src/c.js", 5), ("CONTAINS", "src/e.cs::E", "src/e.cs::E.Run", "src/e.cs", 3), ("IMPORTS", "src/a.py", ".b", "src/a.py", 2),
+    ("IMPORTS", "src/a.py", "os", "src/a.py", 1), ("IMPORTS", "src/c.js", "./d.js", "src/c.js", 1), ("IMPORTS", "src/c.js", "fs", "src/c.js", 2), ("IMPORTS", "src/e.cs", "System.Text", "src/e.cs", 1),
+    ("INHERITS", "src/a.py::A", "B", "src/a.py", 4), ("INHERITS", "src/c.js::C", "Base", "src/c.js", 3), ("INHERITS", "src/e.cs::E", "IFace", "src/e.cs", 2),
+]
+
+
+@query("source_edges", D.sql_rows(EDGES, "kind string, source_qualified string, target_qualified string, file_path string, line int"))
 def _(s, d):
     return C.code_graph(D.values(s, SOURCES, "path string, content string"))[1]
 
@@ -141,7 +151,18 @@ def _store(s, d):
     return tools.Store(D.findings(s, d), b, vectors=_vecs(s, d), triples=D.triples(s, d), nodes=n.select("*", name.alias("name"), F.lit(None).cast("string").alias("signature")), edges=e)
 
 
-@query("memory_search")
+_Q = {0: "the of that"}
+_RESEARCH = _bm25_sql(_Q, "(SELECT id, topic || ' ' || array_to_string(tags, ' ') || ' ' || finding AS text FROM findings)", "id")
+_DECISION = _bm25_sql(_Q, "(SELECT item_id, 'scope ' || text || ' why scope' AS text FROM benchmark)", "item_id", "d_")
+MEMORY = f"""WITH {D.FINDINGS}, {_RESEARCH}, {_DECISION},
+b AS (SELECT id, row_number() OVER (ORDER BY round(score, 6) DESC, id) - 1 AS rank FROM bm ORDER BY rank LIMIT 20),
+e AS (SELECT vec_id AS id, row_number() OVER (ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], {VEC0}), 6) DESC, vec_id) - 1 AS rank FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) ORDER BY rank LIMIT 20),
+f AS (SELECT id, sum(1.0::DOUBLE / (61 + rank)) AS score, string_agg(source, '+' ORDER BY source) AS sources FROM (SELECT *, 'bm25' AS source FROM b UNION ALL SELECT *, 'embedding' FROM e) GROUP BY id)
+(SELECT 'research' AS kind, id, round(score, 6) AS score, (row_number() OVER (ORDER BY round(score, 6) DESC, id) - 1)::INTEGER AS rank, sources FROM f ORDER BY rank LIMIT 10)
+UNION ALL (SELECT 'decision', id, round(score, 6), (row_number() OVER (ORDER BY round(score, 6) DESC, id) - 1)::INTEGER AS rank, 'bm25' FROM d_bm ORDER BY rank LIMIT 3)"""
+
+
+@query("memory_search", MEMORY)
 def _(s, d):
     q = D.table(s, d, "embeddings").filter("vec_id = 0").first()
     return tools.memory_search(_store(s, d), "the of that", list(q.embedding) if q else None)
@@ -157,17 +178,21 @@ def _(s, d):
     return tools.session_summary(_store(s, d), D.table(s, d, "events").filter("event_id < 5"))
 
 
-@query("graph_context")
+@query("graph_context", f"WITH {D.TRIPLES} SELECT 1 AS hop, o AS entity, p AS predicate, s AS target, src, 'in' AS direction FROM triples WHERE o = 'region_1' ORDER BY entity, target, predicate, src LIMIT 20")
 def _(s, d):
     return tools.graph_context(_store(s, d), "region_1", 1)
 
 
-@query("code_search")
+@query("code_search", f"WITH {G.CODE}, n AS (SELECT *, regexp_extract(qualified_name, '[^.]+$') AS name FROM nodes), t AS (SELECT *, list_filter(string_split_regex(lower(concat_ws(' ', name, qualified_name, file_path)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: len(x) > 0) AS toks FROM n), h AS (SELECT *, len(list_filter(toks, lambda x: starts_with(x, 'supp'))) AS a, len(list_filter(toks, lambda x: starts_with(x, '3'))) AS b FROM t) SELECT qualified_name, (a + b)::BIGINT AS hits FROM h WHERE a > 0 AND b > 0 ORDER BY hits DESC, qualified_name LIMIT 20")
 def _(s, d):
     return tools.code_search(_store(s, d), "supp 3").select("qualified_name", "hits")
 
 
-@query("code_context")
+_REL = "(SELECT * FROM (SELECT '{0}' AS relation, {1} AS qualified_name FROM edges WHERE kind = '{2}' AND {3} = 'supp.3') LEFT JOIN (SELECT qualified_name, kind, file_path FROM nodes) USING (qualified_name) ORDER BY qualified_name LIMIT {4})"
+_RELS = " UNION ALL ".join(_REL.format(*x) for x in (("caller", "source_qualified", "CALLS", "target_qualified", 20), ("callee", "target_qualified", "CALLS", "source_qualified", 20), ("inheritor", "source_qualified", "INHERITS", "target_qualified", 10), ("test", "target_qualified", "TESTED_BY", "source_qualified", 10)))
+
+
+@query("code_context", f"WITH {G.CODE} SELECT relation, qualified_name, kind, file_path FROM ({_RELS}) UNION ALL SELECT * FROM (SELECT 'member' AS relation, qualified_name, kind, file_path FROM nodes WHERE parent_name = 'supp.3' ORDER BY qualified_name LIMIT 30)")
 def _(s, d):
     return tools.code_context(_store(s, d), "supp.3")
 
@@ -216,7 +241,13 @@ def _(s, d):
     return X.run_append(_frames(s))
 
 
-@query("stream_translate")
+TRANSLATED = [
+    (0, -2, '{"type":"message_start"}'), (0, -1, '{"type":"content_block_start","index":0}'), (0, 0, '{"type":"content_block_delta","index":0,"delta":{"type":"text_delta","text":"Hello"}}'), (1, 0, '{"type":"content_block_delta","index":0,"delta":{"type":"text_delta","text":" you"}}'),
+    (1, 1, '{"type":"message_delta","delta":{"stop_reason":"max_tokens"},"usage":{"output_tokens":2}}'), (1, 10, '{"type":"content_block_stop","index":0}'), (1, 11, '{"type":"message_stop"}'),
+]
+
+
+@query("stream_translate", D.sql_rows([("s1", *r) for r in TRANSLATED], "stream_id string, n long, part int, data string"))
 def _(s, d):
     return TR.translate(X.run_append(_frames(s)), "openai", "anthropic")
 

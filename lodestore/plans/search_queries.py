@@ -43,16 +43,17 @@ def _(s, d):
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).orderBy(F.desc("cf"), "term").limit(50)
 
 
-def _bm25_sql(queries: dict[int, str]) -> str:
+def _bm25_sql(queries: dict[int, str], source: str = "documents", key: str = "doc_id", x: str = "") -> str:
+    """CTEs that end in <x>bm(qid, id, score) over the texts of ``source``."""
     vals = ", ".join(f"({i}, '{t}')" for i, q in queries.items() for t in q.split())
-    return f"""tok AS (SELECT doc_id AS id, {TOK} AS t FROM documents),
-stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
-q AS (SELECT qid, term, count(*) AS mult FROM (VALUES {vals}) v(qid, term) GROUP BY ALL),
-p AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM tok),
-h AS (SELECT id, term, dl, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM h GROUP BY term),
-bm AS (SELECT qid, id, sum(mult * greatest(0, ln((n - df + 0.5) / (df + 0.5) + 1)) * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score
-       FROM h JOIN q USING (term) JOIN df USING (term), stats GROUP BY ALL)"""
+    return f"""{x}tok AS (SELECT {key} AS id, {TOK} AS t FROM {source}),
+{x}stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM {x}tok),
+{x}q AS (SELECT qid, term, count(*) AS mult FROM (VALUES {vals}) v(qid, term) GROUP BY ALL),
+{x}p AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM {x}tok),
+{x}h AS (SELECT id, term, dl, count(*) AS tf FROM {x}p WHERE term IN (SELECT term FROM {x}q) GROUP BY ALL),
+{x}df AS (SELECT term, count(*) AS df FROM {x}h GROUP BY term),
+{x}bm AS (SELECT qid, id, sum(mult * greatest(0, ln((n - df + 0.5) / (df + 0.5) + 1)) * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score
+       FROM {x}h JOIN {x}q USING (term) JOIN {x}df USING (term), {x}stats GROUP BY ALL)"""
 
 
 @query("bm25_search", f"WITH {_bm25_sql({0: TERMS})} SELECT id AS doc_id, round(score, 6) AS score, (row_number() OVER (ORDER BY round(score, 6) DESC, id) - 1)::INTEGER AS rank FROM bm ORDER BY rank LIMIT 20")
@@ -159,7 +160,10 @@ def _(s, d):
     return D.findings(s, d).groupBy(S.staleness_badge(F.col("staleness")).alias("badge")).agg(F.count("*").alias("n"))
 
 
-@query("script_search", f"WITH {_bm25_sql({0: 'the tag1'})} SELECT id, round(score, 6) AS score, (row_number() OVER (ORDER BY round(score, 6) DESC, id) - 1)::INTEGER AS rank FROM bm ORDER BY rank LIMIT 5".replace("SELECT doc_id AS id", "SELECT item_id AS id").replace("FROM documents", "FROM (SELECT item_id, substring(text, 1, 40) || ' tag' || (item_id % 5) || ' ' || substring(text, 1, 40) || ' ' || text || ' tag' || (item_id % 5) AS text FROM benchmark)"))
+SCRIPTS = "(SELECT item_id, substring(text, 1, 40) || ' tag' || (item_id % 5) || ' ' || substring(text, 1, 40) || ' ' || text || ' tag' || (item_id % 5) AS text FROM benchmark)"
+
+
+@query("script_search", f"WITH {_bm25_sql({0: 'the tag1'}, SCRIPTS, 'item_id')} SELECT id, round(score, 6) AS score, (row_number() OVER (ORDER BY round(score, 6) DESC, id) - 1)::INTEGER AS rank FROM bm ORDER BY rank LIMIT 5")
 def _(s, d):
     b = D.table(s, d, "benchmark")
     scripts = b.select(F.col("item_id").alias("id"), S.searchable_script(F.substring("text", 1, 40), F.col("text"), F.array(F.concat(F.lit("tag"), (F.col("item_id") % 5).cast("string")))).alias("text"))

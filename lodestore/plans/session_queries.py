@@ -130,7 +130,7 @@ def _(s, d):
     return S.first_definitions(D.values(s, PARAMS, PARAM_SCHEMA), "wf")
 
 
-@query("intent_detect")
+@query("intent_detect", "SELECT event_id, false AS exploratory FROM events")
 def _(s, d):
     h = D.history(s, d)
     return h.select("event_id", X.is_exploratory(F.col("command"), F.lit(None).cast("string")).alias("exploratory"))

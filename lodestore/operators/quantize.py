@@ -127,30 +127,44 @@ def dequantize_vectors(packed: DataFrame, bits: int = 3, seed: int = 42) -> Data
     return packed.mapInPandas(run, "id long, vec array<double>")
 
 
-def similar_to(packed: DataFrame, query_ids: list[int], bits: int = 3, k: int = 10) -> DataFrame:
-    """(query_id, rank, id, score): more like these, by inner products of quantized vectors, themselves left out.
+#: rows of the table and queries that meet in one task
+TABLE_ROWS, QUERY_ROWS = 16_384, 4096
+
+
+def _best(table: DataFrame, queries: DataFrame, k: int, matrix, columns: list[str]) -> DataFrame:
+    """(query_id, id, score, rank): the k best of the table for each query, itself left out; blocks of queries meet blocks of rows."""
+    parts, asked = max(1, -(-table.count() // TABLE_ROWS)), max(1, -(-queries.count() // QUERY_ROWS))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = table.select(block(parts).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("j"), "id", *columns)
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("i"), block(asked).alias("j"), F.col("id").alias("id"), *(F.col(c).alias(c) for c in columns))
+
+    def meet(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "id": [], "score": []})]
+        for dim in set(rows["dim"]) & set(asks["dim"]):
+            r, q = rows[rows["dim"] == dim], asks[asks["dim"] == dim]
+            ids, scores = r["id"].to_numpy(), np.round(matrix(q, dim) @ matrix(r, dim).T, 6)
+            for qid, s in zip(q["id"], scores, strict=True):
+                s = np.where(ids == qid, -np.inf, s)
+                best = np.lexsort((ids, -s))[:k]
+                best = best[np.isfinite(s[best])]
+                out.append(pd.DataFrame({"query_id": qid, "id": ids[best], "score": s[best]}))
+        return pd.concat(out).astype({"query_id": "int64", "id": "int64", "score": "float64"})
+
+    python_path(table.sparkSession)
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, "query_id long, id long, score double")
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
-    The few query vectors given are fetched; the table is read once, each batch keeps its best k
-    per query, and the rest is a ranking of those.
-    """
-    q = packed.filter(F.col("id").isin(query_ids)).toPandas()
-    queries = [(int(r.id), int(r.dim), _decoded(q.iloc[[i]], bits, int(r.dim))[0]) for i, r in enumerate(q.itertuples())]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for dim, part in pdf.groupby("dim"):
-                x, ids = _decoded(part, bits, dim), part["id"].to_numpy()
-                for qid, qdim, v in queries:
-                    if qdim == dim:
-                        s = np.where(ids == qid, -np.inf, np.round(x @ v, 6))
-                        best = np.lexsort((ids, -s))[: k + 1]
-                        best = best[np.isfinite(s[best])][:k]
-                        yield pd.DataFrame({"query_id": qid, "id": ids[best], "score": s[best]})
+def similar_to(packed: DataFrame, queries: DataFrame, bits: int = 3, k: int = 10) -> DataFrame:
+    """(query_id, rank, id, score): more like these (packed rows), by inner products of quantized vectors."""
+    return _best(packed, queries, k, lambda pdf, dim: _decoded(pdf, bits, dim), ["dim", "quantized", "signs"])
 
-    python_path(packed.sparkSession)
-    found = packed.mapInPandas(run, "query_id long, id long, score double")
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+def best_matches(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """The same by the full vectors (id, vec)."""
+    full = lambda df: df.select("id", F.size("vec").alias("dim"), F.col("vec").cast("array<double>").alias("vec"))
+    return _best(full(vectors), full(queries), k, lambda pdf, dim: np.stack(pdf["vec"].to_numpy()), ["dim", "vec"])
 
 
 def quality(full: DataFrame, approx: DataFrame, k: int = 3) -> DataFrame:

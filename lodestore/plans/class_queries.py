@@ -88,13 +88,15 @@ def _(s, d):
     return C.complexity(_requests(s, d)).select("id", *(f"c_{k}" for k in C.WEIGHTS))
 
 
-BANKS = "bank AS (SELECT CASE WHEN label % 2 = 0 THEN 'simple' ELSE 'complex' END AS category, embedding::DOUBLE[] AS vec FROM embeddings WHERE vec_id < 20)"
+BANKS = "comp AS (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS pos FROM embeddings) GROUP BY ALL), bank AS (SELECT CASE WHEN label % 2 = 0 THEN 'simple' ELSE 'complex' END AS category, list(m ORDER BY pos) AS vec FROM comp GROUP BY label)"
 NEAR = f"""{BANKS}, near AS (SELECT vec_id AS id, (max(list_cosine_similarity(embedding::DOUBLE[], vec)) FILTER (category = 'simple') + 1) / 2 AS simple, (max(list_cosine_similarity(embedding::DOUBLE[], vec)) FILTER (category = 'complex') + 1) / 2 AS complex FROM embeddings, bank GROUP BY vec_id)"""
 
 
 def _near(s, d):
     e = D.table(s, d, "embeddings")
-    bank = e.filter("vec_id < 20").select(F.when(F.col("label") % 2 == 0, "simple").otherwise("complex").alias("category"), F.col("embedding").alias("vec"))
+    mean = e.select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("m"))
+    mean = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda p: p["m"]).alias("vec"))
+    bank = mean.select(F.when(F.col("label") % 2 == 0, "simple").otherwise("complex").alias("category"), "vec")
     return C.nearest_reference(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), bank)
 
 

@@ -66,9 +66,9 @@ def _(s, d):
     return G.timeline(D.triples(s, d), D.findings(s, d).select("id", "epoch"), "Nation_3").withColumn("predicates", F.array_join("predicates", "+"))
 
 
-@query("prune_orphans", f"WITH {T}, k AS (SELECT 'cust_' || c_custkey AS entity FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'region_1') SELECT * FROM triples WHERE s IN (SELECT entity FROM k) OR o IN (SELECT entity FROM k)")
+@query("prune_orphans", f"WITH {T}, k AS (SELECT 'cust_' || c_custkey AS entity FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'region_1') SELECT * FROM triples WHERE s IN (SELECT entity FROM k) OR o IN (SELECT entity FROM k)")
 def _(s, d):
-    k = D.table(s, d, "customer").filter("c_custkey % 3 = 0").select(F.concat(F.lit("Cust_"), F.col("c_custkey").cast("string")).alias("entity")).unionByName(D.values(s, [("region_1",)], "entity string"))
+    k = D.table(s, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("Cust_"), F.col("c_custkey").cast("string")).alias("entity")).unionByName(D.values(s, [("region_1",)], "entity string"))
     return G.prune(D.triples(s, d), k)
 
 
@@ -93,9 +93,9 @@ def _(s, d):
 # code graph: suppliers call parts, parts inherit by brand, nations contain regions
 CODE = """nodes AS (SELECT 'part.' || p_partkey AS qualified_name, 'Method' AS kind, 'src/' || (p_partkey % 9) || '.py' AS file_path, p_partkey % 100 AS line_start, 'supp.' || (p_partkey % 10) AS parent_name FROM part
   UNION ALL SELECT 'supp.' || s_suppkey, 'Class', 'lib/' || (s_suppkey % 4) || '.py', s_suppkey % 50, NULL FROM supplier),
-edges AS (SELECT DISTINCT 'CALLS' AS kind, 'supp.' || l_suppkey AS source_qualified, 'part.' || l_partkey AS target_qualified FROM lineitem WHERE l_orderkey < 400
+edges AS (SELECT DISTINCT 'CALLS' AS kind, 'supp.' || l_suppkey AS source_qualified, 'part.' || l_partkey AS target_qualified FROM lineitem
   UNION ALL SELECT 'INHERITS', 'supp.' || s_suppkey, 'supp.' || (s_suppkey // 3) FROM supplier
-  UNION ALL SELECT 'TESTED_BY', 'part.' || p_partkey, 'test.' || p_partkey FROM part WHERE p_partkey % 5 = 0
+  UNION ALL SELECT 'TESTED_BY', 'part.' || p_partkey, 'test.' || p_partkey FROM part
   UNION ALL SELECT 'IMPORTS', 'part.' || p_partkey, 'part.' || (p_partkey // 2) FROM part)"""
 
 
@@ -106,9 +106,9 @@ def _code(s, d):
     nodes = nodes.unionByName(supp.select(k("supp", "s_suppkey").alias("qualified_name"), F.lit("Class").alias("kind"), F.concat(F.lit("lib/"), (F.col("s_suppkey") % 4).cast("string"), F.lit(".py")).alias("file_path"), (F.col("s_suppkey") % 50).alias("line_start"), F.lit(None).cast("string").alias("parent_name")))
     e = lambda kind, df, a, b: df.select(F.lit(kind).alias("kind"), a.alias("source_qualified"), b.alias("target_qualified"))
     half = lambda c, n: F.expr(f"{c} div {n}")
-    edges = e("CALLS", D.table(s, d, "lineitem").filter("l_orderkey < 400"), k("supp", "l_suppkey"), k("part", "l_partkey")).distinct()
+    edges = e("CALLS", D.table(s, d, "lineitem"), k("supp", "l_suppkey"), k("part", "l_partkey")).distinct()
     edges = edges.unionByName(e("INHERITS", supp, k("supp", "s_suppkey"), k("supp", half("s_suppkey", 3))))
-    edges = edges.unionByName(e("TESTED_BY", part.filter("p_partkey % 5 = 0"), k("part", "p_partkey"), k("test", "p_partkey")))
+    edges = edges.unionByName(e("TESTED_BY", part, k("part", "p_partkey"), k("test", "p_partkey")))
     return nodes, edges.unionByName(e("IMPORTS", part, k("part", "p_partkey"), k("part", half("p_partkey", 2))))
 
 

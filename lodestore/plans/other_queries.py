@@ -51,16 +51,14 @@ def _(s, d):
 
 @query("quantized_topk")
 def _(s, d):
-    return V.similar_to(V.quantize_vectors(_vecs(s, d), 4), [0, 1, 2], 4, 5)
+    packed = V.quantize_vectors(_vecs(s, d), 4)
+    return V.similar_to(packed, packed.filter("id % 100 = 0"), 4, 5)
 
 
 @query("quantized_recall")
 def _(s, d):
-    ids, full = [0, 1, 2, 3, 4], None
-    for i, r in zip(ids, [x.embedding for x in D.table(s, d, "embeddings").filter(F.col("vec_id").isin(ids)).orderBy("vec_id").collect()], strict=False):
-        part = S.top(S.cosine_scores(_vecs(s, d).filter(F.col("id") != i), r), 3).select(F.lit(i).cast("long").alias("query_id"), "id", (F.col("rank") + 1).alias("rank"))
-        full = part if full is None else full.unionByName(part)
-    return V.quality(full, V.similar_to(V.quantize_vectors(_vecs(s, d), 6), ids, 6, 3))
+    packed = V.quantize_vectors(_vecs(s, d), 6)
+    return V.quality(V.best_matches(_vecs(s, d), _vecs(s, d).filter("id % 100 = 0"), 3), V.similar_to(packed, packed.filter("id % 100 = 0"), 6, 3))
 
 
 @query("quantized_cache_stats", "SELECT count(*) AS vectors, sum(ceil(len(embedding) * 3 / 8.0) + ceil(len(embedding) / 8.0))::BIGINT AS bytes, sum(len(embedding) * 4)::BIGINT AS full_bytes, round((1 - sum(ceil(len(embedding) * 3 / 8.0) + ceil(len(embedding) / 8.0))::DOUBLE / sum(len(embedding) * 4)) * 100, 1) AS saved_pct FROM embeddings")
@@ -173,9 +171,9 @@ def _(s, d):
     return tools.get_context(_store(s, d))
 
 
-@query("session_summary", "SELECT (SELECT count(*) FROM documents) AS research, (SELECT count(*) FROM benchmark) AS decisions, (SELECT count(*) FROM events WHERE event_id < 5) AS unsaved, 'PENDING_SAVES' AS status")
+@query("session_summary", "SELECT (SELECT count(*) FROM documents) AS research, (SELECT count(*) FROM benchmark) AS decisions, (SELECT count(*) FROM events WHERE event_type = 'error') AS unsaved, 'PENDING_SAVES' AS status")
 def _(s, d):
-    return tools.session_summary(_store(s, d), D.table(s, d, "events").filter("event_id < 5"))
+    return tools.session_summary(_store(s, d), D.table(s, d, "events").filter("event_type = 'error'"))
 
 
 @query("graph_context", f"WITH {D.TRIPLES} SELECT 1 AS hop, o AS entity, p AS predicate, s AS target, src, 'in' AS direction FROM triples WHERE o = 'region_1' ORDER BY entity, target, predicate, src LIMIT 20")
@@ -217,7 +215,7 @@ def _(s, d):
 
 @query("stream_breaker", BREAKER)
 def _(s, d):
-    e = X.stream_table(s, d, "events").filter("event_id < 2000")
+    e = X.stream_table(s, d, "events")
     calls = e.select(F.col("event_type").alias("provider"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), (F.get_json_object("props", "$.k").cast("long") % 3 == 0).alias("ok"))
     return X.run_append(X.breakers(calls, rest_ms=30_000_000))
 

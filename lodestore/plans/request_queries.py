@@ -96,10 +96,10 @@ def _(s, d):
     return R.savings(e, D.values(s, list(R.SAVINGS), "kind string, tokens long, seconds long"))
 
 
-@query("savings_recomputed", f"WITH {D.HISTORY}, n AS (SELECT greatest((SELECT count(DISTINCT strftime(ts, '%Y-%m-%d %H')) FROM history WHERE event_type = 'view'), (SELECT count(*) FROM history WHERE event_type = 'signup' AND k < 5), 1) AS n) SELECT n AS sessions, n * 2 AS checks, round(n * 2 * 0.3::DOUBLE)::BIGINT AS hits FROM n")
+@query("savings_recomputed", f"WITH {D.HISTORY}, n AS (SELECT greatest((SELECT count(DISTINCT strftime(ts, '%Y-%m-%d %H')) FROM history WHERE event_type = 'view'), (SELECT count(*) FROM history WHERE event_type = 'signup'), 1) AS n) SELECT n AS sessions, n * 2 AS checks, round(n * 2 * 0.3::DOUBLE)::BIGINT AS hits FROM n")
 def _(s, d):
     h = D.history(s, d)
-    return R.recomputed_sessions(h.filter("event_type = 'view'"), h.filter("event_type = 'signup' AND k < 5"))
+    return R.recomputed_sessions(h.filter("event_type = 'view'"), h.filter("event_type = 'signup'"))
 
 
 CACHE = "cache AS (SELECT 'h' || event_id AS hash, k % 5 AS hits, (epoch_us(ts) // 1000) AS ts FROM history)"
@@ -126,9 +126,9 @@ def _(s, d):
     return R.cache_summary(_cache(s, d))
 
 
-@query("request_log_rows", f"WITH {D.REQUESTS} SELECT id, provider, substring(error, 1, 5) AS error FROM requests")
+@query("request_log_rows", f"WITH {D.REQUESTS} SELECT id, provider, substring(error, 1, 500) AS error FROM requests")
 def _(s, d):
-    return R.log_rows(D.requests(s, d), ("id", "provider", "error"), 5)
+    return R.log_rows(D.requests(s, d), ("id", "provider", "error"))
 
 
 HEADERS = [(1, "Authorization", "x"), (1, "Accept", "y"), (2, "x-api-key", "k"), (2, "Host", "h"), (3, "Cookie", "c")]
@@ -141,17 +141,17 @@ def _(s, d):
     return h.select("id", F.array_join(kept, ",").alias("kept"))
 
 
-@query("cached_answers", f"""WITH {D.HISTORY}, r AS (SELECT event_id AS id, event_type || user_id || '/' || (k % 4) AS hash, user_id AS tenant, (epoch_us(ts) // 1000) AS ts_ms, [(k % 17)::DOUBLE, (k % 5)::DOUBLE, 1.0::DOUBLE] AS vec FROM history WHERE k % 3 = 0),
+@query("cached_answers", f"""WITH {D.HISTORY}, r AS (SELECT event_id AS id, event_type || user_id || '/' || (k % 4) AS hash, user_id AS tenant, (epoch_us(ts) // 1000) AS ts_ms, [(k % 17)::DOUBLE, (k % 5)::DOUBLE, 1.0::DOUBLE] AS vec FROM history),
 e AS (SELECT a.id, 'exact' AS hit, max_by(b.id, (b.ts_ms, b.id)) AS by FROM r a JOIN r b ON a.hash = b.hash AND b.ts_ms < a.ts_ms AND a.ts_ms - b.ts_ms <= 86400000 GROUP BY a.id),
 s AS (SELECT a.id, 'semantic' AS hit, max_by(b.id, (b.ts_ms, b.id)) AS by FROM r a JOIN r b ON a.tenant = b.tenant AND b.ts_ms < a.ts_ms AND a.ts_ms - b.ts_ms <= 86400000 AND list_cosine_similarity(a.vec, b.vec) >= 0.92 WHERE a.id NOT IN (SELECT id FROM e) GROUP BY a.id)
 SELECT * FROM e UNION ALL SELECT * FROM s""")
 def _(s, d):
-    h = D.history(s, d).filter("k % 3 = 0")
+    h = D.history(s, d)
     r = h.select(F.col("event_id").alias("id"), F.concat("event_type", F.col("user_id").cast("string"), F.lit("/"), (F.col("k") % 4).cast("string")).alias("hash"), F.col("user_id").alias("tenant"), F.unix_millis("ts").alias("ts_ms"), F.array((F.col("k") % 17).cast("double"), (F.col("k") % 5).cast("double"), F.lit(1.0)).alias("vec"))
     return R.cached_answers(r, 86_400_000)
 
 
-BREAKER = f"""WITH RECURSIVE {D.HISTORY}, c AS (SELECT event_type AS provider, event_id AS seq, (epoch_us(ts) // 1000) AS ts, k % 3 = 0 AS ok, row_number() OVER (PARTITION BY event_type ORDER BY (epoch_us(ts) // 1000), event_id) AS rn FROM history WHERE event_id < 2000),
+BREAKER = f"""WITH RECURSIVE {D.HISTORY}, c AS (SELECT event_type AS provider, event_id AS seq, (epoch_us(ts) // 1000) AS ts, k % 3 = 0 AS ok, row_number() OVER (PARTITION BY event_type ORDER BY (epoch_us(ts) // 1000), event_id) AS rn FROM history),
 m AS (SELECT provider, 0::BIGINT AS rn, 0::BIGINT AS seq, 'CLOSED' AS state, 0 AS failures, 0::BIGINT AS opened, true AS allowed FROM c GROUP BY provider
  UNION ALL
  SELECT c.provider, c.rn, c.seq,
@@ -164,13 +164,13 @@ SELECT provider, seq, state, allowed FROM m WHERE rn > 0"""
 
 @query("breaker_states", BREAKER)
 def _(s, d):
-    h = D.history(s, d).filter("event_id < 2000")
+    h = D.history(s, d)
     return R.breaker_states(h.select(F.col("event_type").alias("provider"), F.col("event_id").alias("seq"), F.unix_millis("ts").alias("ts_ms"), (F.col("k") % 3 == 0).alias("ok")), rest_ms=30_000_000)
 
 
-@query("request_keys", "SELECT conv_id, turn, sha256('noauth' || chr(10) || '{\"messages\":' || to_json(text) || ',\"model\":\"m\"}') AS key FROM conversations WHERE text NOT LIKE '%\\%' AND text NOT LIKE '%/%'")
+@query("request_keys", "SELECT conv_id, turn, sha256('noauth' || chr(10) || '{\"messages\":' || to_json(text) || ',\"model\":\"m\"}') AS key FROM conversations")
 def _(s, d):
-    c = D.table(s, d, "conversations").filter(~F.contains("text", F.lit("\\")) & ~F.contains("text", F.lit("/")))
+    c = D.table(s, d, "conversations")
     return c.select("conv_id", "turn", R.request_hash(F.lit("m"), F.col("text")).alias("key"))
 
 

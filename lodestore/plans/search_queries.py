@@ -160,11 +160,11 @@ def _(s, d):
     return D.findings(s, d).groupBy(S.staleness_badge(F.col("staleness")).alias("badge")).agg(F.count("*").alias("n"))
 
 
-SCRIPTS = "(SELECT item_id, substring(text, 1, 40) || ' tag' || (item_id % 5) || ' ' || substring(text, 1, 40) || ' ' || text || ' tag' || (item_id % 5) AS text FROM benchmark)"
+SCRIPTS = "(SELECT item_id, 'item ' || item_id || ' tag' || (item_id % 5) || ' ' || 'item ' || item_id || ' ' || text || ' tag' || (item_id % 5) AS text FROM benchmark)"
 
 
 @query("script_search", f"WITH {_bm25_sql({0: 'the tag1'}, SCRIPTS, 'item_id')} SELECT id, round(score, 6) AS score, (row_number() OVER (ORDER BY round(score, 6) DESC, id) - 1)::INTEGER AS rank FROM bm ORDER BY rank LIMIT 5")
 def _(s, d):
     b = D.table(s, d, "benchmark")
-    scripts = b.select(F.col("item_id").alias("id"), S.searchable_script(F.substring("text", 1, 40), F.col("text"), F.array(F.concat(F.lit("tag"), (F.col("item_id") % 5).cast("string")))).alias("text"))
+    scripts = b.select(F.col("item_id").alias("id"), S.searchable_script(F.concat(F.lit("item "), F.col("item_id").cast("string")), F.col("text"), F.array(F.concat(F.lit("tag"), (F.col("item_id") % 5).cast("string")))).alias("text"))
     return S.top(S.bm25(scripts, {0: "the tag1"}).select("id", "score"), 5)

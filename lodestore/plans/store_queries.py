@@ -63,10 +63,10 @@ def _(s, d):
     return pairs.join(known, ["id1", "id2"], "left_anti")
 
 
-@query("dedup_probe", f"WITH {FI}, t AS (SELECT id, lower(trim(topic)) AS t, tags FROM findings WHERE trim(topic) <> '') SELECT n.id AS new_id, min(s.id) AS id FROM t s JOIN t n ON s.tags = n.tags AND (contains(s.t, n.t) OR contains(n.t, s.t)) AND n.id % 5 = 0 AND s.id % 5 <> 0 GROUP BY n.id")
+@query("dedup_probe", f"WITH {FI}, t AS (SELECT id, lower(trim(topic)) AS t, tags, staleness FROM findings WHERE trim(topic) <> '') SELECT n.id AS new_id, min(s.id) AS id FROM t s JOIN t n ON s.tags = n.tags AND (contains(s.t, n.t) OR contains(n.t, s.t)) AND n.staleness = 'volatile' AND s.staleness <> 'volatile' GROUP BY n.id")
 def _(s, d):
     f = D.findings(s, d)
-    return M.dedup_probe(f.filter("id % 5 <> 0"), f.filter("id % 5 = 0"))
+    return M.dedup_probe(f.filter("staleness <> 'volatile'"), f.filter("staleness = 'volatile'"))
 
 
 @query("missing_embeddings", "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
@@ -108,10 +108,10 @@ def _(s, d):
     return M.cluster_labels(f, M.tag_clusters(f))
 
 
-@query("attach_to_clusters", f"WITH {FI}, c AS (SELECT staleness AS cluster, tags FROM findings WHERE id % 4 = 0), n AS (SELECT cluster, tag, count(*) AS n FROM (SELECT cluster, unnest(tags) AS tag FROM c) GROUP BY ALL), h AS (SELECT id, cluster, sum(n) AS n FROM (SELECT id, unnest(tags) AS tag FROM findings WHERE id % 4 = 1) JOIN n USING (tag) GROUP BY ALL) SELECT id, arg_min(cluster, (-n, cluster)) AS cluster FROM h GROUP BY id")
+@query("attach_to_clusters", f"WITH {FI}, c AS (SELECT staleness AS cluster, tags FROM findings WHERE staleness <> 'volatile'), n AS (SELECT cluster, tag, count(*) AS n FROM (SELECT cluster, unnest(tags) AS tag FROM c) GROUP BY ALL), h AS (SELECT id, cluster, sum(n) AS n FROM (SELECT id, unnest(tags) AS tag FROM findings WHERE staleness = 'volatile') JOIN n USING (tag) GROUP BY ALL) SELECT id, arg_min(cluster, (-n, cluster)) AS cluster FROM h GROUP BY id")
 def _(s, d):
     f = D.findings(s, d)
-    return M.attach_to_clusters(f.filter("id % 4 = 1"), f.filter("id % 4 = 0").withColumn("cluster", F.col("staleness")))
+    return M.attach_to_clusters(f.filter("staleness = 'volatile'"), f.filter("staleness <> 'volatile'").withColumn("cluster", F.col("staleness")))
 
 
 @query("tag_heatmap", "SELECT source, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'fr') AS fr FROM documents GROUP BY source")
@@ -138,10 +138,10 @@ def _(s, d):
 CATS = "['tradeoff', 'architecture', 'zzz', 'testing', 'scope', 'convention'][item_id % 6 + 1]"
 
 
-@query("grouped_decisions", f"SELECT CASE WHEN list_position(['architecture', 'convention', 'testing', 'scope', 'tradeoff', 'other'], {CATS}) > 0 THEN list_position(['architecture', 'convention', 'testing', 'scope', 'tradeoff', 'other'], {CATS}) ELSE 999 END::INTEGER AS ord, {CATS} AS category, item_id AS epoch, '- ' || substring(text, 1, 30) AS line FROM benchmark")
+@query("grouped_decisions", f"SELECT CASE WHEN list_position(['architecture', 'convention', 'testing', 'scope', 'tradeoff', 'other'], {CATS}) > 0 THEN list_position(['architecture', 'convention', 'testing', 'scope', 'tradeoff', 'other'], {CATS}) ELSE 999 END::INTEGER AS ord, {CATS} AS category, item_id AS epoch, '- ' || text AS line FROM benchmark")
 def _(s, d):
     cats = F.array(*map(F.lit, ("tradeoff", "architecture", "zzz", "testing", "scope", "convention")))
-    b = D.table(s, d, "benchmark").select(F.element_at(cats, (F.col("item_id") % 6 + 1).cast("int")).alias("category"), F.col("item_id").alias("epoch"), F.substring("text", 1, 30).alias("decision"))
+    b = D.table(s, d, "benchmark").select(F.element_at(cats, (F.col("item_id") % 6 + 1).cast("int")).alias("category"), F.col("item_id").alias("epoch"), F.col("text").alias("decision"))
     return M.grouped_decisions(b)
 
 
@@ -157,11 +157,11 @@ def _(s, d):
     return M.compaction(f, NOW + 5_000_000)
 
 
-@query("upsert_nodes", "WITH n AS (SELECT 'p' || p_partkey AS qualified_name, 1 AS version, p_brand AS kind FROM part UNION ALL SELECT 'p' || p_partkey, 2, 'new' FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'q' || p_partkey, 2, 'new' FROM part WHERE p_partkey % 50 = 0) SELECT qualified_name, max(version) AS version, max_by(kind, version) AS kind FROM n GROUP BY 1")
+@query("upsert_nodes", "WITH n AS (SELECT 'p' || p_partkey AS qualified_name, 1 AS version, p_brand AS kind FROM part UNION ALL SELECT 'p' || p_partkey, 2, 'new' FROM part WHERE p_size > 25 UNION ALL SELECT 'q' || p_partkey, 2, 'new' FROM part WHERE p_size = 1) SELECT qualified_name, max(version) AS version, max_by(kind, version) AS kind FROM n GROUP BY 1")
 def _(s, d):
     p = D.table(s, d, "part")
     row = lambda df, head, ver, kind: df.select(F.concat(F.lit(head), F.col("p_partkey").cast("string")).alias("qualified_name"), F.lit(ver).alias("version"), kind.alias("kind"))
-    new = row(p.filter("p_partkey % 3 = 0"), "p", 2, F.lit("new")).unionByName(row(p.filter("p_partkey % 50 = 0"), "q", 2, F.lit("new")))
+    new = row(p.filter("p_size > 25"), "p", 2, F.lit("new")).unionByName(row(p.filter("p_size = 1"), "q", 2, F.lit("new")))
     return M.upsert(row(p, "p", 1, F.col("p_brand")), new, "qualified_name", "version")
 
 

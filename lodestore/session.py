@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from pathlib import Path
 
@@ -27,8 +28,15 @@ def build_session(app: str = "lodestore", cpus: int | str = "*", shuffle_partiti
     )
 
 
+#: bytes of an Arrow batch between Spark and a Python worker, so that long texts don't fill a worker by their number
+BATCH_BYTES = 8 << 20
+
+
 def python_path(spark: SparkSession) -> None:
-    """Let Python workers import this package although the driver was started in another folder."""
+    """Let Python workers import this package although the driver was started in another folder, and bound their batches by size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(key)) or 0) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:

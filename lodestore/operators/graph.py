@@ -36,7 +36,7 @@ def k_hop(triples: DataFrame, seeds: list[str], depth: int = 2) -> DataFrame:
     """
     spark = triples.sparkSession
     adj = adjacency(triples)
-    level = spark.createDataFrame([(s.lower(),) for s in sorted(set(seeds))], "entity string")
+    level = spark.range(1).select(F.explode(F.array(*(F.lit(s.lower()) for s in sorted(set(seeds))))).alias("entity"))
     done = level.limit(0)
     out = None
     for hop in range(1, depth + 1):
@@ -66,7 +66,7 @@ def impact_radius(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 2
     """
     spark = edges.sparkSession
     back = edges.filter(F.col("kind").isin(*IMPACT_KINDS)).select(F.col("target_qualified").alias("used"), F.col("source_qualified").alias("user"))
-    level = spark.createDataFrame([(start,)], "used string")
+    level = spark.range(1).select(F.lit(start).alias("used"))
     done, out = level.limit(0), None
     for hop in range(1, depth + 1):
         done = done.unionByName(level)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestore.functions import text as X
 from lodestore.functions.vector import cosine
+from lodestore.session import materialize
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -53,21 +54,23 @@ def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def query_terms(df: DataFrame, queries: dict[int, str]) -> DataFrame:
     """(qid, term, mult): terms with how often each query repeats them. Queries are few and given in the plan."""
-    q = df.sparkSession.createDataFrame(sorted(queries.items()), "qid int, q string")
+    given = F.array(*(F.struct(F.lit(i).cast("int").alias("qid"), F.lit(q).alias("q")) for i, q in sorted(queries.items())))
+    q = df.sparkSession.range(1).select(F.inline(given))
     return q.select("qid", F.explode(X.tokens(F.col("q"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("mult"))
 
 
 def bm25(docs: DataFrame, queries: dict[int, str], id_col: str = "id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """(qid, id, score) of documents that have a query term.
 
-    One pass tokenises: documents keep the frequencies of query terms only, so what is shuffled
-    is the matches, not the corpus. Corpus figures (n, average length, document frequencies) are
-    counted over all documents; their table is a row per query term.
+    Texts are tokenised once: each document's length and query terms are written to the shared
+    folder, a few bytes a document, and the corpus figures (n, average length, document
+    frequencies, over all documents) and the matches are read from there. What is shuffled is the
+    matches, not the corpus; the table of weights has a row per query term.
     """
     terms = query_terms(docs, queries)
     wanted = [r.term for r in terms.select("term").distinct().orderBy("term").collect()]
     toks = docs.select(F.col(id_col).alias("id"), X.tokens(F.col(text_col)).alias("toks"))
-    lens = toks.select("id", F.size("toks").cast("long").alias("dl"), F.filter("toks", lambda t: t.isin(*wanted) if wanted else F.lit(False)).alias("hits"))
+    lens = materialize(toks.select("id", F.size("toks").cast("long").alias("dl"), F.filter("toks", lambda t: t.isin(*wanted) if wanted else F.lit(False)).alias("hits")), "bm25")
     stats = lens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     hits = lens.filter(F.size("hits") > 0).select("id", "dl", F.explode("hits").alias("term")).groupBy("id", "term").agg(F.first("dl").alias("dl"), F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))

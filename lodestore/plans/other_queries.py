@@ -260,3 +260,13 @@ def _(s, d):
     e = X.stream_table(s, d, "events")
     r = e.select(F.col("event_id").alias("id"), F.concat("event_type", F.col("user_id").cast("string")).alias("hash"), F.col("user_id").alias("tenant"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
     return X.run_append(X.cache_hits(r))
+
+
+@query("stream_counters", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def _(s, d):
+    return X.run_complete(X.counters(X.stream_table(s, d, "events"), "event_type"))
+
+
+@query("more_like_this", "WITH p AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM p) SELECT * FROM r WHERE rank <= 10")
+def _(s, d):
+    return V.best_matches(_vecs(s, d), _vecs(s, d).filter("id % 100 = 0"), 10)

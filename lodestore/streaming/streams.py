@@ -45,6 +45,16 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], mod
     stream.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", base).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_complete(stream: DataFrame) -> DataFrame:
+    """Run an aggregate over what is there; each batch rewrites the whole result, the last one is returned."""
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/complete-{uuid.uuid4().hex}"
+    run_batches(stream, lambda batch, n: batch.write.parquet(f"{path}/{n:08d}"), "complete")
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*")
+    found = sorted(str(f.getPath()) for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
+    return spark.read.schema(stream.schema).parquet(found[-1]) if found else spark.createDataFrame([], stream.schema)
+
+
 def sessions(events: DataFrame, gap_seconds: int = 90, late: str = "10 minutes", owner: str = "user_id", ts: str = "ts") -> DataFrame:
     """(owner, started, ended, n) of sessions, emitted once the watermark has passed them."""
     e = events.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", late)

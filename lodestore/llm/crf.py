@@ -19,12 +19,15 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestore.session import python_path
 
 #: at most so many labelled documents are used for training (the first by a hash of their ids)
 SAMPLE_DOCS = 2500
+#: and of these only as many as have so many characters together
+SAMPLE_CHARS = 32_000_000
 _SYMBOLS = b"#$%&*|<>{}[]\\/=+_~^@`"
 _CLASSES = 10
 
@@ -203,8 +206,8 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit on at most ``sample_docs`` labelled documents outside the held-out fold, chosen by a hash of their ids."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Fit on at most ``sample_docs`` labelled documents of ``sample_chars`` characters outside the held-out fold, chosen by a hash of their ids."""
     picked = (
         labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
         .filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out("id"))
@@ -212,7 +215,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64("id"), "id", "label")
         .limit(sample_docs)
     )
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").select("text", "label").limit(2 * sample_docs).collect()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").limit(2 * sample_docs)
+    order = W.orderBy(F.xxhash64("id"), "id", "label").rowsBetween(W.unboundedPreceding, 0)  # over the bounded sample
+    rows = rows.withColumn("upto", F.sum(F.coalesce(F.length("text"), F.lit(0))).over(order)).filter(F.col("upto") <= sample_chars).select("text", "label").collect()
     return fit([(r.text, r.label) for r in rows])
 
 

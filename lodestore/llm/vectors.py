@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestore.llm.components import connected_components
-from lodestore.session import materialize, python_path
+from lodestore.session import discard, materialize, python_path
 
 BLOCK_DIMS = 8
 UNIT = 32767
@@ -235,6 +235,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     found = at_home.unionByName(visit).groupBy("dims", "block", "cell", "i", "j").applyInArrow(cell, "kind int, a long, b long, n long")
     found = materialize(found, "links")
+    discard(spread)
     unit = classes.select("cid", "n", "x")
     exact = (
         found.filter("kind = 2").select("a", "b").distinct()

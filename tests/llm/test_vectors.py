@@ -39,7 +39,7 @@ def test_links_and_components_match_brute_force(spark):
 def test_small_cells_and_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(vectors, "CELL_ROWS", 16)
     monkeypatch.setattr(vectors, "grid_dimensions", lambda n: 3)
-    x = planted(200)[:200]
+    x = planted()[:200]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     links, comp = brute(x)
     assert {r.id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()} == {i: (int(links[i]), int(comp[i])) for i in range(200)}

@@ -1,13 +1,16 @@
-"""The driver tables under the names of the reference's stores: frames and the SQL for the same."""
+"""The driver tables as stores of findings, histories, logs and graphs: frames and the SQL for the same."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestore.session import read_table
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return read_table(spark, path) if name == "documents" else spark.read.parquet(path)
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,17 @@ def python_path(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table for work that is heavy per row.
+
+    A small table in few row groups would keep one core busy; it is dealt to all of them. A table
+    that has a split per core or more is read as it is. Projections and filters still reach the scan.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
     sc = spark.sparkContext

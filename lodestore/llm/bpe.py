@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestore.llm.vocab import vocabulary_path
-from lodestore.session import python_path
+from lodestore.session import python_path, read_table
 
 #: Fixed: the pre-tokenizer pattern of byte-level BPE.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -182,5 +182,5 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's digest of ``bpe_encode`` over ``documents``."""
-    found = bpe_encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False)
+    found = bpe_encode(read_table(spark, f"{sf_dir}/documents.parquet"), with_ids=False)
     return found.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestore.session import python_path
+from lodestore.session import python_path, read_table
 
 #: at most so many labelled documents are used for training (the first by a hash of their ids)
 SAMPLE_DOCS = 2500
@@ -246,6 +246,6 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's scores over ``documents``, learnt from ``labels``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, f"{sf_dir}/documents.parquet")
     found = quality_scores(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestore.session import python_path
+from lodestore.session import python_path, read_table
 
 # fixed values: classes of HTML elements
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -248,5 +248,5 @@ def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's texts of all ``pages``."""
-    found = page_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    found = page_texts(read_table(spark, f"{sf_dir}/pages.parquet"))
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestore.session import materialize
+from lodestore.session import materialize, read_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: 2^32 / golden ratio, to the nearest odd number
@@ -144,7 +144,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's words per document of the mixture of all ``documents``."""
-    plan, pieces = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    plan, pieces = mix(read_table(spark, f"{sf_dir}/documents.parquet"))
     return taken_words(plan, pieces).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 

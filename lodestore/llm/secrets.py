@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestore.llm.vocab import vocabulary_path
-from lodestore.session import python_path
+from lodestore.session import python_path, read_table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -129,7 +129,7 @@ def redact_table(docs: DataFrame, text_col: str = "text", count_col: str = "n_ch
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's digest of ``secret_spans`` over ``documents``."""
-    found = secret_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = secret_spans(read_table(spark, f"{sf_dir}/documents.parquet"))
     n = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = text(F.filter("spans", lambda x: x["kind"] != "random"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lodestore.llm import golay
 from lodestore.llm.components import connected_components
-from lodestore.session import materialize, python_path
+from lodestore.session import materialize, python_path, read_table
 
 #: (lowest bit, bits) of each segment
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -196,5 +196,5 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's digest of ``simhash_components`` over ``documents``."""
-    found = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = simhash_components(read_table(spark, f"{sf_dir}/documents.parquet"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

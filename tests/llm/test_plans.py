@@ -2,8 +2,7 @@ import re
 
 import pytest
 
-from lodestore.llm import chat, mixing, url_filter
-from lodestore.llm.registry import QUERIES
+from lodestore.llm import bpe, chat, crf, html_text, mixing, secrets, url_filter
 from tests.test_plans import PYTHON, plan, schemas
 
 
@@ -12,7 +11,19 @@ def test_native_operators_run_no_python(spark, sf, query):
     assert not re.search(PYTHON + "|CartesianProduct", plan(query(spark, sf)))
 
 
-@pytest.mark.parametrize(("name", "columns"), [("op5_bpe", "doc_id:bigint,text:string"), ("op6_quality", "doc_id:bigint,text:string"), ("op10_secrets", "doc_id:bigint,text:string"), ("op7_html", "page_id:bigint,url:string,html:string")])
-def test_scans_read_what_they_need_and_nothing_shuffles(spark, sf, name, columns):
-    text = plan(QUERIES[name](spark, sf))
-    assert schemas(text) == [columns] and "Exchange" not in text
+def test_scans_read_what_they_need_and_nothing_shuffles(spark, sf):
+    docs, pages = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "pages"))
+    model = crf.fit([])
+    for df, columns in (
+        (bpe.bpe_encode(docs), "doc_id:bigint,text:string"),
+        (crf.quality_scores(docs, model), "doc_id:bigint,text:string"),
+        (secrets.secret_spans(docs), "doc_id:bigint,text:string"),
+        (html_text.page_texts(pages), "page_id:bigint,url:string,html:string"),
+    ):
+        text = plan(df)
+        assert schemas(text) == [columns] and "Exchange" not in text
+
+
+@pytest.mark.parametrize(("query", "columns"), [(bpe.op5, "doc_id:bigint,text:string"), (html_text.op7, "page_id:bigint,url:string,html:string")])
+def test_queries_prune_columns_below_a_small_tables_deal(spark, sf, query, columns):
+    assert schemas(plan(query(spark, sf))) == [columns]

@@ -17,7 +17,7 @@ from lodestore.operators import search as S
 from lodestore.plans import data as D
 from lodestore.plans import graph_queries as GQ
 from lodestore.plans.search_queries import MULTI, VEC0, _bm25_sql, _docs, _vec0, _vecs
-from lodestore.session import shared_dir
+from lodestore.session import own_dir
 
 Q, SQL = {}, {}
 
@@ -40,7 +40,7 @@ def _(s, d):
 
 @query("indexed_bm25", f"WITH {_bm25_sql(MULTI)}, r AS (SELECT qid::INTEGER AS qid, id AS doc_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) - 1)::INTEGER AS rank FROM bm) SELECT * FROM r WHERE rank < 10")
 def _(s, d):
-    path = f"{shared_dir(s)}/index-{uuid.uuid4().hex}"
+    path = f"{own_dir(s)}/index-{uuid.uuid4().hex}"
     S.save_index(_docs(s, d), path, "v1", buckets=8)
     return S.top(S.indexed_bm25(s, path, "v1", MULTI, buckets=8), 10, ["qid"]).withColumnRenamed("id", "doc_id")
 

@@ -207,7 +207,7 @@ def _(s, d):
 
 @query("stream_rollup", "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS n FROM events GROUP BY 1")
 def _(s, d):
-    path = f"{X.shared_dir(s)}/rollup-{__import__('uuid').uuid4().hex}"
+    path = f"{X.own_dir(s)}/rollup-{__import__('uuid').uuid4().hex}"
     day = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd").alias("date")
     X.daily_upserts(X.stream_table(s, d, "events"), path, lambda b: b.groupBy(day).agg(F.count("*").alias("n")), lambda b: b.groupBy("date").agg(F.sum("n").alias("n")))
     return s.read.parquet(path).select(F.date_format(F.col("date").cast("date"), "yyyy-MM-dd").alias("date"), "n")
@@ -229,7 +229,7 @@ FRAMES = [("s1", 0, 'data: {"choices":[{"delta":{"content":"Hel'), ("s1", 1, 'lo
 
 
 def _frames(s):
-    path = f"{X.shared_dir(s)}/chunks-{__import__('uuid').uuid4().hex}"
+    path = f"{X.own_dir(s)}/chunks-{__import__('uuid').uuid4().hex}"
     D.values(s, FRAMES, "stream_id string, seq long, chunk string").coalesce(1).write.parquet(path)
     return X.frames(s.readStream.schema("stream_id string, seq long, chunk string").parquet(path))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import uuid
 from pathlib import Path
 
@@ -55,22 +57,55 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    In local mode one of our own is made where it is unset, and removed at exit; a cluster must name one.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        found = f"file:///tmp/lodestore-shared-{sc.applicationId}"
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = f"/tmp/lodestore-shared-{sc.applicationId}"
+        atexit.register(shutil.rmtree, folder, True)
+        found = f"file://{folder}"
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one. It goes when the driver's Python exits, or with ``clean``."""
+    path = f"{shared_dir(spark)}/lodestore-{spark.sparkContext.applicationId}"
+    if path not in _OWN:
+        _OWN.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
+_OWN: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    local = path.removeprefix("file://")
+    if local.startswith("/"):
+        shutil.rmtree(local, ignore_errors=True)
+    elif spark.sparkContext._jsc is not None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this application has materialized; frames that still read it can't be used afterwards."""
+    _remove(spark, own_dir(spark))
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and return a reader of it.
 
     This cuts the lineage: a lost executor costs a reread, never a recomputation of the steps before.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestore-{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestore_path = path

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestore.session import shared_dir
-
 MAX_FILE_BYTES = 50 * 1024 * 1024
 SKIPPED_DIRS = ("node_modules", "bin", "obj", "dist", "build", "__pycache__", "venv", "packages", "target", "coverage")
 SOURCE_TYPES = ("cs", "js", "mjs", "cjs", "jsx", "ts", "tsx", "py")
@@ -76,9 +74,9 @@ def projects(spark: SparkSession, root: str, name: str, schema: T.StructType) ->
     return lines.select(*(F.col("row")[f.name].alias(f.name) for f in schema.fields), F.regexp_extract("file", rf"([^/]+)/{name}$", 1).alias("_project"))
 
 
-def save_version(df: DataFrame, table: str) -> str:
-    """Write a new version of a table in the shared folder; readers of the old one aren't disturbed. Returns its path."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{table}/{uuid.uuid4().hex}"
+def save_version(df: DataFrame, base: str, table: str) -> str:
+    """Write a new version of a table under a shared folder; readers of the old one aren't disturbed. Returns its path."""
+    path = f"{base}/{table}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return path
 

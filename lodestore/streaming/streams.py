@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lodestore.operators.requests import Breaker
-from lodestore.session import python_path, shared_dir
+from lodestore.session import own_dir, python_path, shared_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -35,20 +35,20 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def run_append(stream: DataFrame) -> DataFrame:
     """Run over what is there, into Parquet; the result as a table."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{own_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
 def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    base = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    base = f"{own_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
     stream.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", base).trigger(availableNow=True).start().awaitTermination()
 
 
 def run_complete(stream: DataFrame) -> DataFrame:
     """Run an aggregate over what is there; each batch rewrites the whole result, the last one is returned."""
     spark = stream.sparkSession
-    path = f"{shared_dir(spark)}/complete-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/complete-{uuid.uuid4().hex}"
     run_batches(stream, lambda batch, n: batch.write.parquet(f"{path}/{n:08d}"), "complete")
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*")
     found = sorted(str(f.getPath()) for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
@@ -102,7 +102,7 @@ def latest_per_key(events: DataFrame, handle: Callable[[DataFrame], None], key:
 def tail(spark: SparkSession, path: str, schema, rebuild: Callable[[DataFrame], None], every: str = "500 milliseconds"):
     """A query that rebuilds an index whenever files arrive; the caller stops it."""
     stream = spark.readStream.schema(schema).json(path)
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{own_dir(spark)}/stream-{uuid.uuid4().hex}"
     return stream.writeStream.foreachBatch(lambda df, _: rebuild(df)).option("checkpointLocation", base).trigger(processingTime=every).start()
 
 

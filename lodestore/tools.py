@@ -60,6 +60,13 @@ def memory_search(store: Store, query: str, query_vector: Sequence[float] | None
     return hits.unionByName(found.select(F.lit("decision").alias("kind"), "id", "score", "rank", F.lit("bm25").alias("sources")))
 
 
+def memory_connections(store: Store, hits: DataFrame, depth: int = 2, limit: int = 10) -> DataFrame:
+    """The graph around the entities of the findings among ``hits`` (kind, id); the few hits' entities are fetched to seed it."""
+    seeds = [r.e for r in hits.filter("kind = 'research'").select("id").join(store.research, "id").select(F.explode("entities").alias("e")).distinct().orderBy("e").collect()]
+    found = graph.k_hop(store.triples, seeds or [""], depth)
+    return found.orderBy("hop", "entity", "target", "predicate", "src").limit(limit)
+
+
 def script_search(store: Store, query: str, limit: int = 5) -> DataFrame:
     docs = store.scripts.select("id", search.searchable_script(F.col("name"), F.col("description"), F.col("tags")).alias("text"))
     return search.top(search.bm25(docs, {0: query}).select("id", "score"), limit).join(store.scripts, "id")

@@ -250,6 +250,9 @@ def test_tools_over_a_store(spark):
     s = tools.Store(r, d, vectors=v)
     hits = [(x.kind, x.id) for x in tools.memory_search(s, "xpath", [1.0, 0.1]).orderBy(F.desc("kind"), "rank").collect()]
     assert hits == [("research", 1), ("research", 2), ("decision", 1)]
+    t = spark.createDataFrame([("dom", "uses", "tree", 1), ("tree", "has", "node", 2), ("ci", "runs", "tests", 3)], "s string, p string, o string, src long")
+    near = tools.memory_connections(tools.Store(r, d, triples=t), tools.memory_search(s, "xpath").filter("kind = 'research'"))
+    assert [(x.entity, x.target) for x in near.collect()] == [("dom", "tree"), ("tree", "node")]
     new = spark.createDataFrame([(7, "xpath", ["a", "b"], "again"), (8, "new", ["z"], "x")], "id long, topic string, tags array<string>, finding string")
     assert {x.id for x in tools.memory_save(s, new).collect()} == {1, 2, 8}
     done = tools.run_maintenance(s, now=100 * 86400)

@@ -20,8 +20,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id. Of rows that repeat an id one stays."""
-    return simhash.keep_representatives(docs)
+    """One document of each group of near-duplicates: the one with the smallest id. Of rows that repeat an id one stays.
+
+    Linked are texts whose 5-word shingles have a Jaccard similarity of 0.8 or more, and those whose fingerprints op9 links.
+    """
+    return simhash.keep_representatives(docs, similarity=0.8)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestore.llm import golay
+from lodestore.llm import golay, shingles
 from lodestore.llm.components import connected_components
 from lodestore.session import materialize, python_path, read_table
 
@@ -156,30 +156,37 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long").distinct()
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, distance: int = 4) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, distance: int = 4, similarity: float | None = None) -> DataFrame:
     """One row per document: id, fp long, component_id (smallest id reachable over links, itself included), component.
 
     Documents of one fingerprint are linked by definition and are joined as one node, so copies
     never make pairs. Null ids keep their row; they belong to the component of their fingerprint,
     and a component of null ids alone has component_id null (``component``, its smallest
-    fingerprint, tells such ones apart). Empty tables give no rows.
+    fingerprint, tells such ones apart). Empty tables give no rows. With ``similarity``, documents
+    whose sets of 5-word shingles have that Jaccard similarity or more are linked too.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, shingle_words), "fp")
+    if similarity is None:
+        fps = materialize(fingerprints(docs, id_col, text_col, shingle_words), "fp")
+    else:
+        fps = materialize(shingles.sketches(docs, lambda t: fingerprint(t, shingle_words), id_col, text_col), "sketch")
     # nodes are the fingerprints themselves; the smallest document id of a component is taken afterwards
     nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("low")), "fpnode")
-    comp = connected_components(fingerprint_links(nodes, distance)).select(F.col("node").alias("fp"), "component")
+    links = fingerprint_links(nodes, distance)
+    if similarity is not None:
+        links = shingles.similar_links(fps, links, similarity)
+    comp = connected_components(links).select(F.col("node").alias("fp"), "component")
     full = nodes.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     low = full.groupBy("component").agg(F.min("low").alias("component_id"))
     by_fp = materialize(full.join(low, "component").select("fp", "component_id", "component"), "fpcomp")
     return fps.join(by_fp, "fp").select("id", "fp", "component_id", "component")
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, distance: int = 4) -> DataFrame:
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, distance: int = 4, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs``, unchanged, of which each stands for its component: those with the smallest id.
 
     Of rows that repeat that id one stays. A component of null ids alone keeps one row.
     """
-    comps = materialize(simhash_components(docs, id_col, text_col, shingle_words, distance), "comps")
+    comps = materialize(simhash_components(docs, id_col, text_col, shingle_words, distance, similarity), "comps")
     kept = comps.filter("id = component_id").select(F.col("id").alias("k"))
     # the row travels as one struct: its columns can't clash with ours
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.struct(*docs.columns).alias("row"))

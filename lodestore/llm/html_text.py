@@ -4,7 +4,8 @@ A page becomes a tree of nodes. Each node's density is its characters per tag, a
 much of it is link text; the node whose children's densities have the largest sum holds the
 article. The smallest density on the path from it to the body is the page's threshold: on that
 path the subtree may grow to the enclosing article or main element, and sparser blocks of links
-within it are menus. What tags and names say is never content (navigation, footers, forms,
+within it are menus. Without such an element, all blocks beside the path that reach the threshold
+are text too, and sparser containers among them are left out. What tags and names say is never content (navigation, footers, forms,
 adverts, notices, reader comments, hidden parts) is left out beforehand.
 """
 
@@ -34,6 +35,8 @@ SIBLINGS = {
     "li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
     "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th"), "thead": ("tbody", "thead", "tfoot", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tfoot", "tr", "td", "th"),
 }
+#: below the threshold these are left out beside text
+CONTAINER = frozenset("div section center table tbody tr td".split())
 SCOPE = frozenset("table ul ol dl menu div section article main body html".split())
 NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side-bar|comments?|comment-?list|disqus|respond|replies|cookies?|consent|gdpr|notices?|alert|popup|pop-up|modal|overlay|newsletter|subscribe|subscription|signup|login|menu|nav\w*|navbar|breadcrumbs?|pagination|pager|footer|masthead|site-?header|page-?header|share|sharing|social|related|recommended|widget|toolbar|skip|search|hidden|sr-only|visually-hidden)(?=$|[\s_-])",
@@ -168,6 +171,32 @@ class Page:
         if text and not self.out[node]:
             self.items.append((node, html.unescape(text) if "&" in text else text))
 
+    def _grow(self, best: int, body: int, end: list[int], density: list[float], threshold: float) -> tuple[int, list[bool]]:
+        """The topmost node from ``best`` to the body with a further block as dense as the threshold, and what is left out below it."""
+        n = len(self.tag)
+        left, dense = [False] * n, [False] * n  # dense: the node or one below it is such a block
+        for k in range(n - 1, 0, -1):
+            dense[k] = dense[k] or (not self.out[k] and self.tag[k] in BLOCK and density[k] >= threshold > 0)
+            dense[self.parent[k]] = dense[self.parent[k]] or (dense[k] and not self.out[k])
+        top, path, k = best, {best}, best
+        beside: dict[int, list[int]] = {}
+        for c in range(1, n):
+            beside.setdefault(self.parent[c], []).append(c)
+        while k not in (body, 0):
+            k = self.parent[k]
+            path.add(k)
+            if any(c not in path and dense[c] and not self.out[c] for c in beside[k]):
+                top = k
+        part = [False] * n  # of these nodes only some children are kept
+        part[top] = top != best
+        for k in range(top + 1, end[top]):
+            if part[self.parent[k]] and k != best:
+                if k in path:
+                    part[k] = True
+                elif self.tag[k] in CONTAINER and density[k] < threshold:
+                    left[k], part[k] = not dense[k], dense[k]
+        return top, left
+
     def main_text(self) -> str:
         """Blocks of the chosen subtree, joined by newlines; white space within a block is one space."""
         n = len(self.tag)
@@ -202,6 +231,7 @@ class Page:
         best = max(range(body, n), key=lambda k: (not self.out[k], sums[k], density[k], -k))
         if sums[best] <= 0:
             best = body
+        left = [False] * n
         threshold, path, k = density[best], [best], best
         while k not in (body, 0) and k > 0:
             k = self.parent[k]
@@ -214,9 +244,10 @@ class Page:
         else:
             if best not in (body, 0) and self.tag[best] in ("p", "li", "td", "blockquote", "h1", "h2", "pre", "ul", "ol", "tr"):
                 best = self.parent[best]  # a single block isn't an article: take its siblings in
-        menu = [False] * n
+            best, left = self._grow(best, body, end, density, threshold)
+        menu = left
         for k in range(best + 1, end[best]):
-            menu[k] = menu[self.parent[k]] or (self.tag[k] in ("ul", "ol", "div", "section", "table", "dl") and link_tags[k] >= 3 and link_chars[k] > 0.6 * chars[k] and density[k] < threshold)
+            menu[k] = menu[k] or menu[self.parent[k]] or (self.tag[k] in ("ul", "ol", "div", "section", "table", "dl") and link_tags[k] >= 3 and link_chars[k] > 0.6 * chars[k] and density[k] < threshold)
         blocks, now = [], []
         for node, text in self.items:
             if text is None:

@@ -47,7 +47,7 @@ def _(s, d):
 
 @query("graph_reranked")
 def _(s, d):
-    entries = D.values(s, [(i, [f"cust_{i}"]) for i in range(500)], "id long, entities array<string>")
+    entries = _vecs(s, d).select("id", F.array(F.concat(F.lit("cust_"), F.col("id").cast("string"))).alias("entities"))
     return S.graph_reranked(S.cosine_scores(_vecs(s, d), _vec0(s, d)), entries, lambda seeds: G.k_hop(D.triples(s, d), seeds, 1)).select("id", F.round("score", 6).alias("score"), "from_graph")
 
 

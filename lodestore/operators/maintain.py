@@ -127,6 +127,12 @@ def heatmap(findings: DataFrame, project: str, tags: list[str]) -> DataFrame:
     return f.groupBy(project).agg(*(F.count_if(F.col("tag") == t).alias(t) for t in tags))
 
 
+def top_heatmap(findings: DataFrame, project: str, n: int = 12) -> DataFrame:
+    """(project, tag, n) for the most frequent tags of all findings; ties by name, no row where there are none."""
+    f = findings.select(project, F.explode("tags").alias("tag"))
+    return f.join(tag_counts(findings, n).select("tag"), "tag").groupBy(project, "tag").agg(F.count("*").alias("n"))
+
+
 def activity(findings: DataFrame, decisions: DataFrame) -> DataFrame:
     """(day, research, decisions) from epochs."""
     day = F.date_format(F.timestamp_seconds("epoch"), "yyyy-MM-dd").alias("day")

@@ -120,6 +120,11 @@ def _(s, d):
     return M.heatmap(f, "source", ["en", "de", "fr"])
 
 
+@query("tag_heatmap_top", f"WITH {FI}, t AS (SELECT tags[2] AS source, unnest(tags) AS tag FROM findings), top AS (SELECT tag FROM t GROUP BY tag ORDER BY count(*) DESC, tag LIMIT 12) SELECT source, tag, count(*) AS n FROM t JOIN top USING (tag) GROUP BY source, tag")
+def _(s, d):
+    return M.top_heatmap(D.findings(s, d).withColumn("source", F.get("tags", F.lit(1))), "source")
+
+
 @query("activity_timeline", f"WITH {FI}, b AS (SELECT strftime(make_timestamp(epoch * 1000000), '%Y-%m-%d') AS day, 1 AS r, 0 AS d FROM findings UNION ALL SELECT strftime(make_timestamp((1704067200 + item_id * 7200) * 1000000), '%Y-%m-%d'), 0, 1 FROM benchmark) SELECT day, sum(r)::BIGINT AS research, sum(d)::BIGINT AS decisions FROM b GROUP BY day")
 def _(s, d):
     return M.activity(D.findings(s, d), D.table(s, d, "benchmark").select((F.lit(1704067200) + F.col("item_id") * 7200).alias("epoch")))

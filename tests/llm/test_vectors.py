@@ -1,4 +1,9 @@
+import math
+import random
+from fractions import Fraction
+
 import numpy as np
+import pytest
 
 from lodestore.llm import mtree, vectors
 from tests import oracle
@@ -36,13 +41,38 @@ def test_links_and_components_match_brute_force(spark):
     assert got == {i: (int(links[i]), int(comp[i]), comp[i] == i) for i in range(len(x))}
 
 
-def test_small_cells_and_blocks_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "CELL_ROWS", 16)
-    monkeypatch.setattr(vectors, "grid_dimensions", lambda n: 3)
-    x = planted()[:200]
+@pytest.mark.parametrize("width", [8, 16])
+def test_many_small_tiles_give_the_same(spark, monkeypatch, width):
+    monkeypatch.setattr(vectors, "block_dims", lambda n: width)
+    monkeypatch.setattr(vectors, "LEAF_ROWS", 8)
+    x = planted()[:240]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     links, comp = brute(x)
-    assert {r.id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()} == {i: (int(links[i]), int(comp[i])) for i in range(200)}
+    assert {r.id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df, tile_rows=16).collect()} == {i: (int(links[i]), int(comp[i])) for i in range(240)}
+
+
+def test_splits_place_all_within_reach():
+    r = np.random.default_rng(3)
+    x = r.integers(-100, 100, (400, 4))
+    tree = vectors.Splits(x[:100], 12)
+    row, leaf, home = tree.place(x, 900.0)
+    at = {}
+    for i, j, h in zip(row.tolist(), leaf.tolist(), home.tolist(), strict=True):
+        at.setdefault(i, {})[j] = h
+    own = {i: [j for j, h in v.items() if h] for i, v in at.items()}
+    assert all(len(v) == 1 for v in own.values()) and len(own) == 400 and len({v[0] for v in own.values()}) > 8
+    for i in range(400):
+        assert max(at[i]) == own[i][0]  # visits go to lower leaves only
+        for j in range(400):
+            if ((x[i] - x[j]) ** 2).sum() <= 900 and own[j][0] < own[i][0]:
+                assert own[j][0] in at[i]
+
+
+def test_sizes_of_any_order(spark):
+    big = [[3e200, 4e200], [3e-200, 4.00001e-200], [5e-324, 0.0], [-4e200, 3e200], [1e308, 1e-308]]
+    df = spark.createDataFrame(list(enumerate(big)), "vec_id long, embedding array<double>")
+    got = {r.id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (1, 2), 3: (0, 3), 4: (1, 2)}
 
 
 ODD = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [None, 1.0]), (8, []), (None, [1.0, 0.0]), (9, [2.0, 0.0]), (10, [1.0, 0.0, 0.0]), (11, [1.0]), (12, [-1.0, 0.0])]
@@ -58,8 +88,8 @@ def test_odd_vectors(spark):
 
 
 def test_pigeonhole_radii():
-    block, sure, beyond = vectors.radii(64, 0.95)
-    assert len(block) == 8 and sure < 0.1 * vectors.UNIT**2 < beyond
+    block, sure, beyond = vectors.radii(64, 0.95, 16)
+    assert len(block) == 4 and sure < 0.1 * vectors.UNIT**2 < beyond
     q = vectors.rotation(64)
     assert np.allclose(q @ q.T, np.eye(64), atol=1e-12)
 
@@ -69,7 +99,7 @@ def test_m_tree_finds_what_a_scan_finds():
     base = r.integers(-300, 300, (40, 16))
     x = np.vstack([base[r.integers(0, 40, 3000)] + r.integers(-6, 7, (3000, 16)), np.repeat(base[:1], 300, 0)])
     ids = r.permutation(len(x))
-    tree = mtree.MTree(x, ids, (x * x).sum(1).max())
+    tree = mtree.MTree(x, ids, page=64)
     done = 0
     for i in range(25):
         q = x[i * 7]
@@ -87,11 +117,40 @@ def test_top_products_of_odd_rows(spark):
     rows = [*ODD, (100, [1.0, 0.5]), (100, [1.0, 0.5]), (200, [1.0, 0.0, 0.0]), (300, None), (0, [float("nan"), 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in mtree.top_products(df).orderBy("query_id", "rank").collect()]
-    two = [(9, 2 * 1024 * 1024), (1, 1024 * 1024), (2, 1024 * 1024), (2, 1024 * 1024), (4, 0), (12, -1024 * 1024)]
-    assert got == [(100, i + 1, v, s) for i, (v, s) in enumerate(two)] + [(200, 1, 10, 1024 * 1024)]
+    one = 1024 * 1024
+    two = [(9, 2 * one), (100, one + one // 4), (1, one), (2, one), (2, one), (4, 0), (12, -one)]
+    # of queries that repeat an id each has its ranks, and the other for a candidate
+    assert got == sorted([(100, i + 1, v, s) for i, (v, s) in enumerate(two)] * 2 + [(200, 1, 10, one)])
     assert mtree.top_products(df.limit(0)).count() == 0
 
 
+def brute_products(rows, k=10, every=100):
+    """By Python's integers, of any size."""
+    whole = [(i, [math.floor(Fraction(y) * 1024) for y in x]) for i, x in rows]
+    out = []
+    for n, (i, q) in enumerate(whole):
+        if i % every == 0:
+            scores = sorted((-sum(a * b for a, b in zip(q, x, strict=True)), j) for m, (j, x) in enumerate(whole) if m != n and len(x) == len(q))
+            out += [(i, r + 1, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(scores[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("sizes", [(1e5,), (4e6,), (2.0**31, 1.0), (3e9,), (1e18, 1e3), (1e305, 1e-300, 1.0)])
+def test_scores_of_any_size_are_exact(spark, monkeypatch, sizes):
+    monkeypatch.setattr(mtree, "TREE_ROWS", 20)
+    r = random.Random(len(sizes))
+    rows = [(i % 380, [r.uniform(-1, 1) * r.choice(sizes) for _ in range(6)]) for i in range(400)]
+    rows += [(400 + i, rows[3][1]) for i in range(30)]  # ties
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(x) for x in mtree.top_products(df).collect()) == brute_products(rows)
+
+
+def test_order_text_orders_what_long_cannot_tell_apart():
+    scores = sorted([0, 2**63 - 1, 2**63, -(2**63), -(2**63) - 1, 10**30, 10**29, -(10**30), -(10**29), 3 * 10**29, -3 * 10**29])
+    clamp = lambda s: max(-(2**63), min(2**63 - 1, s))
+    assert sorted(scores, key=lambda s: (clamp(s), mtree.order_text(s))) == scores
+
+
 def test_queries_match_their_sql(spark, sf):
     con = oracle.connect(sf)
     assert oracle.spark_rows(vectors.op1(spark, sf)) == oracle.sql_rows(con, vectors.OP1_SQL)

@@ -34,7 +34,7 @@ SAMPLE = 8192
 
 def block_dims(rows: int) -> int:
     """Dimensions of a block. Wide ones have fewer chance pairs, narrow ones are divided better by many tiles; results are the same."""
-    return 16 if rows < 1 << 21 else 8
+    return 32 if rows < 1 << 18 else 16 if rows < 1 << 21 else 8
 
 
 def rotation(dims: int, seed: int = 7) -> np.ndarray:
@@ -163,7 +163,7 @@ def _leaves(x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _near_tiles(x: np.ndarray, y: np.ndarray, x_rank: np.ndarray, y_rank: np.ndarray, limit: int, cols: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _near_tiles(x: np.ndarray, y: np.ndarray, x_rank: np.ndarray, y_rank: np.ndarray, limit: int, cols: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, columns, boolean matrix) of pairs that may be within ``limit`` in a block; certainly all that are, of those where the row's rank is below the column's.
 
     One product per matrix: |a|^2 + |b|^2 - 2ab as an inner product of vectors with two more
@@ -187,8 +187,9 @@ def _near_tiles(x: np.ndarray, y: np.ndarray, x_rank: np.ndarray, y_rank: np.nda
         for j in range(0, len(all_cols), cols):
             at = all_cols[j : j + cols]
             near = a[rows] @ b[at].T >= least
-            if near.any():
-                yield rows, at, near
+            hit = near.any(1)
+            if hit.any():
+                yield rows[hit], at, near[hit]
 
 
 def join_tile(block: int, width: int, home: np.ndarray, other: np.ndarray, home_id: np.ndarray, other_id: np.ndarray, home_rank: np.ndarray, other_rank: np.ndarray, home_n: np.ndarray, other_n: np.ndarray, min_cos: float):
@@ -346,11 +347,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     found = dealt.groupBy("dims", "block", "tile", "i", "j").applyInArrow(tile, "kind int, a long, b long, n long")
     found = materialize(found, "links")
     discard(spread)
-    unit = classes.select("cid", "n", F.col("x").cast("array<double>").alias("x")).withColumn("x", scaled("x"))
+    unit = classes.select("cid", "n", F.col("x").cast("array<double>").alias("x"))
     exact = (
         found.filter("kind = 2").select("a", "b").distinct()
         .join(unit.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("x").alias("xa")), "a")
         .join(unit.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("x").alias("xb")), "b")
+        .select("a", "b", "na", "nb", scaled("xa").alias("xa"), scaled("xb").alias("xb"))
         .filter(dot("xa", "xb") / (F.sqrt(dot("xa", "xa")) * F.sqrt(dot("xb", "xb"))) >= min_cos)
         .select("a", "b", "na", "nb")
     )

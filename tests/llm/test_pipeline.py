@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 from lodestore.llm import crf, secrets
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_shingles import brute_representatives
 
 
 @pytest.fixture(scope="module")
@@ -34,9 +34,8 @@ def test_quality_keeps_what_the_model_keeps(spark, sf, stages):
 
 def test_one_document_of_each_group(stages):
     before = table(stages[1])
-    ids = sorted(before)
-    comp = brute_components([brute_fingerprint(before[i].text) for i in ids])
-    assert table(stages[2]) == {ids[c]: before[ids[c]] for c in set(comp)}
+    kept = brute_representatives({i: r.text for i, r in before.items()})
+    assert table(stages[2]) == {i: before[i] for i in kept}
 
 
 def test_secrets_are_gone_and_the_rest_is_kept(stages):

@@ -57,6 +57,23 @@ def test_stage_drops_ordinary_near_copies(spark, sf):
     assert {x.doc_id for x in corpus_pipeline.near_dedup_stage(spark, docs, sf).collect()} == brute_representatives(rows)
 
 
+def test_groups_around_the_threshold_in_small_parts(spark, sf, monkeypatch):
+    """A large group whose pairs lie on both sides of 0.8, cut into many parts."""
+    monkeypatch.setattr(shingles, "PART_BYTES", 12_000)
+    monkeypatch.setattr(shingles, "NEXT", 1)
+    r = random.Random(11)
+    base, rows = [f"w{r.randrange(4000)}" for _ in range(150)], {}
+    for i in range(120):
+        words = list(base)
+        for _ in range(r.randrange(2, 7)):
+            words[r.randrange(150)] = f"new{r.randrange(10**6)}"
+        rows[i] = " ".join(words)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    want = brute_representatives(rows)
+    assert 1 < len(want) < 120
+    assert {x.doc_id for x in corpus_pipeline.near_dedup_stage(spark, docs, sf).collect()} == want
+
+
 def test_stage_matches_brute_force_on_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = brute_representatives({x.doc_id: x.text for x in docs.collect()})

@@ -4,33 +4,40 @@ For every participant of a conversation the dialogue is rendered with that speak
 assistant, all others as named users, and a mask over the assistant's words. System messages
 are instructions of no participant; they stay system messages in each rendering.
 
-A rendering is cut into parts by turn number (``part_turns`` turns each), so a conversation of
-any length is never gathered in one task; rows that repeat a turn go to further parts, a few
-copies each. Parts in order (part, copies) make the dialogue.
+A rendering is one text, stored in parts by turn number (``part_turns`` turns each), so that a
+conversation of any length is never gathered in one task; rows that repeat a turn go to further
+parts, a few copies each. The parts' texts in order of ``offset`` make the dialogue, and masks
+count from its beginning, so where it is cut makes no difference.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
+def _plain(col: str, missing: str) -> Column:
+    return F.replace(F.coalesce(F.col(col).cast("string"), F.lit(missing)), F.lit("<|"), F.lit("< |"))
+
+
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", part_turns: int = 32, part_copies: int = 4, system: str = "system") -> DataFrame:
-    """(conv_id, assistant, part, copies, n_messages, rendered, mask) for every participant and part.
+    """(conv_id, assistant, part, copies, offset, n_messages, rendered, mask) for every participant and part.
 
-    mask: ``start:end`` spans of code points in ``rendered``, comma-joined: the assistant's texts
-    and end marks. A null speaker is the participant ``unknown``; null texts are empty; a null
+    offset: where the part begins in the whole dialogue. mask: ``start:end`` spans of code points
+    in the whole dialogue, comma-joined: the assistant's texts and end marks. ``<|`` in texts and
+    names becomes ``< |`` and line ends in names become spaces, so that nobody can forge a
+    message. A null speaker is the participant ``unknown``; null texts are empty; a null
     turn is part -1; null conversations are one conversation. A conversation of system messages
     alone has no participant and no row. Messages of equal turn are ordered by speaker and text.
     """
     t = turns.select(
         F.col(conv_col).alias("conv_id"),
         F.col(turn_col).cast("long").alias("turn"),
-        F.coalesce(F.col(speaker_col).cast("string"), F.lit("unknown")).alias("speaker"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        F.translate(_plain(speaker_col, "unknown"), "\r\n", "  ").alias("speaker"),
+        _plain(text_col, "").alias("text"),
     )
     people = t.filter(F.col("speaker") != system).select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("assistant")).distinct()
     t = t.withColumn("copy", F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("speaker", "text")) - 1)
@@ -39,14 +46,19 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     own = F.col("speaker") == F.col("assistant")
     head = F.when(own, F.lit("assistant")).when(F.col("speaker") == system, F.lit("system")).otherwise(F.concat(F.lit("user name="), "speaker"))
     head = F.concat(F.lit(START), head, F.lit("\n"))
-    message = F.struct("turn", "copy", "speaker", "text", head.alias("head"), own.alias("own"), (F.length("text") + len(END) - 1).alias("masked"), (F.length(head) + F.length("text") + len(END)).alias("size"))
-    g = t.groupBy("conv_id", "assistant", "part", "copies").agg(F.array_sort(F.collect_list(message)).alias("m"))
+    size = F.length(head) + F.length("text") + len(END)
+    key = ["conv_id", "assistant", "part", "copies"]
+    before = W.partitionBy("conv_id", "assistant").orderBy("part", "copies").rowsBetween(W.unboundedPreceding, -1)
+    offsets = t.groupBy(*key).agg(F.sum(size.cast("long")).alias("all")).select(*(F.col(c).alias(f"_{c}") for c in key), F.coalesce(F.sum("all").over(before), F.lit(0)).alias("offset"))
+    message = F.struct("turn", "copy", "speaker", "text", head.alias("head"), own.alias("own"), (F.length("text") + len(END) - 1).alias("masked"), size.alias("size"))
+    g = t.groupBy(*key).agg(F.array_sort(F.collect_list(message)).alias("m"))
     # running offsets: the array holds part_turns * part_copies messages at most
-    start = F.transform("m", lambda _, i: F.aggregate(F.slice("m", 1, i), F.lit(0), lambda s, x: s + x["size"]))
-    g = g.withColumn("at", start)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    g = g.join(offsets, same[0] & same[1] & same[2] & same[3])
+    g = g.withColumn("at", F.transform("m", lambda _, i: F.aggregate(F.slice("m", 1, i), F.col("offset"), lambda s, x: s + x["size"])))
     spans = F.zip_with("m", "at", lambda x, a: F.when(x["own"], F.concat((a + F.length(x["head"])).cast("string"), F.lit(":"), (a + F.length(x["head"]) + x["masked"]).cast("string"))))
     return g.select(
-        "conv_id", "assistant", "part", "copies", F.size("m").cast("long").alias("n_messages"),
+        *key, "offset", F.size("m").cast("long").alias("n_messages"),
         F.array_join(F.transform("m", lambda x: F.concat(x["head"], x["text"], F.lit(END))), "").alias("rendered"),
         F.array_join(F.filter(spans, lambda x: x.isNotNull()), ",").alias("mask"),
     )
@@ -59,7 +71,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+  SELECT conv_id, turn, translate(replace(coalesce(role, 'unknown'), '<|', '< |'), chr(13) || chr(10), '  ') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
 n AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY speaker, text) - 1 AS copy FROM t),
 p AS (SELECT DISTINCT conv_id, speaker AS assistant FROM t WHERE speaker <> 'system'),
@@ -69,9 +81,9 @@ j AS (
          '<|im_start|>' || CASE WHEN n.speaker = p.assistant THEN 'assistant' WHEN n.speaker = 'system' THEN 'system' ELSE 'user name=' || n.speaker END || chr(10) AS head
   FROM n JOIN p ON n.conv_id IS NOT DISTINCT FROM p.conv_id),
 o AS (
-  SELECT *, coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, assistant, part, copies ORDER BY turn NULLS FIRST, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
+  SELECT *, coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, assistant ORDER BY part, copies, turn NULLS FIRST, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
   FROM j)
-SELECT conv_id, assistant, part, copies, count(*)::BIGINT AS n_messages,
+SELECT conv_id, assistant, part, copies, min(off) AS "offset", count(*)::BIGINT AS n_messages,
        string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, copy) AS rendered,
        coalesce(string_agg(CASE WHEN own THEN (off + length(head)) || ':' || (off + length(head) + length(text) + 10) END, ',' ORDER BY turn NULLS FIRST, copy), '') AS mask
 FROM o GROUP BY conv_id, assistant, part, copies

@@ -26,8 +26,8 @@ from lodestore.session import python_path, read_table
 
 #: at most so many labelled documents are used for training (the first by a hash of their ids)
 SAMPLE_DOCS = 2500
-#: and of these only as many as have so many characters together
-SAMPLE_CHARS = 32_000_000
+#: of these only texts of at most so many characters each, and as many as have so many characters together
+DOC_CHARS, SAMPLE_CHARS = 1_000_000, 32_000_000
 _SYMBOLS = b"#$%&*|<>{}[]\\/=+_~^@`"
 _CLASSES = 10
 
@@ -206,8 +206,12 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Fit on at most ``sample_docs`` labelled documents of ``sample_chars`` characters outside the held-out fold, chosen by a hash of their ids."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, doc_chars: int = DOC_CHARS) -> Model:
+    """Fit on at most ``sample_docs`` labelled documents of ``sample_chars`` characters outside the held-out fold, chosen by a hash of their ids.
+
+    Longer texts than ``doc_chars`` are passed over, not those after them. Rows that repeat an id
+    are taken in the order of their texts' hashes, ``2 * sample_docs`` rows at most. Reruns agree.
+    """
     picked = (
         labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
         .filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out("id"))
@@ -215,9 +219,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64("id"), "id", "label")
         .limit(sample_docs)
     )
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").limit(2 * sample_docs)
-    order = W.orderBy(F.xxhash64("id"), "id", "label").rowsBetween(W.unboundedPreceding, 0)  # over the bounded sample
-    rows = rows.withColumn("upto", F.sum(F.coalesce(F.length("text"), F.lit(0))).over(order)).filter(F.col("upto") <= sample_chars).select("text", "label").collect()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("size", F.coalesce(F.length("text"), F.lit(0)))
+    order = [F.xxhash64("id"), F.col("id"), F.col("label"), F.xxhash64("text"), F.col("text")]
+    rows = texts.filter(F.col("size") <= doc_chars).join(F.broadcast(picked), "id").orderBy(*order).limit(2 * sample_docs)
+    upto = F.sum("size").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))  # over the bounded sample
+    rows = rows.withColumn("upto", upto).filter(F.col("upto") <= sample_chars).select("text", "label").collect()
     return fit([(r.text, r.label) for r in rows])
 
 

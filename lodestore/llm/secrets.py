@@ -1,15 +1,17 @@
 """Secret scan: fixed patterns, and a token-efficiency test for other random strings.
 
 A tokenizer trained on natural text needs few tokens for words and names but nearly one token
-for each two characters of a random string. A run of key characters that has a low ratio of
-characters to tokens is reported as ``random``, unless it is a digest of a usual length, a UUID
-or another plain identifier, or lies within a span that a pattern has found.
+for each two characters of a random string. What a run of key characters leaves beside the spans
+that patterns found is divided at segments that read as words; the rest is reported as ``random``
+where its ratio of characters to tokens is low, unless it is a digest of a usual length, a UUID or
+a number. Short strings need a lower ratio and letters of both cases or digits besides letters.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +29,10 @@ KINDS = ("assign", "access", "hex", "random")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: hex digits of common digests: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512
 DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: fewer characters than the first are no secret; fewer than the second need the lower ratio
+SHORTEST, LONG_ENOUGH = 16, 20
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+SEGMENT = re.compile(r"[A-Za-z0-9]+")
 ALL_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
 
@@ -55,32 +60,75 @@ def _encoding(path: str):
 
 
 def known(run: str) -> bool:
-    """Digests, UUIDs and identifiers: strings that look random or long but open nothing."""
-    if UUID.fullmatch(run) or (ALL_HEX.fullmatch(run) and len(run) in DIGESTS):
-        return True
-    kinds = any("a" <= c <= "z" for c in run) + any("A" <= c <= "Z" for c in run) + any("0" <= c <= "9" for c in run)
-    return kinds < 2  # numbers, words in one case, rules of - or =
+    """Digests, UUIDs and numbers: strings that look random or long but open nothing."""
+    return bool(UUID.fullmatch(run)) or bool(ALL_HEX.fullmatch(run) and len(run) in DIGESTS) or not any(c.isalpha() for c in run)
 
 
-def scan(text: str | None, max_ratio: float = 2.2, vocab: str | None = None) -> list[tuple[str, int, int]]:
+def token_ratio(text: str, vocab: str | None = None) -> float:
+    """Characters per token; long strings in slices."""
+    encode = _encoding(vocabulary_path("byte_bpe_50k.tiktoken", vocab)).encode_ordinary
+    return len(text) / sum(len(encode(text[i : i + 4096])) for i in range(0, len(text), 4096))
+
+
+def _mixed(run: str) -> bool:
+    """Digits besides letters, or capitals not only at the front."""
+    letters = "".join(c for c in run if c.isalpha())
+    return any(c.isdigit() for c in run) or not (letters.islower() or letters.isupper() or letters[1:].islower())
+
+
+def random_parts(text: str, start: int, end: int, max_ratio: float, short_ratio: float, vocab: str | None = None) -> Iterator[tuple[int, int]]:
+    """Spans of random strings in text[start:end], a run of key characters. Segments that read as words divide it, and beside such short ones belong to them (paths)."""
+
+    def word(s: str) -> bool:
+        return s.isalpha() and len(s) > 2 and (len(s) > 3 or s.islower()) and token_ratio(s, vocab) >= max_ratio
+
+    groups: list[list[tuple[int, int]]] = [[]]
+    for m in SEGMENT.finditer(text, start, end):
+        if word(m[0]):
+            groups.append([])
+        else:
+            groups[-1].append(m.span())
+    for g in groups:
+        if len(groups) > 1:
+            while g and g[0][1] - g[0][0] < 8:
+                g.pop(0)
+            while g and g[-1][1] - g[-1][0] < 8:
+                g.pop()
+        if not g or g[-1][1] - g[0][0] < SHORTEST:
+            continue
+        a, b = g[0][0], g[-1][1]
+        run = text[a:b]
+        if known(run) or (b - a < LONG_ENOUGH and not _mixed(run)):
+            continue
+        if token_ratio(run, vocab) < (max_ratio if b - a >= LONG_ENOUGH else short_ratio):
+            while b < end and text[b] == "=":
+                b += 1  # padding
+            yield a, b
+
+
+def scan(text: str | None, max_ratio: float = 2.2, short_ratio: float = 1.9, vocab: str | None = None) -> list[tuple[str, int, int]]:
     """All spans by start, then kind as in ``KINDS``. Null is an empty text; texts are read whole."""
     if not text:
         return []
     found = base_spans(text)
+    base = sorted((a, b) for _, a, b in found)
     more = []
     for m in RUN.finditer(text):
-        a, b = m.span()
-        if known(m[0]) or any(s < b and a < e for _, s, e in found):
+        at, end = m.span()
+        if known(m[0]):
             continue
-        tokens = sum(len(_encoding(vocabulary_path("byte_bpe_50k.tiktoken", vocab)).encode_ordinary(m[0][i : i + 4096])) for i in range(0, b - a, 4096))
-        if (b - a) / tokens < max_ratio:
-            more.append(("random", a, b))
+        for a, b in [*base[bisect_left(base, (at, 0)) - 1 if base and base[0][0] < at else 0 :], (end, end)]:
+            if a > at and min(a, end) - at >= SHORTEST:
+                more += [("random", x, y) for x, y in random_parts(text, at, min(a, end), max_ratio, short_ratio, vocab)]
+            if a >= end:
+                break
+            at = max(at, b)
     return sorted(found + more, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
 def redact(text: str | None, mark: str = "[SECRET]", max_ratio: float = 2.2, vocab: str | None = None) -> str | None:
     """The text with each secret replaced; of an assignment only the value goes."""
-    if not text or not (spans := scan(text, max_ratio, vocab)):
+    if not text or not (spans := scan(text, max_ratio, vocab=vocab)):
         return text
     cut = []
     for kind, a, b in spans:
@@ -97,14 +145,13 @@ def redact(text: str | None, mark: str = "[SECRET]", max_ratio: float = 2.2, voc
     return "".join([*out, text[at:]])
 
 
-
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_ratio: float = 2.2, vocab: str | None = None) -> DataFrame:
     """Per row: id, spans array<struct<kind, start, end>>. Null, empty and clean texts have an empty array; row order and other columns don't matter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
-            spans = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(t, max_ratio, vocab)] for t in b.column(1).to_pylist()]
+            spans = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(t, max_ratio, vocab=vocab)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], ["id", "spans"])
 
     python_path(docs.sparkSession)

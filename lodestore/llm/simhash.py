@@ -3,13 +3,17 @@
 A 64-bit fingerprint is cut into segments of 22, 21 and 21 bits. If two fingerprints differ
 in at most four bits, no two segments can have three errors or more, so at least one pair of
 segments has two errors at most in each: there both share a Golay key (see ``golay``), and
-the pair of keys (24 bits) is the join key. Every candidate is verified by its exact distance.
+the pair of keys (24 bits) is the join key. Of more than ``WIDE_ROWS`` fingerprints too many would
+share such a key; then the join key is either the three segments' Golay keys (36 bits), if each
+has two errors at most, or else one segment as it is with another's Golay key: with three errors
+or more in one segment, one of the other two has none and the other one at most. Every candidate
+is verified by its exact distance.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +27,8 @@ from lodestore.session import materialize, python_path, read_table
 
 #: (lowest bit, bits) of each segment
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: distinct fingerprints from which on the longer keys are used
+WIDE_ROWS = 4_000_000
 
 
 def fingerprint(text: str | None, shingle_words: int = 4, seed: int = 42) -> int:
@@ -60,10 +66,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
 
 
-def join_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every fuzzy join key of unsigned fingerprints."""
+def join_keys(fps: np.ndarray, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every fuzzy join key of unsigned fingerprints; ``wide``: the longer ones."""
     rows, out = [], []
-    found = [golay.keys(fps >> np.uint64(low) & np.uint64((1 << bits) - 1), bits) for low, bits in SEGMENTS]
+    parts = [fps >> np.uint64(low) & np.uint64((1 << bits) - 1) for low, bits in SEGMENTS]
+    found = [golay.keys(x, bits) for x, (_, bits) in zip(parts, SEGMENTS, strict=True)]
+    if wide:
+        a, b, c = found[0][:, :, None, None], found[1][:, None, :, None], found[2][:, None, None, :]
+        row, x, y, z = np.nonzero((a >= 0) & (b >= 0) & (c >= 0))
+        rows.append(row)
+        out.append((found[0][row, x].astype(np.int64) << 24 | found[1][row, y] << 12) | found[2][row, z])
+        for k, (i, j) in enumerate(permutations(range(len(SEGMENTS)), 2)):
+            row, x = np.nonzero(found[j] >= 0)
+            rows.append(row)
+            out.append((k + 1 << 40) | parts[i][row].astype(np.int64) << 12 | found[j][row, x])
+        return np.concatenate(rows), np.concatenate(out)
     for k, (i, j) in enumerate(combinations(range(len(SEGMENTS)), 2)):
         a, b = found[i][:, :, None], found[j][:, None, :]
         row, x, y = np.nonzero((a >= 0) & (b >= 0))
@@ -111,21 +128,22 @@ def link_runs(key: np.ndarray, fp: np.ndarray, distance: int, small: int = 16) -
     return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
 
 
-def fingerprint_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, distance: int = 4, wide: bool | None = None) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp`` whose transitive closure is that of all pairs within ``distance`` bits."""
     if not 0 <= distance <= 4:
         raise ValueError("the segments guarantee distances up to 4")
+    long_keys = distinct.count() > WIDE_ROWS if wide is None else wide
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             all_fps = b.column(0).to_numpy(zero_copy_only=False)
-            for i in range(0, len(all_fps), 4096):
-                fps = all_fps[i : i + 4096]
-                row, key = join_keys(fps.view(np.uint64))
+            for i in range(0, len(all_fps), 2048):
+                fps = all_fps[i : i + 2048]
+                row, key = join_keys(fps.view(np.uint64), long_keys)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row])], ["key", "fp"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_fp = np.empty(0, np.int64), np.empty(0, np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of one run, which the next batch may go on with
         out: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
@@ -140,14 +158,20 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
                     out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
 
         for batch in batches:
-            key = np.concatenate((held_key, batch.column(0).to_numpy(zero_copy_only=False)))
-            fp = np.concatenate((held_fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-            last = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last run may go on in the next batch
-            work(key[:last], fp[:last])
-            held_key, held_fp = key[last:], fp[last:]
+            key, fp = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            if not len(key):
+                continue
+            if not held or held[0][0][0] != key[-1]:  # the held run ends in this batch
+                last = int(np.searchsorted(key, key[-1]))
+                keys, fps = zip(*held, (key[:last], fp[:last]), strict=True)
+                work(np.concatenate(keys), np.concatenate(fps))
+                held, key, fp = [], key[last:], fp[last:]
+            held.append((key, fp))
             if sum(map(len, out)) > 500_000:
                 yield flush()
-        work(held_key, held_fp)
+        if held:
+            keys, fps = zip(*held, strict=True)
+            work(np.concatenate(keys), np.concatenate(fps))
         yield flush()
 
     python_path(distinct.sparkSession)
@@ -184,20 +208,22 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, distance: int = 4, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs``, unchanged, of which each stands for its component: those with the smallest id.
 
-    Of rows that repeat that id one stays. A component of null ids alone keeps one row.
+    Of rows that repeat that id one stays, and a component of null ids alone keeps one row: the
+    first by a hash of all its columns, so that reruns agree.
     """
     comps = materialize(simhash_components(docs, id_col, text_col, shingle_words, distance, similarity), "comps")
-    kept = comps.filter("id = component_id").select(F.col("id").alias("k"))
+    kept = comps.filter("id = component_id").groupBy(F.col("id").alias("k")).agg(F.count("*").alias("copies"))
     # the row travels as one struct: its columns can't clash with ours
-    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.struct(*docs.columns).alias("row"))
-    out = rows.join(kept.distinct(), "k", "left_semi")
-    if not kept.groupBy("k").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["k"])
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.struct(*docs.columns).alias("row"), F.xxhash64(*docs.columns).alias("order"))
+    out = rows.join(kept.filter("copies = 1"), "k", "left_semi").select("row")
+    again = kept.filter("copies > 1").select("k")
+    if not again.isEmpty():
+        out = out.unionByName(rows.join(again, "k", "left_semi").groupBy("k").agg(F.min_by("row", "order").alias("row")).select("row"))
     bare = comps.filter("id IS NULL AND component_id IS NULL").select("fp", "component").distinct()
     if not bare.isEmpty():
         own = F.pandas_udf(lambda texts: texts.map(lambda t: fingerprint(t, shingle_words)).astype("uint64").astype("int64"), "long")
         null_rows = rows.filter("k IS NULL").withColumn("fp", own(F.col("row")[text_col].cast("string")))
-        out = out.unionByName(null_rows.join(bare, "fp").dropDuplicates(["component"]).select("k", "row"))
+        out = out.unionByName(null_rows.join(bare, "fp").groupBy("component").agg(F.min_by("row", "order").alias("row")).select("row"))
     return out.select("row.*")
 
 

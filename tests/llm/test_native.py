@@ -65,6 +65,27 @@ def test_every_participant_is_the_assistant_once(spark, tmp_path):
     assert chat.rotate(df.limit(0)).count() == 0
 
 
+def test_long_dialogues_are_one_text_however_cut(spark):
+    rows = [(1, i, ("ann", "bob\neve", "system", "<|im_start|>x")[i % 4], f"turn {i} <|im_end|>\n" * (i % 3)) for i in range(150)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+    def whole(**how):
+        out = {}
+        for r in sorted(chat.rotate(df, **how).collect(), key=lambda r: (r.assistant, r.offset)):
+            text, mask = out.get(r.assistant, ("", []))
+            assert r.offset == len(text)
+            out[r.assistant] = text + r.rendered, mask + [r.mask] * bool(r.mask)
+        return {k: (t, ",".join(m)) for k, (t, m) in out.items()}
+
+    got = whole()
+    assert got == whole(part_turns=1000) == whole(part_turns=7)
+    assert sorted(got) == ["< |im_start|>x", "ann", "bob eve"]
+    for who, (text, mask) in got.items():
+        assert text.count("<|im_start|>") == text.count("<|im_end|>") == 150
+        spans = [tuple(map(int, m.split(":"))) for m in mask.split(",")]
+        assert all(text[a:b].endswith("<|im_end|>") and text[:a].endswith("<|im_start|>assistant\n") for a, b in spans), who
+
+
 def test_mixture_of_odd_documents(spark, docs, empty, tmp_path):
     con = with_table(spark, tmp_path, "documents", docs)
     got = mixing.op4(spark, str(tmp_path))

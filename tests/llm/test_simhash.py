@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from lodestore.llm import golay, simhash
@@ -76,11 +77,12 @@ def planted(n, seed):
     return out + [hub ^ (1 << a) ^ (1 << b) for a in range(10) for b in range(a)]
 
 
-def test_links_have_the_components_of_all_pairs(spark):
+@pytest.mark.parametrize("wide", [False, True])
+def test_links_have_the_components_of_all_pairs(spark, wide):
     fps = sorted(set(planted(150, 5)))
     signed = [int(np.uint64(x).astype(np.int64)) for x in fps]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    edges = simhash.fingerprint_links(df)
+    edges = simhash.fingerprint_links(df, wide=wide)
     at = {x: i for i, x in enumerate(signed)}
     for a, b in edges.collect():
         assert a in at and b in at
@@ -94,6 +96,22 @@ def test_links_have_the_components_of_all_pairs(spark):
         assert {found.get(x, x) for x in g} == {min(g)}
 
 
+def test_wide_keys_meet_within_four_errors():
+    r = np.random.default_rng(6)
+    w = r.integers(0, 1 << 63, 600).astype(np.uint64)
+    v = w.copy()
+    for i in range(len(v)):
+        low, bits = simhash.SEGMENTS[i % 3]
+        inside = r.choice(bits, i % 5, replace=False) + low  # errors in one segment, and the rest anywhere
+        for b in [*inside, *r.choice(64, 4 - i % 5, replace=False)]:
+            v[i] ^= np.uint64(1 << int(b))
+    keys = [set(), set()]
+    for k, x in enumerate((w, v)):
+        row, key = simhash.join_keys(x, True)
+        keys[k] = set(zip(row.tolist(), key.tolist(), strict=True))
+    assert {row for row, _ in keys[0] & keys[1]} == set(range(len(w)))
+
+
 def test_components_of_chains_and_repeats(spark):
     rows = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3), (50, 60), (60, 55)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(rows, "a long, b long")).collect()}
@@ -120,6 +138,9 @@ def test_one_of_each_group_stays(docs, empty):
     assert [i for n, i in ids if not n] == [1, 3, 4, 6, 9]
     assert sum(n for n, _ in ids) == 1  # the null id of a group of its own
     assert simhash.keep_representatives(empty).count() == 0
+    again = docs.selectExpr("7 AS doc_id", "'the same words' AS text", "source", "n_chars")
+    first = simhash.keep_representatives(again).collect()
+    assert len(first) == 1 and simhash.keep_representatives(again.repartition(3)).collect() == first
 
 
 def test_query_matches_brute_force(spark, sf):

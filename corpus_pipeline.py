@@ -21,6 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id. Of rows that repeat an id one stays.
+    Texts without words, null ones too, are one group; of a group of null ids alone one row stays.
 
     Linked are texts whose 5-word shingles have a Jaccard similarity of 0.8 or more, and those whose fingerprints op9 links.
     """
@@ -28,17 +29,20 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by a mark and n_chars brought up to date."""
+    """All documents, secrets in their texts replaced by a mark and n_chars brought up to date. Null and empty texts stay as they are; rows that repeat an id are each treated alike."""
     return secrets.redact_table(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture by target weights: a document has a row for each time it is taken, up to three."""
+    """The mixture by target weights, in slot order: a document has a row for each time it is taken, up to three.
+
+    Documents without words (null, empty) are in no mixture. A null source is a source; null and repeated ids are documents of their own.
+    """
     return mixing.mixed_documents(docs)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row's whole text, with checksums of the ids and of what they decode to."""
+    """Token ids of each row's whole text, with checksums of the ids and of what they decode to. A null text is encoded as an empty one; null ids keep their row."""
     return bpe.bpe_encode(docs).select(F.col("id").alias("doc_id"), "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 

@@ -7,6 +7,8 @@ import os
 import re
 import shutil
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,15 +47,21 @@ def python_path(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
 
 
+#: tables up to this size may be shuffled to spread them
+SMALL_BYTES = 256 << 20
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table for work that is heavy per row.
 
-    A small table in few row groups would keep one core busy; it is dealt to all of them. A table
-    that has a split per core or more is read as it is. Projections and filters still reach the scan.
+    A table of ``SMALL_BYTES`` at most may lie in one row group and would keep one core busy; it is
+    dealt to all of them. A larger one is read as it is. Projections and filters still reach the scan.
     """
     df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_BYTES or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -109,9 +117,29 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestore_path = path
+    for made in _SCOPES:
+        made.append(out)
     return out
 
 
+#: tables that ``materialize`` wrote in each open ``scratch``
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch(*keep: str) -> Iterator[None]:
+    """On leaving, delete the tables that ``materialize`` wrote within, but those of the given names, which what goes on still reads."""
+    made: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        for df in made:
+            if df._lodestore_path.rsplit("/", 1)[1].rsplit("-", 1)[0] not in keep:
+                discard(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote for a frame that nothing will read again."""
     path = getattr(df, "_lodestore_path", None)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestore.session import discard, materialize, read_table
+from lodestore.session import discard, materialize, read_table, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: 2^32 / golden ratio, to the nearest odd number
@@ -140,12 +140,14 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", **how) -> DataFrame
     are documents of their own. Partitions follow each other in slot order, and so do the rows of each.
     """
     # the row travels as one struct: its columns can't clash with ours; once written, its number stays
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("row")), "rows")
     number = "_".join(["rid", *docs.columns])
-    _, pieces = mix(rows.select(F.col("rid").alias(number), "row.*"), number, text_col=text_col, **how)
-    takes = pieces.groupBy("rid", "epoch").agg(F.min(F.struct("slot", "at")).alias("place"))
+    with scratch("rows", "takes"):
+        rows = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("row")), "rows")
+        _, pieces = mix(rows.select(F.col("rid").alias(number), "row.*"), number, text_col=text_col, **how)
+        takes = pieces.groupBy("rid", "epoch").agg(F.min(F.struct("slot", "at")).alias("place"))
+        takes = materialize(takes.select("rid", "place.*"), "takes")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = rows.join(takes.select("rid", "place.*"), "rid").repartitionByRange(n, "slot", "at").sortWithinPartitions("slot", "at")
+    out = rows.join(takes, "rid").repartitionByRange(n, "slot", "at").sortWithinPartitions("slot", "at")
     return out.select("row.*")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestore.llm.components import connected_components
-from lodestore.session import materialize, python_path
+from lodestore.session import discard, materialize, python_path
 
 BANDS, ROWS = 32, 6
 #: sets that follow under a key and are tried as likely partners; bytes of sets on either side of a part
@@ -227,7 +227,7 @@ def _verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFram
 
 
 def similar_links(rows: DataFrame, links: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``links`` (a, b) between fingerprints and further ones, so that all documents (``sketches``) that are as similar as that are connected.
+    """``links`` (a, b) between fingerprints and further ones, so that all documents (``rows``: written ``sketches``, deleted here) that are as similar as that are connected.
 
     The sets of one fingerprint are linked by definition.
     """
@@ -240,6 +240,9 @@ def similar_links(rows: DataFrame, links: DataFrame, similarity: float = 0.8) ->
     shared = materialize(bands.join(bands.groupBy("key").count().filter("count > 1").select("key"), "key"), "bands")
     wanted = materialize(shared.select("node").distinct(), "wanted")  # few: the sets of the others needn't move
     grams = materialize(rows.select("node", "grams").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams")), "grams")
+    same = materialize(same, "same")
+    discard(rows)
+    discard(wanted)
     placed = shared.join(nodes.select("node", "fp", "sig"), "node")
     links = links.select("a", "b").unionByName(same)
     first = _verified(materialize(_partners(placed, similarity - 0.05), "partners"), grams, similarity)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestore.llm import golay, shingles
 from lodestore.llm.components import connected_components
-from lodestore.session import materialize, python_path, read_table
+from lodestore.session import materialize, python_path, read_table, scratch
 
 #: (lowest bit, bits) of each segment
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -189,19 +189,22 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fingerprint, tells such ones apart). Empty tables give no rows. With ``similarity``, documents
     whose sets of 5-word shingles have that Jaccard similarity or more are linked too.
     """
-    if similarity is None:
-        fps = materialize(fingerprints(docs, id_col, text_col, shingle_words), "fp")
-    else:
-        fps = materialize(shingles.sketches(docs, lambda t: fingerprint(t, shingle_words), id_col, text_col), "sketch")
-    # nodes are the fingerprints themselves; the smallest document id of a component is taken afterwards
-    nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("low")), "fpnode")
-    links = fingerprint_links(nodes, distance)
-    if similarity is not None:
-        links = shingles.similar_links(fps, links, similarity)
-    comp = connected_components(links).select(F.col("node").alias("fp"), "component")
-    full = nodes.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    low = full.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_fp = materialize(full.join(low, "component").select("fp", "component_id", "component"), "fpcomp")
+    with scratch("fp", "fpcomp"):
+        wide = None
+        if similarity is None:
+            fps = materialize(fingerprints(docs, id_col, text_col, shingle_words), "fp")
+        else:
+            wide = materialize(shingles.sketches(docs, lambda t: fingerprint(t, shingle_words), id_col, text_col), "sketch")
+            fps = materialize(wide.select("id", "fp"), "fp")
+        # nodes are the fingerprints themselves; the smallest document id of a component is taken afterwards
+        nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("low")), "fpnode")
+        links = fingerprint_links(nodes, distance)
+        if wide is not None:
+            links = shingles.similar_links(wide, links, similarity)
+        comp = connected_components(links).select(F.col("node").alias("fp"), "component")
+        full = nodes.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+        low = full.groupBy("component").agg(F.min("low").alias("component_id"))
+        by_fp = materialize(full.join(low, "component").select("fp", "component_id", "component"), "fpcomp")
     return fps.join(by_fp, "fp").select("id", "fp", "component_id", "component")
 
 
@@ -211,7 +214,8 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Of rows that repeat that id one stays, and a component of null ids alone keeps one row: the
     first by a hash of all its columns, so that reruns agree.
     """
-    comps = materialize(simhash_components(docs, id_col, text_col, shingle_words, distance, similarity), "comps")
+    with scratch("comps"):
+        comps = materialize(simhash_components(docs, id_col, text_col, shingle_words, distance, similarity), "comps")
     kept = comps.filter("id = component_id").groupBy(F.col("id").alias("k")).agg(F.count("*").alias("copies"))
     # the row travels as one struct: its columns can't clash with ours
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.struct(*docs.columns).alias("row"), F.xxhash64(*docs.columns).alias("order"))

@@ -1,14 +1,17 @@
 """URL filters by a path-template tree, in DataFrame operations only.
 
-Rules decide first; their verdicts also label the tree. Per host, paths form a tree of
-``LEVELS`` segments (what lies deeper is one ``**``). Digits are generalised to ``#``. At each
-node, children that are nearly all different become one wildcard ``*``; else branches whose
-shares of labelled and of blocked URLs don't differ from their siblings' pool merge into one
-branch ``~``, and the others keep their names. A template is rejected if it has labels and its
-blocked share, smoothed towards the share among all labelled URLs, reaches a threshold.
+Rules decide first; their verdicts also label the tree. Per host, paths form a tree of their
+segments, of any depth. Digits are generalised to ``#``. At each node, children that are nearly
+all different become one wildcard ``*``; else branches that don't differ from the rest of their
+siblings, by two-proportion tests of their shares of labelled and of blocked URLs, merge into one
+branch ``~``, and the others keep their names. Absence of evidence merges nothing: both sides need
+``support`` URLs, and ``labels`` labelled ones if their node has any. A template is rejected if it
+has labels and its blocked share, smoothed towards the share among all labelled URLs, reaches a
+threshold.
 
 URLs are counted per distinct generalised path before anything is joined, so a hot host weighs
-no more than the number of its distinct paths.
+no more than the number of its distinct paths. The tree is built level by level; a path that is
+the only one below its node is finished there.
 """
 
 from __future__ import annotations
@@ -18,7 +21,6 @@ from pyspark.sql import functions as F
 
 from lodestore.session import materialize
 
-LEVELS = 4
 #: (host, path) prefix and whether it allows
 RULES = (("com/", True), ("example.com/en/", False), ("www.example.com/en/", True), ("net/es/", False), ("net/fr/", False))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,18 +41,18 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, bool], ...] = RU
     return out
 
 
-def _merge_level(nodes: DataFrame, d: int, min_children: int, min_support: float, z: float) -> DataFrame:
-    """``nodes`` with g<d>, the generalised segment at depth d."""
-    parent = ["host", *(f"g{i}" for i in range(1, d))]
-    child = nodes.filter(f"t{d} <> ''").groupBy(*parent, f"t{d}").agg(F.sum("n").alias("cn"), F.sum("lab").alias("clab"), F.sum("bad").alias("cbad"))
-    pool = child.groupBy(*parent).agg(F.count("*").alias("k"), F.sum("cn").alias("pn"), F.sum("clab").alias("plab"), F.sum("cbad").alias("pbad"))
-    like = lambda c: F.expr(f"abs({c.replace('p', 'c', 1)} / cn - {c} / pn) <= {z} * sqrt(({c} / pn) * (1 - {c} / pn) / cn)")
-    name = F.when((F.col("k") >= min_children) & (F.col("pn") < min_support * F.col("k")), F.lit("*")).when((F.col("k") > 1) & like("plab") & like("pbad"), F.lit("~")).otherwise(F.col(f"t{d}"))
-    named = child.join(pool, parent).select(*parent, f"t{d}", name.alias(f"g{d}"))
-    return nodes.join(named, [*parent, f"t{d}"], "left").withColumn(f"g{d}", F.coalesce(f"g{d}", F.lit("")))
+#: a child's (c) share of x among y is that of its siblings (p - c), as far as they tell
+_LIKE = "abs({x}c / {y}c - ({x}p - {x}c) / ({y}p - {y}c)) <= {z} * sqrt(({x}p / {y}p) * (1 - {x}p / {y}p) * (1 / {y}c + 1 / ({y}p - {y}c)))"
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, bool], ...] = RULES, min_children: int = 8, min_support: float = 3.0, z: float = 1.96, smoothing: float = 8.0, reject: float = 0.8) -> DataFrame:
+def _name(t: str, min_children: int, min_support: float, support: int, labels: int, z: float) -> str:
+    """SQL of a child's name in the tree, from sums n, lab, bad of the child (c) and of its node (p), and k, the node's children."""
+    like = lambda x, y: _LIKE.format(x=x, y=y, z=z)
+    known = f"labc >= {labels} AND labp - labc >= {labels} AND {like('bad', 'lab')}"
+    return f"CASE WHEN k >= {min_children} AND np < {min_support} * k THEN '*' WHEN k > 1 AND nc >= {support} AND np - nc >= {support} AND {like('lab', 'n')} AND (labp = 0 OR ({known})) THEN '~' ELSE {t} END"
+
+
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, bool], ...] = RULES, min_children: int = 8, min_support: float = 3.0, support: int = 20, labels: int = 5, z: float = 1.96, smoothing: float = 8.0, reject: float = 0.8) -> DataFrame:
     """(id, host, path, rule, verdict, template, purity) for every row.
 
     purity is null for URLs without a host. A template without labelled URLs is never rejected.
@@ -60,21 +62,31 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     u = pages.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), path.alias("path"))
     u = u.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     segs = F.filter(F.split("path", "/"), lambda s: s != "")
-    u = u.withColumn("segs", F.transform(segs, lambda s: F.regexp_replace(s, "[0-9]+", "#")))
-    for d in range(1, LEVELS + 1):
-        u = u.withColumn(f"t{d}", F.coalesce(F.get("segs", F.lit(d - 1)), F.lit("")))
-    u = u.withColumn("deep", F.when(F.size("segs") > LEVELS, F.lit("/**")).otherwise(F.lit(""))).drop("segs")
-    u = materialize(u, "urls")
-    key = ["host", *(f"t{d}" for d in range(1, LEVELS + 1)), "deep"]
+    u = materialize(u.withColumn("segs", F.transform(segs, lambda s: F.regexp_replace(s, "[0-9]+", "#"))), "urls")
+    key, sums = ["host", "segs"], ["n", "lab", "bad"]
     blocks = [r for r, allow in rules if not allow]
-    nodes = u.filter("host <> ''").groupBy(*key).agg(F.count("*").alias("n"), F.count("rule").alias("lab"), F.count_if(F.col("rule").isin(blocks)).alias("bad"))
-    nodes = materialize(nodes, "paths")
-    prior = nodes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("lab"), F.lit(0)) + 2.0)).alias("p")).first().p
-    tree = nodes
-    for d in range(1, LEVELS + 1):
-        tree = _merge_level(tree, d, min_children, min_support, z)
-    tree = tree.withColumn("template", F.concat("host", F.lit("/"), F.array_join(F.filter(F.array(*(f"g{d}" for d in range(1, LEVELS + 1))), lambda s: s != ""), "/"), "deep"))
-    tree = materialize(tree.select(*key, "template", "lab", "bad"), "tree")
+    paths = u.filter("host <> ''").groupBy(*key).agg(F.count("*").alias("n"), F.count("rule").alias("lab"), F.count_if(F.col("rule").isin(blocks)).alias("bad"))
+    paths = materialize(paths, "paths")
+    prior = paths.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("lab"), F.lit(0)) + 2.0)).alias("p")).first().p
+    live, done, d = paths.withColumn("g", F.lit("")), None, 0
+    while True:
+        live = live.withColumn("t", F.get("segs", F.lit(d)))
+        child = live.filter("t IS NOT NULL").groupBy("host", "g", "t").agg(*(F.sum(c).cast("double").alias(f"{c}c") for c in sums), F.count("*").alias("below"))
+        pool = child.groupBy("host", "g").agg(F.count("*").alias("k"), *(F.sum(f"{c}c").alias(f"{c}p") for c in sums))
+        named = child.join(pool, ["host", "g"]).select("host", "g", "t", F.expr(_name("t", min_children, min_support, support, labels, z)).alias("name"))
+        # paths that a wildcard or merged name shares go on; one that is alone under its name is finished
+        alone = child.join(named, ["host", "g", "t"]).groupBy("host", "g", "name").agg(F.sum("below").alias("below"))
+        named = named.join(alone, ["host", "g", "name"])
+        level = live.join(named, ["host", "g", "t"], "left").withColumn("g", F.when(F.col("t").isNull(), F.col("g")).otherwise(F.concat("g", F.lit("/"), "name")))
+        rest = F.transform(F.slice("segs", d + 2, F.greatest(F.size("segs") - d - 1, F.lit(0))), lambda s: F.concat(F.lit("/"), s))
+        ended = F.col("t").isNull() | (F.size("segs") <= d + 1) | (F.col("below") == 1)
+        level = materialize(level.select(*key, *sums, F.when(ended & (F.size("segs") > d + 1), F.concat("g", F.array_join(rest, ""))).otherwise(F.col("g")).alias("g"), ended.alias("ended")), "level")
+        part = level.filter("ended").drop("ended")
+        done = part if done is None else done.unionByName(part)
+        live, d = level.filter("NOT ended").drop("ended"), d + 1
+        if live.isEmpty():
+            break
+    tree = materialize(done.select(*key, *sums, F.concat("host", F.lit("/"), F.substring("g", 2, 1 << 30)).alias("template")), "tree")
     score = tree.groupBy("template").agg(F.sum("lab").alias("tlab"), F.sum("bad").alias("tbad"))
     score = score.select("template", "tlab", ((F.col("tbad") + F.lit(smoothing) * F.lit(prior)) / (F.col("tlab") + F.lit(smoothing))).alias("p"))
     found = u.join(tree.select(*key, "template").join(score, "template"), key, "left")
@@ -88,19 +100,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumnRenamed("id", "page_id")
 
 
-def _level_sql(d: int) -> str:
-    parent = ", ".join(["host", *(f"g{i}" for i in range(1, d))])
-    on = lambda a, b, *more: " AND ".join(f"{a}.{c} = {b}.{c}" for c in [*parent.split(", "), *more])
-    like = lambda c: f"abs(c{c} / cn - p{c} / pn) <= 1.96 * sqrt((p{c} / pn) * (1 - p{c} / pn) / cn)"
-    return f"""
-c{d} AS (SELECT {parent}, t{d}, sum(n)::DOUBLE AS cn, sum(lab)::DOUBLE AS clab, sum(bad)::DOUBLE AS cbad FROM n{d - 1} WHERE t{d} <> '' GROUP BY ALL),
-p{d} AS (SELECT {parent}, count(*) AS k, sum(cn) AS pn, sum(clab) AS plab, sum(cbad) AS pbad FROM c{d} GROUP BY ALL),
-m{d} AS (SELECT c.*, CASE WHEN k >= 8 AND pn < 3.0 * k THEN '*' WHEN k > 1 AND {like("lab")} AND {like("bad")} THEN '~' ELSE t{d} END AS g{d} FROM c{d} c JOIN p{d} p ON {on("c", "p")}),
-n{d} AS (SELECT n.*, coalesce(m.g{d}, '') AS g{d} FROM n{d - 1} n LEFT JOIN m{d} m ON {on("n", "m", f"t{d}")}),"""
-
-
 OP2_SQL = f"""
-WITH a AS (
+WITH RECURSIVE a AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 b AS (
@@ -110,14 +111,17 @@ b AS (
                  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
                  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule,
          list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: regexp_replace(s, '[0-9]+', '#', 'g')) AS segs FROM a),
-u AS (SELECT page_id, host, path, rule, coalesce(segs[1], '') AS t1, coalesce(segs[2], '') AS t2, coalesce(segs[3], '') AS t3, coalesce(segs[4], '') AS t4,
-             CASE WHEN len(segs) > 4 THEN '/**' ELSE '' END AS deep FROM b),
-n0 AS (SELECT host, t1, t2, t3, t4, deep, count(*) AS n, count(rule) AS lab, count(*) FILTER (rule IN ('example.com/en/', 'net/es/', 'net/fr/')) AS bad FROM u WHERE host <> '' GROUP BY ALL),
-{"".join(_level_sql(d) for d in range(1, LEVELS + 1))}
-t AS (SELECT *, host || '/' || array_to_string(list_filter([g1, g2, g3, g4], lambda s: s <> ''), '/') || deep AS template FROM n4),
+n0 AS (SELECT host, segs, count(*) AS n, count(rule) AS lab, count(*) FILTER (rule IN ('example.com/en/', 'net/es/', 'net/fr/')) AS bad FROM b WHERE host <> '' GROUP BY ALL),
+w AS (
+  SELECT host, segs, 0 AS d, '' AS g, n, lab, bad FROM n0
+  UNION ALL
+  SELECT host, segs, d + 1, g || '/' || {_name("t", 8, 3.0, 20, 5, 1.96)}, n, lab, bad
+  FROM (SELECT *, count(DISTINCT t) OVER p AS k, sum(n) OVER c AS nc, sum(lab) OVER c AS labc, sum(bad) OVER c AS badc, sum(n) OVER p AS np, sum(lab) OVER p AS labp, sum(bad) OVER p AS badp
+        FROM (SELECT *, segs[d + 1] AS t FROM w WHERE len(segs) > d) WINDOW p AS (PARTITION BY host, g), c AS (PARTITION BY host, g, t))),
+t AS (SELECT host, segs, lab, bad, host || '/' || substr(g, 2) AS template FROM w WHERE d = len(segs)),
 s AS (SELECT template, sum(lab) AS tlab, (sum(bad) + 8.0::DOUBLE * (SELECT (coalesce(sum(bad), 0) + 1.0::DOUBLE) / (coalesce(sum(lab), 0) + 2.0::DOUBLE) FROM n0)) / (sum(lab) + 8.0::DOUBLE) AS p FROM t GROUP BY template)
-SELECT u.page_id, u.host, u.path, u.rule,
+SELECT b.page_id, b.host, b.path, b.rule,
        CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN tlab > 0 AND p >= 0.8 THEN 'block' ELSE 'allow' END AS verdict,
        t.template, round(p, 6) AS purity
-FROM u LEFT JOIN t ON u.host = t.host AND u.t1 = t.t1 AND u.t2 = t.t2 AND u.t3 = t.t3 AND u.t4 = t.t4 AND u.deep = t.deep LEFT JOIN s ON s.template = t.template
+FROM b LEFT JOIN t ON b.host = t.host AND b.segs = t.segs LEFT JOIN s ON s.template = t.template
 """

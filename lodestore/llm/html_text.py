@@ -2,11 +2,12 @@
 
 A page becomes a tree of nodes. Each node's density is its characters per tag, adjusted by how
 much of it is link text; the node whose children's densities have the largest sum holds the
-article. The smallest density on the path from it to the body is the page's threshold: on that
-path the subtree may grow to the enclosing article or main element, and sparser blocks of links
-within it are menus. Without such an element, all blocks beside the path that reach the threshold
-are text too, and sparser containers among them are left out. What tags and names say is never content (navigation, footers, forms,
-adverts, notices, reader comments, hidden parts) is left out beforehand.
+article. The smallest density on the path from it to the body is the page's threshold: the subtree
+grows to the enclosing article or main element if that is denser, and nothing in it is left out.
+Else all blocks beside the path that reach the threshold are text too, and sparser containers and
+blocks of links among them are left out. What tags and names say is never content (navigation,
+footers, forms, adverts, notices, reader comments, hidden parts) is left out beforehand. Names count
+on containers only: headings and paragraphs are called what they are about.
 """
 
 from __future__ import annotations
@@ -24,17 +25,21 @@ from lodestore.session import python_path, read_table
 
 # fixed values: classes of HTML elements
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object audio video canvas select xmp noembed noframes".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object audio video canvas select xmp noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - {"body", "head", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend"}
-NEVER = frozenset("head nav footer aside form script style noscript template button menu dialog search fieldset input label".split())
+NEVER = frozenset("head nav footer aside form script style noscript template button menu dialog search fieldset input label annotation annotation-xml".split())
 #: an open element of these is closed by a start tag of the given set
 SIBLINGS = {
     "li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
     "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th"), "thead": ("tbody", "thead", "tfoot", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tfoot", "tr", "td", "th"),
 }
+#: headings, whose names are slugs of their texts
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: ids of these are names; of others, and of sections within an article, they are slugs
+NAMED = frozenset("div section ul ol dl table aside span center".split())
 #: below the threshold these are left out beside text
 CONTAINER = frozenset("div section center table tbody tr td".split())
 SCOPE = frozenset("table ul ol dl menu div section article main body html".split())
@@ -51,19 +56,28 @@ TAG_START = re.compile(r"[a-zA-Z/!?]")
 
 
 def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in NEVER or (tag == "header" and not in_article):
+    if tag in NEVER or (tag == "header" and not in_article):  # of a header in main, ``_headers`` judges
         return True
     if not attrs or tag in ("body", "html", "article", "main") and "hidden" not in attrs and tag != "article":
         return False
     for name, *value in ATTR.findall(attrs):
         name, value = name.lower(), value[0] or value[1] or value[2]
-        if name in ("class", "id") and NAME.search(HAS.sub(" ", value)):
+        if (name == "class" and tag not in HEADING or name == "id" and tag in NAMED and not (tag == "section" and in_article)) and NAME.search(HAS.sub(" ", value)):
             return True
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in ROLE) or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             return True
     return False
 
 
+def text_density(chars: int, link_chars: int, tags: int, link_tags: int, page_links: float) -> float:
+    """Characters per tag, less where links hold many of them; ``page_links``: the share of characters in links on the whole page."""
+    if not chars:
+        return 0.0
+    t, lt = max(1, tags), max(1, link_tags)
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + page_links * chars + math.e)
+    return chars / t * math.log(max(1.0, chars / max(1, link_chars) * t / lt)) / max(1.0, math.log(max(math.e, base)) if base > math.e else 1.0)
+
+
 class Page:
     """Nodes in page order (a subtree is a range of them) and the pieces of text between block boundaries."""
 
@@ -73,6 +87,23 @@ class Page:
         #: (node, text); text None: a block begins or ends
         self.items: list[tuple[int, str | None]] = []
         self._parse(source)
+        self._headers()
+
+    def _headers(self) -> None:
+        """A header in main, but in no article, that has no heading is the site's."""
+        article = [t == "article" for t in self.tag]
+        for k in range(1, len(self.tag)):
+            article[k] = article[k] or article[self.parent[k]]
+        for k in range(1, len(self.tag)):
+            if self.tag[k] == "header" and not article[k] and not self.out[k]:
+                below = {k}
+                for c in range(k + 1, len(self.tag)):  # a subtree is a range
+                    if self.parent[c] not in below:
+                        break
+                    below.add(c)
+                if not any(self.tag[c] in HEADING for c in below):
+                    for c in below:
+                        self.out[c] = True
 
     def _parse(self, s: str) -> None:
         stack, is_open, at, n = [0], {}, 0, len(s)
@@ -197,8 +228,8 @@ class Page:
                     left[k], part[k] = not dense[k], dense[k]
         return top, left
 
-    def main_text(self) -> str:
-        """Blocks of the chosen subtree, joined by newlines; white space within a block is one space."""
+    def measure(self) -> tuple[list[int], list[int], list[int], list[int], list[int], list[float], list[float], int]:
+        """Per node: characters, those in links, tags, links below it, its range's end, density, sum of its children's densities; and the body."""
         n = len(self.tag)
         chars, link_chars, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
         for node, text in self.items:
@@ -217,37 +248,34 @@ class Page:
                 tags[p] += tags[k] + 1
                 link_tags[p] += link_tags[k] + (self.tag[k] == "a")
         body = next((k for k in range(1, n) if self.tag[k] == "body"), 0)
-        total, total_links = max(1, chars[body]), link_chars[body]
-        density = [0.0] * n
-        for k in range(n):
-            c = chars[k]
-            if c and not self.out[k]:
-                lc, t, lt = link_chars[k], max(1, tags[k]), max(1, link_tags[k])
-                base = math.log(c / max(1, c - lc) * lc + total_links / total * c + math.e)
-                density[k] = c / t * math.log(max(1.0, c / max(1, lc) * t / lt)) / max(1.0, math.log(max(math.e, base)) if base > math.e else 1.0)
+        density = [0.0 if self.out[k] else text_density(chars[k], link_chars[k], tags[k], link_tags[k], link_chars[body] / max(1, chars[body])) for k in range(n)]
         sums = [0.0] * n
         for k in range(1, n):
             sums[self.parent[k]] += density[k]
+        return chars, link_chars, tags, link_tags, end, density, sums, body
+
+    def main_text(self) -> str:
+        """Blocks of the chosen subtree, joined by newlines; white space within a block is one space."""
+        n = len(self.tag)
+        chars, link_chars, tags, link_tags, end, density, sums, body = self.measure()
         best = max(range(body, n), key=lambda k: (not self.out[k], sums[k], density[k], -k))
         if sums[best] <= 0:
             best = body
-        left = [False] * n
+        menu = [False] * n
         threshold, path, k = density[best], [best], best
         while k not in (body, 0) and k > 0:
             k = self.parent[k]
             path.append(k)
             threshold = min(threshold, density[k])
-        for k in path:
-            if self.tag[k] in ("article", "main") and density[k] >= threshold:
-                best = k
-                break
+        article = next((k for k in path if self.tag[k] in ("article", "main") and density[k] > threshold), None)
+        if article is not None:
+            best = article
         else:
             if best not in (body, 0) and self.tag[best] in ("p", "li", "td", "blockquote", "h1", "h2", "pre", "ul", "ol", "tr"):
                 best = self.parent[best]  # a single block isn't an article: take its siblings in
-            best, left = self._grow(best, body, end, density, threshold)
-        menu = left
-        for k in range(best + 1, end[best]):
-            menu[k] = menu[k] or menu[self.parent[k]] or (self.tag[k] in ("ul", "ol", "div", "section", "table", "dl") and link_tags[k] >= 3 and link_chars[k] > 0.6 * chars[k] and density[k] < threshold)
+            best, menu = self._grow(best, body, end, density, threshold)
+            for k in range(best + 1, end[best]):
+                menu[k] = menu[k] or menu[self.parent[k]] or (self.tag[k] in ("ul", "ol", "div", "section", "table", "dl") and link_tags[k] >= 3 and link_chars[k] > 0.6 * chars[k] and density[k] < threshold)
         blocks, now = [], []
         for node, text in self.items:
             if text is None:

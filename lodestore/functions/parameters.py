@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,31 +30,57 @@ RULES = (
 )
 
 
-def parameterize(command: str) -> tuple[str, list[dict[str, str]]]:
-    """(template, parameters in order); a name that is taken gets a number."""
-    params: list[dict[str, str]] = []
-    used: dict[str, int] = {}
-
-    def add(name: str, description: str, value: str) -> str:
-        used[name] = used.get(name, 0) + 1
-        full = name if used[name] == 1 else f"{name}_{used[name]}"
-        params.append({"name": full, "description": description, "default": value})
-        return "{{" + full + "}}"
-
-    def put(kind: str, m: re.Match) -> str:
-        if kind == "uuid":
-            before = m.string[max(0, m.start() - 50) : m.start()]
-            name = next((n for p, n in BEFORE if re.search(p, before, re.I)), "uuid")
-            return add(name, name.replace("_", " "), m[1])
-        if kind == "resource":
-            return f"/{m[1]}s/" + add(f"{m[1]}_id", f"{m[1]} ID", m[2])
-        if kind == "path":
-            return '"' + add("file_path", "file path", m[1]) + '"'
-        return f'"{m[1]}": "' + add(m[1], f"{m[1]} text", m[2]) + '"'
+class Value(NamedTuple):
+    """A variable part of a command: where it is, what to call it, and the fewest characters that make one."""
+
+    start: int
+    end: int
+    name: str
+    description: str
+    least: int = 0
+
 
+def values(command: str) -> Iterator[Value]:
+    """What each rule finds in the command as it is, rule by rule."""
     for kind, pattern in RULES:
-        command = pattern.sub(lambda m, kind=kind: put(kind, m), command)
-    return command, params
+        for m in pattern.finditer(command):
+            if kind == "uuid":
+                before = command[max(0, m.start() - 50) : m.start()]
+                name = next((n for p, n in BEFORE if re.search(p, before, re.I)), "uuid")
+                yield Value(*m.span(1), name, name.replace("_", " "))
+            elif kind == "path":
+                yield Value(*m.span(1), "file_path", "file path", 10)
+            else:
+                name, what = (f"{m[1]}_id", f"{m[1]} ID") if kind == "resource" else (m[1], f"{m[1]} text")
+                yield Value(*m.span(2), name, what, 1 if kind == "resource" else 20)
+
+
+def filled(command: str, start: int, end: int, named: list[tuple[Value, str]]) -> str:
+    """command[start:end] with the outermost of the named values in it replaced by their names."""
+    out, at = [], start
+    for v, name in sorted(named, key=lambda x: (x[0].start, -x[0].end)):
+        if at <= v.start and v.end <= end:
+            out += [command[at : v.start], "{{", name, "}}"]
+            at = v.end
+    return "".join([*out, command[at:end]])
+
+
+def parameterize(command: str) -> tuple[str, list[dict[str, str]]]:
+    """(template, parameters in order); a name that is taken gets a number.
+
+    A value may contain those of earlier rules, if enough of it is left; one that overlaps them otherwise is none.
+    """
+    named: list[tuple[Value, str]] = []
+    params = []
+    for v in values(command):
+        clash = any(x.start < v.end and v.start < x.end and not (v.start <= x.start and x.end <= v.end) for x, _ in named)
+        default = filled(command, v.start, v.end, named)
+        if clash or len(default) < v.least:
+            continue
+        n = 1 + sum(x.name == v.name for x, _ in named)
+        named.append((v, v.name if n == 1 else f"{v.name}_{n}"))
+        params.append({"name": named[-1][1], "description": v.description, "default": default})
+    return filled(command, 0, len(command), named), params
 
 
 def parameterized(commands: DataFrame, id_col: str = "id", command_col: str = "command") -> DataFrame:

@@ -149,7 +149,7 @@ def redact_headers(headers: Column) -> Column:
 
 
 def request_hash(model: Column, messages: Column, auth: Column | None = None) -> Column:
-    """Key of a request: its canonical JSON (sorted keys, volatile fields left out) under the caller's hashed credentials."""
+    """Key of a request that has no more than a model and messages, under the caller's hashed credentials; ``body_hash`` takes whole requests."""
     who = F.lit("noauth") if auth is None else F.when(blank(auth) == "", "noauth").otherwise(F.substring(F.sha2(auth, 256), 1, 16))
     body = F.to_json(F.struct(messages.alias("messages"), model.alias("model")))
     return F.sha2(F.concat(who, F.lit("\n"), body), 256)
@@ -221,7 +221,7 @@ def breaker_states(calls: DataFrame, key: str = "provider", limit: int = 5, rest
 
 
 VOLATILE = ("user", "stream")
-CANONICAL = ("max_tokens", "messages", "model", "stop", "system", "temperature", "tools", "top_k", "top_p")
+CANONICAL = ("max_tokens", "messages", "model", "params", "stop", "stop_sequences", "system", "temperature", "tools", "top_k", "top_p")
 
 
 def canonical_json(body: Column) -> Column:
@@ -229,3 +229,9 @@ def canonical_json(body: Column) -> Column:
     fields = [F.get_json_object(body, f"$.{name}") for name in CANONICAL]
     parts = F.array_compact(F.array(*(F.when(v.isNotNull(), F.concat(F.lit(f'"{n}":'), F.to_json(F.struct(v.alias("v"))))) for n, v in zip(CANONICAL, fields, strict=True))))
     return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+
+
+def body_hash(body: Column, auth: Column | None = None) -> Column:
+    """Key of a whole request: its canonical JSON under the caller's hashed credentials. Requests that differ in any field the answer depends on have different keys."""
+    who = F.lit("noauth") if auth is None else F.when(blank(auth) == "", "noauth").otherwise(F.substring(F.sha2(auth, 256), 1, 16))
+    return F.sha2(F.concat(who, F.lit("\n"), canonical_json(body)), 256)

@@ -195,9 +195,14 @@ def _(s, d):
     return tools.code_context(_store(s, d), "supp.3")
 
 
-@query("stream_sessions")
+@query(
+    "stream_sessions",
+    "WITH g AS (SELECT user_id, ts::TIMESTAMP AS ts, CASE WHEN epoch_us(ts::TIMESTAMP) - lag(epoch_us(ts::TIMESTAMP)) OVER w <= 90000000 THEN 0 ELSE 1 END AS cut FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended, count(*) AS n FROM r GROUP BY user_id, run",
+)
 def _(s, d):
-    return X.run_append(X.sessions(X.stream_table(s, d, "events")))
+    emitted = X.run_append(X.sessions(X.stream_table(s, d, "events")))
+    every = X.with_open_sessions(emitted, s.read.parquet(f"{d}/events.parquet"))
+    return every.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "n")
 
 
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lodestore.operators.requests import Breaker
+from lodestore.operators.sessions import gap_sessions
 from lodestore.session import own_dir, python_path, shared_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -62,6 +63,18 @@ def sessions(events: DataFrame, gap_seconds: int = 90, late: str = "10 minutes",
     return g.select(owner, F.col("w.start").alias("started"), (F.col("w.end") - F.expr(f"INTERVAL {gap_seconds} SECONDS")).alias("ended"), "n")
 
 
+def with_open_sessions(emitted: DataFrame, events: DataFrame, gap_seconds: int = 90, owner: str = "user_id", ts: str = "ts") -> DataFrame:
+    """The sessions that a finished stream has emitted, and those still open at its end.
+
+    Sessions leave an owner's state in time order, so what is open is made of the events after the
+    owner's last emitted session.
+    """
+    last = emitted.groupBy(F.col(owner).alias("_owner")).agg(F.max("ended").alias("_last"))
+    left = events.join(last, events[owner].eqNullSafe(last["_owner"]), "left").filter(F.col("_last").isNull() | (F.col(ts).cast("timestamp") > F.col("_last")))
+    rest = gap_sessions(left.select(events.columns), gap_seconds, owner, ts)
+    return emitted.unionByName(rest.select(owner, *(F.col(c).cast("timestamp").alias(c) for c in ("started", "ended")), "n"))
+
+
 def deduplicated(events: DataFrame, keys: list[str], late: str = "1 day", ts: str = "ts") -> DataFrame:
     """One row per key within the watermark: one log row per request."""
     return events.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", late).dropDuplicatesWithinWatermark(keys).drop("_t")

@@ -67,6 +67,15 @@ def test_parameters():
     assert [p["name"] for p in params] == ["project_id", "uuid", "uuid_2", "build_id", "file_path"]
     assert "/builds/{{build_id}}/" in template and '"{{file_path}}"' in template
     assert parameters.parameterize("") == ("", [])
+    nested, params = parameters.parameterize('{"title": "a longer title about 3f8fad5b-d9cb-469f-a165-70867728950e", "value": "4f8fad5b-d9cb-469f-a165-70867728950e"}')
+    assert nested == '{"title": "{{title}}", "value": "{{uuid_2}}"}'  # too little of the second value is left beside its id
+    assert [p["default"] for p in params if p["name"] == "title"] == ["a longer title about {{uuid}}"]
+
+
+def test_body_hash_tells_all_fields_apart(spark):
+    bodies = ['{"model":"m","messages":[1]}', '{"messages":[1],"model":"m","user":"x","stream":true}', '{"model":"m","messages":[1],"params":{"a":1}}', '{"model":"m","messages":[1],"stop_sequences":["x"]}', '{"model":"m","messages":[1],"system":"s"}', '{"model":"m","messages":[1],"tools":[]}']
+    got = [r.h for r in spark.createDataFrame([(b,) for b in bodies], "body string").select(requests.body_hash(F.col("body")).alias("h")).collect()]
+    assert got[0] == got[1] and len(set(got)) == len(bodies) - 1
 
 
 @pytest.mark.parametrize(("command", "description", "yes"), [("grep -r x .", None, True), ("git log", None, True), ("npm install", None, False), ("git commit -m x", None, False), ("mkdir a", None, False), ("curl -X POST http://h", None, False), ("curl -X PATCH http://h", "search it", False), ("curl http://h", None, True)])

@@ -48,13 +48,19 @@ def topic_pairs(findings: DataFrame) -> DataFrame:
     return f.withColumnRenamed("id", "id1").join(f.withColumnRenamed("id", "id2"), "k").filter("id1 < id2").select("id1", "id2", F.lit(1.0).alias("similarity"))
 
 
-def similar_pairs(vectors: DataFrame, min_cos: float, blocks: int = 8) -> DataFrame:
+#: rows of one side of a cell where all are compared with all
+BLOCK_ROWS = 4096
+
+
+def similar_pairs(vectors: DataFrame, min_cos: float, blocks: int | None = None) -> DataFrame:
     """(id1, id2, similarity) of all pairs with cosine above ``min_cos``, exactly.
 
     The comparison of all with all is dealt by block pairs: each vector goes to the ``blocks``
-    cells of its row and column, each pair meets in one, and a cell's rows are bounded by the
-    table over ``blocks``. For thresholds of near-duplicates use the near-duplicate operators.
+    cells of its row and column, each pair meets in one. Blocks grow with the table, so that a
+    cell holds some ``BLOCK_ROWS`` rows a side. For thresholds of near-duplicates use the
+    near-duplicate operators.
     """
+    blocks = blocks or max(8, -(-vectors.count() // BLOCK_ROWS))
     v = vectors.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("g"))
     cells = F.sequence(F.lit(0), F.lit(blocks - 1))
     a = v.select(F.col("id").alias("id1"), F.col("vec").alias("v1"), F.col("g").alias("i"), F.explode(cells).alias("j"))

@@ -180,8 +180,12 @@ def cache_stats(packed: DataFrame) -> DataFrame:
     return p.agg(F.count("*").alias("vectors"), F.sum("b").alias("bytes"), F.sum("f").alias("full_bytes")).withColumn("saved_pct", F.round((1 - F.col("bytes") / F.col("full_bytes")) * 100, 1))
 
 
-def similarity_correlation(vectors: DataFrame, bits: int = 3, blocks: int = 4) -> DataFrame:
-    """One row (pairs, pearson): full against quantized inner products of all pairs, met in block cells."""
+def similarity_correlation(vectors: DataFrame, bits: int = 3, blocks: int = 4, sample: int = 20_000) -> DataFrame:
+    """One row (pairs, pearson): full against quantized inner products of all pairs of a sample, met in block cells.
+
+    A statistic, not a join: of more than ``sample`` vectors the first by a hash of their ids are taken.
+    """
+    vectors = vectors.orderBy(F.xxhash64("id"), "id").limit(sample)
     back = dequantize_vectors(quantize_vectors(vectors, bits), bits).withColumnRenamed("vec", "approx")
     v = vectors.select(F.col("id"), F.col("vec").cast("array<double>").alias("full")).join(back, "id").withColumn("g", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     cells = F.sequence(F.lit(0), F.lit(blocks - 1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestore.functions import vector as V
+from lodestore.operators import classify as C
 from lodestore.operators import maintain as M
 from lodestore.plans import data as D
 
@@ -204,17 +205,10 @@ CENT = "c AS (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(embeddin
 
 @query("label_centroids", f"WITH {CENT} SELECT label, pos::INTEGER AS pos, round(m, 6) AS mean FROM c")
 def _(s, d):
-    v = _vecs(s, d).select("label", F.posexplode(F.col("vec").cast("array<double>")).alias("pos", "x"))
-    return v.groupBy("label", "pos").agg(F.round(F.avg("x"), 6).alias("mean"))
+    return C.label_centroids(_vecs(s, d)).select("label", F.posexplode("vec").alias("pos", "mean")).withColumn("mean", F.round("mean", 6))
 
 
 @query("nearest_centroid", f"WITH {CENT}, s AS (SELECT vec_id, cv.label AS nearest, round(list_cosine_similarity(embedding::DOUBLE[], vec), 6) AS score FROM embeddings, cv) SELECT vec_id AS id, arg_max(nearest, (score, -nearest)) AS nearest, max(score) AS score FROM s GROUP BY vec_id")
 def _(s, d):
     v = _vecs(s, d)
-    c = v.select("label", F.posexplode(F.col("vec").cast("array<double>")).alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("m"))
-    c = c.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda p: p["m"]).alias("cv"))
-    # a centroid per class, gathered in one row whose size is classes times dimensions
-    every = c.groupBy().agg(F.collect_list(F.struct("label", "cv")).alias("cs"))
-    scored = F.transform("cs", lambda k: F.struct(F.round(V.cosine(F.col("vec"), k["cv"]), 6).alias("score"), (-k["label"]).alias("neg")))
-    best = v.crossJoin(F.broadcast(every)).select("id", F.array_max(scored).alias("b"))
-    return best.select("id", (-F.col("b.neg")).alias("nearest"), F.col("b.score").alias("score"))
+    return C.nearest_centroid(v, C.label_centroids(v))

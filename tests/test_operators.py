@@ -267,3 +267,13 @@ def test_tools_over_a_store(spark):
     done = tools.run_maintenance(s, now=100 * 86400)
     assert {x.id for x in done["stale"].collect()} == {2} and {x.id for x in done["orphan_vectors"].collect()} == {99}
     assert tools.session_summary(s, d.limit(0)).first().status == "CLEAN"
+
+
+def test_references_in_several_broadcasts_give_the_same(spark):
+    r = np.random.default_rng(8)
+    v = spark.createDataFrame([(i, i % 7, x.tolist()) for i, x in enumerate(r.standard_normal((60, 6)))], "id long, label int, vec array<double>")
+    centroids = classify.label_centroids(v)
+    one = sorted(map(tuple, classify.nearest_centroid(v, centroids).collect()))
+    assert one == sorted(map(tuple, classify.nearest_centroid(v, centroids, bank_bytes=100).collect())) and len(one) == 60
+    banks = spark.createDataFrame([("simple" if i % 2 else "complex", x.tolist()) for i, x in enumerate(r.standard_normal((9, 6)))], "category string, vec array<double>")
+    assert sorted(map(tuple, classify.nearest_reference(v, banks).collect())) == sorted(map(tuple, classify.nearest_reference(v, banks, bank_bytes=100).collect()))

@@ -7,7 +7,7 @@ the shared folder, so the plan does not grow and nothing is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestore.session import materialize
@@ -27,6 +27,24 @@ def adjacency(triples: DataFrame) -> DataFrame:
     return t.select(F.inline(ends))
 
 
+def cached_adjacency(triples: DataFrame, path: str, version: str, buckets: int = 64) -> DataFrame:
+    """The adjacency kept at ``path`` for this version of the triples, written if it isn't there; other versions are never read.
+
+    It is dealt by entity, so a look-up of a few entities (``bucket_of``) reads their buckets only.
+    """
+    spark = triples.sparkSession
+    folder = f"{path}/{version}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        dealt = adjacency(triples).withColumn("bucket", bucket_of(F.col("entity"), buckets))
+        dealt.repartition("bucket", F.pmod(F.xxhash64("src"), F.lit(8))).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def bucket_of(entity: Column, buckets: int = 64) -> Column:
+    return F.pmod(F.xxhash64(entity), F.lit(buckets)).cast("int")
+
+
 def k_hop(triples: DataFrame, seeds: list[str], depth: int = 2) -> DataFrame:
     """(hop, entity, predicate, target, src, direction): connections met within ``depth`` hops.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestore.functions.text import blank, is_system_message
+from lodestore.functions.text import blank, is_system_message, script_skeleton
 from lodestore.functions.vector import cosine
 
 DAY = 86_400
@@ -256,6 +256,18 @@ def dedup_probe_all(findings: DataFrame) -> DataFrame:
     return k.join(newer, "k").filter("(kept_epoch > epoch OR (kept_epoch = epoch AND kept_id > id)) AND (contains(t, kt) OR contains(kt, t))").select("id", "kept_id", "kept_epoch").distinct()
 
 
+def matched_steps(steps: DataFrame, scripts: DataFrame) -> DataFrame:
+    """(id, ord, command, script_id, name, template) of workflow steps (id, ord, command, description, template).
+
+    A step becomes the first script (id, name, template) of its skeleton; where there is none it keeps
+    its own template under its description. Scripts are reduced to one per skeleton before the join.
+    """
+    known = scripts.groupBy(script_skeleton(F.col("template")).alias("_skeleton")).agg(F.min_by(F.struct("id", "name", "template"), "id").alias("s"))
+    named = steps.withColumn("_skeleton", script_skeleton(F.col("template"))).join(known, "_skeleton", "left")
+    own = F.coalesce(F.nullif("description", F.lit("")), F.concat(F.lit("Step "), F.col("ord").cast("string")))
+    return named.select("id", "ord", "command", F.col("s.id").alias("script_id"), F.coalesce("s.name", own).alias("name"), F.when(F.col("s").isNotNull(), F.col("s.template")).otherwise(F.col("template")).alias("template"))
+
+
 def since_session(stores: dict[str, DataFrame], start: int) -> DataFrame:
     """(store, n): rows after the session's start."""
     out = None

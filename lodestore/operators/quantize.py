@@ -24,11 +24,13 @@ RESIDUAL = 0.05
 
 
 @lru_cache(8)
-def rotation(dim: int, seed: int = 42) -> np.ndarray:
-    """Orthogonal matrix of a seed: normal deviates of a linear congruential generator, made orthonormal column by column.
+def rotation(dim: int, seed: int | None = 42) -> np.ndarray:
+    """Orthogonal matrix of a seed (None: the identity): normal deviates of a linear congruential generator, made orthonormal column by column.
 
     The generator's product is taken in double precision, as its published parameters are meant here.
     """
+    if seed is None:
+        return np.eye(dim)
     state = float(seed)
 
     def uniform() -> float:
@@ -70,7 +72,7 @@ def unpack(raw: np.ndarray, bits: int, dim: int) -> np.ndarray:
     return (planes << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(2, dtype=np.uint8)
 
 
-def encode(v: np.ndarray, bits: int, seed: int = 42, residual: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+def encode(v: np.ndarray, bits: int, seed: int | None = 42, residual: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
     """(packed levels, packed residual signs, least significant bit first) of unit vectors as rows."""
     x = v @ rotation(v.shape[1], seed).T
     q = levels(x, bits)
@@ -85,7 +87,7 @@ def decode_rotated(raw: np.ndarray, signs: np.ndarray | None, bits: int, dim: in
     return x
 
 
-def decode(raw: np.ndarray, signs: np.ndarray | None, bits: int, dim: int, seed: int = 42) -> np.ndarray:
+def decode(raw: np.ndarray, signs: np.ndarray | None, bits: int, dim: int, seed: int | None = 42) -> np.ndarray:
     return decode_rotated(raw, signs, bits, dim) @ rotation(dim, seed)
 
 
@@ -94,7 +96,7 @@ def _check(bits: int) -> None:
         raise ValueError("bits: 2 to 8")
 
 
-def quantize_vectors(vectors: DataFrame, bits: int = 3, seed: int = 42, residual: bool = True, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
+def quantize_vectors(vectors: DataFrame, bits: int = 3, seed: int | None = 42, residual: bool = True, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
     """(id, dim, bits, quantized, signs): packed vectors. Vectors of one dimension each; nulls are left out."""
     _check(bits)
 
@@ -115,7 +117,7 @@ def _decoded(pdf: pd.DataFrame, bits: int, dim: int) -> np.ndarray:
     return decode_rotated(raw, signs, bits, dim)
 
 
-def dequantize_vectors(packed: DataFrame, bits: int = 3, seed: int = 42) -> DataFrame:
+def dequantize_vectors(packed: DataFrame, bits: int = 3, seed: int | None = 42) -> DataFrame:
     """(id, vec) again, approximately."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

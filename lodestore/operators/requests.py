@@ -158,19 +158,20 @@ def request_hash(model: Column, messages: Column, auth: Column | None = None) ->
 def cached_answers(requests: DataFrame, ttl_ms: int, min_cos: float = 0.92) -> DataFrame:
     """Requests (id, hash, tenant, ts_ms, vec) with the earlier request that answers them: hit ``exact`` or ``semantic``, and its id.
 
-    Exact: the latest of the same hash within the time to live; semantic: the latest of the
-    tenant within it whose vector is near enough. Both are joins on (hash) and (tenant, time
-    slot), a slot being one time to live, so a request meets its own slot and the one before.
+    Exact: the latest of the same hash within the time to live, by a running maximum along the
+    hash's requests. Semantic: the latest of the tenant within it whose vector is near enough, a
+    join on (tenant, time slot), a slot being one time to live, so a request meets its own slot
+    and the one before.
     """
     slot = lambda c: F.floor(F.col(c) / ttl_ms)
     a = requests.select("id", "hash", "tenant", "ts_ms", "vec")
     b = requests.select(F.col("id").alias("b_id"), F.col("hash").alias("b_hash"), F.col("tenant").alias("b_tenant"), F.col("ts_ms").alias("b_ts"), F.col("vec").alias("b_vec"))
     within = (F.col("b_ts") < F.col("ts_ms")) & (F.col("ts_ms") - F.col("b_ts") <= ttl_ms)
-    ea = a.withColumn("s", F.explode(F.array(slot("ts_ms"), slot("ts_ms") - 1)))
+    before = W.partitionBy("hash").orderBy("ts_ms").rangeBetween(W.unboundedPreceding, -1)
+    exact = requests.filter("hash IS NOT NULL AND ts_ms IS NOT NULL").select("id", "ts_ms", F.max(F.struct("ts_ms", "id")).over(before).alias("m"))
+    exact = exact.filter(F.col("ts_ms") - F.col("m.ts_ms") <= ttl_ms).select("id", F.lit("exact").alias("hit"), F.col("m.id").alias("by"))
     eb = b.withColumn("b_s", slot("b_ts"))
-    exact = ea.join(eb, (F.col("hash") == F.col("b_hash")) & (F.col("s") == F.col("b_s"))).filter(within).groupBy("id").agg(F.max(F.struct("b_ts", "b_id")).alias("m"))
-    exact = exact.select("id", F.lit("exact").alias("hit"), F.col("m.b_id").alias("by"))
-    rest = ea.join(exact.select("id"), "id", "left_anti")
+    rest = a.withColumn("s", F.explode(F.array(slot("ts_ms"), slot("ts_ms") - 1))).join(exact.select("id"), "id", "left_anti")
     sem = rest.join(eb, (F.col("tenant") == F.col("b_tenant")) & (F.col("s") == F.col("b_s"))).filter(within & (cosine(F.col("vec"), F.col("b_vec")) >= min_cos))
     sem = sem.groupBy("id").agg(F.max(F.struct("b_ts", "b_id")).alias("m")).select("id", F.lit("semantic").alias("hit"), F.col("m.b_id").alias("by"))
     return exact.unionByName(sem)
@@ -201,22 +202,34 @@ class Breaker:
 def breaker_states(calls: DataFrame, key: str = "provider", limit: int = 5, rest_ms: int = 30_000) -> DataFrame:
     """(key, seq, state, allowed) along each provider's calls (key, seq, ts_ms, ok).
 
-    A state machine can't be a set expression. Rows are dealt by key and sorted within
-    partitions, and streamed: memory holds one automaton, however many calls a provider has.
+    A state machine can't be a set expression. Rows are dealt by key and stretch of time, sorted
+    within partitions, and streamed: memory holds one automaton, however many calls there are.
+
+    A stretch starts with a time slot (of ``rest_ms``) that has calls but, like the slot before it,
+    no failure: whatever came before, its first call is let through and closes the breaker, so
+    stretches don't depend on each other. Only a provider that fails in every other slot is one stretch.
+    Calls without a time are left out; without an outcome they failed.
     """
+    slotted = calls.select(key, "seq", "ts_ms", F.coalesce("ok", F.lit(False)).alias("ok"), F.floor(F.col("ts_ms") / rest_ms).alias("slot"))
+    slots = slotted.groupBy(key, "slot").agg(F.count_if(~F.col("ok")).alias("bad"))
+    along = W.partitionBy(key).orderBy("slot")
+    fresh = (F.col("bad") == 0) & ~((F.lag("slot").over(along) == F.col("slot") - 1) & (F.lag("bad").over(along) > 0))
+    slots = slots.withColumn("fresh", F.coalesce(fresh, F.col("bad") == 0).cast("int"))
+    slots = slots.select(F.col(key).alias("_key"), F.col("slot").alias("_slot"), F.sum("fresh").over(along.rowsBetween(W.unboundedPreceding, 0)).alias("stretch"))
+    stretched = slotted.join(slots, slotted[key].eqNullSafe(slots["_key"]) & (slotted["slot"] == slots["_slot"]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, b = None, Breaker(limit, rest_ms)
         for pdf in batches:
             out = []
-            for k, ts, ok in zip(pdf[key], pdf["ts_ms"], pdf["ok"], strict=True):
-                if k != now:
-                    now, b = k, Breaker(limit, rest_ms)
+            for k, part, ts, ok in zip(pdf[key], pdf["stretch"], pdf["ts_ms"], pdf["ok"], strict=True):
+                if (k, part) != now:
+                    now, b = (k, part), Breaker(limit, rest_ms)
                 out.append(b.step(int(ts), bool(ok)))
             yield pd.DataFrame({key: pdf[key], "seq": pdf["seq"], "state": [s for s, _ in out], "allowed": [a for _, a in out]})
 
     python_path(calls.sparkSession)
-    dealt = calls.select(key, "seq", "ts_ms", "ok").repartition(key).sortWithinPartitions(key, "ts_ms", "seq")
+    dealt = stretched.select(key, "stretch", "seq", "ts_ms", "ok").repartition(key, "stretch").sortWithinPartitions(key, "stretch", "ts_ms", "seq")
     return dealt.mapInPandas(run, f"{key} string, seq long, state string, allowed boolean")
 
 

@@ -45,7 +45,13 @@ def _(s, d):
     return S.top(S.indexed_bm25(s, path, "v1", MULTI, buckets=8), 10, ["qid"]).withColumnRenamed("id", "doc_id")
 
 
-@query("graph_reranked")
+RERANKED = f"""WITH {D.TRIPLES}, c AS (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], {VEC0}) AS score FROM embeddings),
+l AS (SELECT 'cust_' || id AS e FROM c ORDER BY round(score, 6) DESC, id LIMIT 5),
+f AS (SELECT DISTINCT src AS id FROM triples WHERE s IN (SELECT e FROM l) OR o IN (SELECT e FROM l))
+SELECT id, round(coalesce(score, 0.01), 6) AS score, score IS NULL AS from_graph FROM c FULL JOIN f USING (id)"""
+
+
+@query("graph_reranked", RERANKED)
 def _(s, d):
     entries = _vecs(s, d).select("id", F.array(F.concat(F.lit("cust_"), F.col("id").cast("string"))).alias("entities"))
     return S.graph_reranked(S.cosine_scores(_vecs(s, d), _vec0(s, d)), entries, lambda seeds: G.k_hop(D.triples(s, d), seeds, 1)).select("id", F.round("score", 6).alias("score"), "from_graph")

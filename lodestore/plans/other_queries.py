@@ -49,6 +49,17 @@ def _(s, d):
     return both.select("id", F.round(F.sqrt(err), 4).alias("error"))
 
 
+UNROTATED = """WITH x AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x FROM embeddings), q AS (SELECT id, x, floor(least(greatest((x + 1) / 2, 0), 1) * 255 + 0.5) / 255 * 2 - 1 AS v FROM x)
+SELECT id, round(sqrt(sum(power(x - v - CASE WHEN x >= v THEN 0.05 ELSE -0.05 END, 2))), 4) AS error FROM q GROUP BY id"""
+
+
+@query("quantized_unrotated", UNROTATED)
+def _(s, d):
+    back = V.dequantize_vectors(V.quantize_vectors(_vecs(s, d), 8, None), 8, None).withColumnRenamed("vec", "back")
+    err = F.aggregate(F.zip_with(F.col("vec").cast("array<double>"), "back", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)
+    return _vecs(s, d).join(back, "id").select("id", F.round(F.sqrt(err), 4).alias("error"))
+
+
 @query("quantized_topk")
 def _(s, d):
     packed = V.quantize_vectors(_vecs(s, d), 4)

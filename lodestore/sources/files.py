@@ -18,16 +18,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
 
 
-def jsonl_lines(spark: SparkSession, path: str, schema: T.StructType, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """(file, value, row): each line and what it parses to; row.__bad tells of malformed lines. Files over ``max_bytes`` are left out, a missing path is an empty table."""
+def jsonl_lines(spark: SparkSession, path: str | list[str], schema: T.StructType, max_bytes: int | None = None) -> DataFrame:
+    """(file, value, row): each line and what it parses to; row.__bad tells of malformed lines. A missing path is an empty table.
+
+    Large files are split like others. With ``max_bytes`` (such as ``MAX_FILE_BYTES``) larger ones are left out; ``oversized`` names them.
+    """
     full = T.StructType([*schema.fields, T.StructField("__bad", T.StringType())])
-    if not exists(spark, path):
+    paths = [p for p in ([path] if isinstance(path, str) else path) if exists(spark, p)]
+    if not paths:
         return spark.createDataFrame([], T.StructType([T.StructField("file", T.StringType()), T.StructField("value", T.StringType()), T.StructField("row", full)]))
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).filter(F.col("size") <= max_bytes).filter("trim(value) <> ''")
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).filter("trim(value) <> ''")
+    if max_bytes is not None:
+        lines = lines.filter(F.col("size") <= max_bytes)
     return lines.select("file", "value", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}).alias("row"))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def oversized(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(file, bytes) of the files that a limit leaves out; contents aren't read."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "file string, bytes long")
+    files = spark.read.format("binaryFile").load(path)
+    return files.filter(F.col("length") > max_bytes).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+
+
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType, max_bytes: int | None = None) -> DataFrame:
     """The well-formed rows."""
     return jsonl_lines(spark, path, schema, max_bytes).filter("row.__bad IS NULL").select(*(F.col("row")[f.name].alias(f.name) for f in schema.fields))
 
@@ -68,10 +82,12 @@ def changed_files(files: DataFrame, known: DataFrame) -> DataFrame:
     return f.join(known.select("path", "hash"), ["path", "hash"], "left_anti")
 
 
-def projects(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
-    """The store ``name`` of every project under ``root``, with ``_project``, the folder above the store's."""
-    lines = jsonl_lines(spark, f"{root}/*/{name}", schema).filter("row.__bad IS NULL")
-    return lines.select(*(F.col("row")[f.name].alias(f.name) for f in schema.fields), F.regexp_extract("file", rf"([^/]+)/{name}$", 1).alias("_project"))
+def projects(spark: SparkSession, root: str, name: str, schema: T.StructType, depth: int = 5, skipped: tuple[str, ...] = ("node_modules", ".git")) -> DataFrame:
+    """The store ``name`` (a file, or a folder of part files) of every project down to ``depth`` folders under ``root``, with ``_project``, the folder above the store's."""
+    lines = jsonl_lines(spark, [f"{root}{'/*' * i}/{name}" for i in range(depth + 1)], schema).filter("row.__bad IS NULL")
+    inside = F.substring_index("file", root.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+    kept = lines.filter(~F.exists(F.split(inside, "/"), lambda p: p.isin(*skipped)))
+    return kept.select(*(F.col("row")[f.name].alias(f.name) for f in schema.fields), F.regexp_extract("file", rf"([^/]+)/{name}(?:/[^/]*)?$", 1).alias("_project"))
 
 
 def save_version(df: DataFrame, base: str, table: str) -> str:

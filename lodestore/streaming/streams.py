@@ -211,8 +211,8 @@ def reminder_step(throttle_ms: int = 180_000, block_after: int = 2) -> Callable:
     return step
 
 
-def reminders(events: DataFrame) -> DataFrame:
-    return folded(events, "session", ["ts_ms", "seq"], {"last": None, "count": 0}, reminder_step(), "session string, seq long, reminders long, blocked boolean")
+def reminders(events: DataFrame, throttle_ms: int = 180_000, block_after: int = 2) -> DataFrame:
+    return folded(events, "session", ["ts_ms", "seq"], {"last": None, "count": 0}, reminder_step(throttle_ms, block_after), "session string, seq long, reminders long, blocked boolean")
 
 
 def last_rows_step(keep: int = 50) -> Callable:

@@ -68,17 +68,52 @@ def similar_pairs(vectors: DataFrame, min_cos: float, blocks: int | None = None)
     return a.join(b, ["i", "j"]).filter("id1 < id2").select("id1", "id2", F.round(cosine(F.col("v1"), F.col("v2")), 4).alias("similarity")).filter(F.col("similarity") > min_cos)
 
 
-def dedup_probe(store: DataFrame, new: DataFrame) -> DataFrame:
-    """(new_id, id): for each new entry the first stored one (by id) of a like topic, one within the other, and two common tags or more.
+#: sizes of the pieces by which topics that hold one another are found
+PIECES = (8, 3, 1)
+
+
+def _tag_pairs(tags: Column) -> Column:
+    """Two common tags: each pair of tags, in order."""
+    own = F.array_sort(F.array_distinct(tags))
+    return F.flatten(F.transform(own, lambda x: F.transform(F.filter(own, lambda y: y > x), lambda y: F.concat(x, F.lit("\x00"), y))))
+
 
-    The pair must share tags, so it is found through the tags, never by comparing all topics.
+def _like_topics(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows (id, t, tags, ...) joined with rows (id2, t2, tags2, ...) where one topic holds the other and two tags or more are common.
+
+    If t holds t2, a piece from the middle of t2 is a piece of t: one key of the shorter topic meets the keys
+    of all pieces of the longer, each with a pair of tags. Only ids and hashed keys are
+    shuffled, and only candidates are compared. Rows without an id are left out.
     """
-    s = store.select("id", topic_key(F.col("topic")).alias("t"), F.transform("tags", F.lower).alias("tags")).filter("t <> ''")
-    n = new.select(F.col("id").alias("new_id"), topic_key(F.col("topic")).alias("nt"), F.transform("tags", F.lower).alias("ntags")).filter("nt <> ''")
-    # two common tags: a pair of tags, in order, is the join key
-    pairs = lambda c: F.flatten(F.transform(F.array_sort(F.array_distinct(c)), lambda x: F.transform(F.filter(F.array_distinct(c), lambda y: y > x), lambda y: F.concat(x, F.lit("\x00"), y))))
-    hit = s.withColumn("k", F.explode(pairs("tags"))).join(n.withColumn("k", F.explode(pairs("ntags"))), "k").filter("contains(t, nt) OR contains(nt, t)")
-    return hit.groupBy("new_id").agg(F.min("id").alias("id"))
+
+    def key(id_col: str, t: Column, tags: Column, pieces: Column) -> list[Column]:
+        return [F.col(id_col), F.explode(F.array_distinct(F.flatten(F.transform(_tag_pairs(tags), lambda p: F.transform(pieces, lambda x: F.xxhash64(p, x)))))).alias("key")]
+
+    def holding(rows: DataFrame, id_col: str, t: Column, tags: Column) -> DataFrame:
+        none = F.array().cast("array<string>")
+
+        def pieces(n: int) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1)))
+            return F.when(F.length(t) >= n, F.transform(starts, lambda i: t.substr(i, F.lit(n)))).otherwise(none)
+
+        return rows.select(*key(id_col, t, tags, F.array_distinct(F.flatten(F.array(*map(pieces, PIECES))))))
+
+    def held(rows: DataFrame, id_col: str, t: Column, tags: Column) -> DataFrame:
+        size = F.coalesce(*(F.when(F.length(t) >= n, F.lit(n)) for n in PIECES))
+        middle = F.floor((F.length(t) - size) / 2).cast("int") + 1
+        return rows.select(*key(id_col, t, tags, F.array(t.substr(middle, size))))
+
+    a, b = ("id", F.col("t"), F.col("tags")), ("id2", F.col("t2"), F.col("tags2"))
+    near = holding(left, *a).join(held(right, *b), "key").select("id", "id2").unionByName(held(left, *a).join(holding(right, *b), "key").select("id", "id2")).distinct()
+    both = near.join(left, "id").join(right, "id2")
+    return both.filter("(contains(t, t2) OR contains(t2, t)) AND size(array_intersect(tags, tags2)) >= 2")
+
+
+def dedup_probe(store: DataFrame, new: DataFrame) -> DataFrame:
+    """(new_id, id): for each new entry the first stored one (by id) of a like topic, one within the other, and two common tags or more."""
+    rows = lambda df: df.select("id", topic_key(F.col("topic")).alias("t"), F.transform("tags", F.lower).alias("tags")).filter("t <> ''")
+    n = rows(new).select(F.col("id").alias("id2"), F.col("t").alias("t2"), F.col("tags").alias("tags2"))
+    return _like_topics(rows(store), n).groupBy(F.col("id2").alias("new_id")).agg(F.min("id").alias("id"))
 
 
 def missing(entries: DataFrame, have: DataFrame) -> DataFrame:
@@ -249,11 +284,11 @@ def overlapping_topics(findings: DataFrame) -> DataFrame:
 
 
 def dedup_probe_all(findings: DataFrame) -> DataFrame:
+    """(id, kept_id, kept_epoch): findings and the newer ones of a like topic."""
     f = findings.select("id", topic_key(F.col("topic")).alias("t"), F.transform("tags", F.lower).alias("tags"), "epoch").filter("t <> ''")
-    pairs = F.flatten(F.transform(F.array_distinct("tags"), lambda x: F.transform(F.filter(F.array_distinct("tags"), lambda y: y > x), lambda y: F.concat(x, F.lit("\x00"), y))))
-    k = f.withColumn("k", F.explode(pairs))
-    newer = k.select(F.col("id").alias("kept_id"), F.col("t").alias("kt"), F.col("epoch").alias("kept_epoch"), "k")
-    return k.join(newer, "k").filter("(kept_epoch > epoch OR (kept_epoch = epoch AND kept_id > id)) AND (contains(t, kt) OR contains(kt, t))").select("id", "kept_id", "kept_epoch").distinct()
+    newer = f.select(F.col("id").alias("id2"), F.col("t").alias("t2"), F.col("tags").alias("tags2"), F.col("epoch").alias("kept_epoch"))
+    pairs = _like_topics(f, newer).filter("kept_epoch > epoch OR (kept_epoch = epoch AND id2 > id)")
+    return pairs.select("id", F.col("id2").alias("kept_id"), "kept_epoch").distinct()
 
 
 def matched_steps(steps: DataFrame, scripts: DataFrame) -> DataFrame:

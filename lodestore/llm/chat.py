@@ -40,27 +40,36 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         _plain(text_col, "").alias("text"),
     )
     people = t.filter(F.col("speaker") != system).select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("assistant")).distinct()
-    t = t.withColumn("copy", F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("speaker", "text")) - 1)
-    t = t.withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long")).withColumn("copies", F.floor(F.col("copy") / part_copies).cast("long"))
-    t = t.join(people, t["conv_id"].eqNullSafe(people["_conv"])).drop("_conv")
-    own = F.col("speaker") == F.col("assistant")
-    head = F.when(own, F.lit("assistant")).when(F.col("speaker") == system, F.lit("system")).otherwise(F.concat(F.lit("user name="), "speaker"))
-    head = F.concat(F.lit(START), head, F.lit("\n"))
-    size = F.length(head) + F.length("text") + len(END)
-    key = ["conv_id", "assistant", "part", "copies"]
+    # dealt once by conversation and part, which numbering repeated turns, gathering parts and measuring them share
+    t = t.withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long")).repartition("conv_id", "part")
+    t = t.withColumn("copy", F.row_number().over(W.partitionBy("conv_id", "part", "turn").orderBy("speaker", "text")) - 1).withColumn("copies", F.floor(F.col("copy") / part_copies).cast("long"))
+    key = ["conv_id", "part", "copies"]
+    m = t.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("turn", "copy", "speaker", "text"))).alias("m"))  # part_turns * part_copies messages at most
+    title = F.when(F.col("speaker") == system, F.lit("system")).otherwise(F.concat(F.lit("user name="), "speaker"))
+    size = (F.length(title) + F.length("text") + len(START) + 1 + len(END)).cast("long")
+    sizes = t.groupBy(*key).agg(F.sum(size).alias("size"), F.collect_list("speaker").alias("speakers"))
+    g = sizes.join(people, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
+    own = F.size(F.filter("speakers", lambda x: x == F.col("assistant"))) * (F.length("assistant") + len("user name=") - len("assistant"))
     before = W.partitionBy("conv_id", "assistant").orderBy("part", "copies").rowsBetween(W.unboundedPreceding, -1)
-    offsets = t.groupBy(*key).agg(F.sum(size.cast("long")).alias("all")).select(*(F.col(c).alias(f"_{c}") for c in key), F.coalesce(F.sum("all").over(before), F.lit(0)).alias("offset"))
-    message = F.struct("turn", "copy", "speaker", "text", head.alias("head"), own.alias("own"), (F.length("text") + len(END) - 1).alias("masked"), size.alias("size"))
-    g = t.groupBy(*key).agg(F.array_sort(F.collect_list(message)).alias("m"))
-    # running offsets: the array holds part_turns * part_copies messages at most
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
-    g = g.join(offsets, same[0] & same[1] & same[2] & same[3])
-    g = g.withColumn("at", F.transform("m", lambda _, i: F.aggregate(F.slice("m", 1, i), F.col("offset"), lambda s, x: s + x["size"])))
-    spans = F.zip_with("m", "at", lambda x, a: F.when(x["own"], F.concat((a + F.length(x["head"])).cast("string"), F.lit(":"), (a + F.length(x["head"]) + x["masked"]).cast("string"))))
+    offset = F.coalesce(F.sum(F.col("size") - own).over(before), F.lit(0)).alias("offset")
+    g = g.select(*(F.col(c).alias(f"_{c}") for c in key), "assistant", offset)
+    g = m.join(g, F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("part") == F.col("_part")) & (F.col("copies") == F.col("_copies")))
+
+    def head(x: Column) -> Column:
+        name = F.when(x["speaker"] == F.col("assistant"), F.lit("assistant")).when(x["speaker"] == system, F.lit("system"))
+        return F.concat(F.lit(START), name.otherwise(F.concat(F.lit("user name="), x["speaker"])), F.lit("\n"))
+
+    def span(s: Column, x: Column) -> Column:
+        start = s["at"] + F.length(head(x))
+        end = start + F.length(x["text"]) + len(END) - 1
+        mask = F.when(x["speaker"] == F.col("assistant"), F.concat(s["mask"], F.lit(","), start.cast("string"), F.lit(":"), end.cast("string")))
+        return F.struct((end + 1).alias("at"), mask.otherwise(s["mask"]).alias("mask"))
+
+    spans = F.aggregate("m", F.struct(F.col("offset").alias("at"), F.lit("").alias("mask")), span)
     return g.select(
-        *key, "offset", F.size("m").cast("long").alias("n_messages"),
-        F.array_join(F.transform("m", lambda x: F.concat(x["head"], x["text"], F.lit(END))), "").alias("rendered"),
-        F.array_join(F.filter(spans, lambda x: x.isNotNull()), ",").alias("mask"),
+        "conv_id", "assistant", "part", "copies", "offset", F.size("m").cast("long").alias("n_messages"),
+        F.array_join(F.transform("m", lambda x: F.concat(head(x), x["text"], F.lit(END))), "").alias("rendered"),
+        F.substring(spans["mask"], 2, 1 << 30).alias("mask"),
     )
 
 

@@ -61,44 +61,53 @@ class ByteBPE:
             self.strings[i] = bytes(alphabet[c] for c in token)
         for token, i in self.special.items():
             self.strings[i] = token.encode()
-        self.merges = {}
+        self.merges, self.made = {}, []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[a] << 20 | vocab[b]] = rank << 20 | vocab[a + b]
+            self.merges[vocab[a] << 20 | vocab[b]] = rank
+            self.made.append(vocab[a + b])
+        pairs = ((a, b, self.merges.get(x << 20 | y)) for a, x in enumerate(self.byte_id) for b, y in enumerate(self.byte_id))
+        self.first = {(a, b): r for a, b, r in pairs if r is not None}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.size, self.words, self.pieces = cache, {}, {}
         self.old_words, self.old_pieces = {}, {}  # the generation before: what is in use moves on, the rest goes
 
     def merge(self, data: bytes) -> list[int]:
-        """Ids of one pre-token. A queue entry is rank * n + position; it is stale if the pair there has another rank by now."""
+        """Ids of one pre-token. A queue entry holds a rank and a position; it is stale unless it is the one that lives at its position."""
+        n = len(data)
         ids = list(map(self.byte_id.__getitem__, data))
-        n, get = len(ids), self.merges.get
-        if n == 1:
-            return ids
-        queue = []
-        for i in range(n - 1):
-            if (m := get(ids[i] << 20 | ids[i + 1])) is not None:
-                queue.append((m >> 20) * n + i)
+        bits = n.bit_length()
+        live = [-1 if r is None else r << bits | i for i, r in enumerate(map(self.first.get, zip(data, data[1:], strict=False)))]
+        queue = [e for e in live if e >= 0]
         if not queue:
             return ids
+        live.append(-1)
         heapq.heapify(queue)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        mask, get, made = (1 << bits) - 1, self.merges.get, self.made
         pop, push = heapq.heappop, heapq.heappush
         while queue:
-            rank, i = divmod(pop(queue), n)
-            left, j = ids[i], after[i]
-            if left < 0 or j >= n or (m := get(left << 20 | ids[j])) is None or m >> 20 != rank:
+            e = pop(queue)
+            i = e & mask
+            if live[i] != e:
                 continue  # stale
-            new = m & 0xFFFFF
-            ids[i], ids[j] = new, -1
+            new = made[e >> bits]
+            j = after[i]
             k = after[i] = after[j]
+            ids[i], ids[j] = new, -1
+            live[i] = live[j] = -1
             if k < n:
                 before[k] = i
-                if (m := get(new << 20 | ids[k])) is not None:
-                    push(queue, (m >> 20) * n + i)
+                if (r := get(new << 20 | ids[k])) is not None:
+                    live[i] = e = r << bits | i
+                    push(queue, e)
             h = before[i]
-            if h >= 0 and (m := get(ids[h] << 20 | new)) is not None:
-                push(queue, (m >> 20) * n + h)
+            if h >= 0:
+                if (r := get(ids[h] << 20 | new)) is not None:
+                    live[h] = e = r << bits | h
+                    push(queue, e)
+                else:
+                    live[h] = -1
         return [x for x in ids if x >= 0]
 
     def _word(self, word: str) -> bytes:
@@ -114,7 +123,7 @@ class ByteBPE:
     def _piece(self, piece: str) -> bytes:
         """Of a space and what follows it up to the next."""
         if (got := self.old_pieces.get(piece)) is None:
-            got = self._plain(" " + piece)
+            got = self._word(" " + piece) if piece.isascii() and piece.isalpha() else self._plain(" " + piece)
         if len(piece) <= 32:
             if len(self.pieces) >= self.size:
                 self.old_pieces, self.pieces = self.pieces, {}

@@ -27,3 +27,12 @@ def test_scans_read_what_they_need_and_nothing_shuffles(spark, sf):
 @pytest.mark.parametrize(("query", "columns"), [(bpe.op5, "doc_id:bigint,text:string"), (html_text.op7, "page_id:bigint,url:string,html:string")])
 def test_queries_prune_columns_below_a_small_tables_deal(spark, sf, query, columns):
     assert schemas(plan(query(spark, sf))) == [columns]
+
+
+def test_turns_are_dealt_once(spark, sf):
+    """Numbering, gathering and measuring the parts of dialogues read one shuffle of the texts."""
+    df = chat.op3(spark, sf)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = re.findall(r"(Reused)?Exchange (?:\[[^\]]*\], )?(?:Exchange )?hashpartitioning\(conv_id#\d+L, part#\d+L, \d+\), REPARTITION_BY_COL", final)
+    assert sorted(dealt) == ["", "Reused"]

@@ -177,13 +177,15 @@ def ranked_search(
         held = d.select(F.explode(F.array_distinct(words("text"))).alias("term")).join(terms, "term", "left_semi").groupBy("term").count()
         dfs = {r["term"].encode(): r["count"] for r in held.collect()}  # no more terms than the block has
         asked = [(item, t) for item, ts in asked if (t := [w for w in ts if w in dfs])]
+        if not asked:
+            continue
         found = best_of_tasks(d, [t for _, t in asked], dfs, n_docs, n_terms, k, shard_terms)
         rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc")))
         found = found.withColumn("rank", rank).filter(F.col("rank") <= k)
         names = spark.createDataFrame([(i, item) for i, (item, _) in enumerate(asked)], "query long, item_id long")
         found = found.join(names, "query").select("item_id", "rank", F.col("doc").alias("doc_id"), "score")
         out = found if out is None else out.unionByName(found)
-    return out
+    return none if out is None else out
 
 
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:

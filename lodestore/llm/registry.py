@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestore.llm import bpe, chat, crf, html_text, mixing, mtree, secrets, simhash, url_filter, vectors
+from lodestore.llm import bpe, chat, crf, html_text, licenses, maxscore, mixing, mtree, resample, secrets, simhash, url_filter, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vectors": vectors.op1,
@@ -20,8 +20,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mtree": mtree.op8,
     "op9_simhash": simhash.op9,
     "op10_secrets": secrets.op10,
+    "op11_licenses": licenses.op11,
+    "op12_maxscore": maxscore.op12,
+    "op13_resample": resample.op13,
+}
+ORACLES: dict[str, str] = {
+    "op1_vectors": vectors.OP1_SQL,
+    "op2_urls": url_filter.OP2_SQL,
+    "op3_chat": chat.OP3_SQL,
+    "op4_mixing": mixing.OP4_SQL,
+    "op8_mtree": mtree.OP8_SQL,
+    "op11_licenses": licenses.OP11_SQL,
+    "op12_maxscore": maxscore.OP12_SQL,
+    "op13_resample": resample.OP13_SQL,
 }
-ORACLES: dict[str, str] = {"op1_vectors": vectors.OP1_SQL, "op2_urls": url_filter.OP2_SQL, "op3_chat": chat.OP3_SQL, "op4_mixing": mixing.OP4_SQL, "op8_mtree": mtree.OP8_SQL}
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

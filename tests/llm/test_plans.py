@@ -2,11 +2,11 @@ import re
 
 import pytest
 
-from lodestore.llm import bpe, chat, crf, html_text, mixing, secrets, url_filter
+from lodestore.llm import bpe, chat, crf, html_text, licenses, mixing, resample, secrets, url_filter
 from tests.test_plans import PYTHON, plan, schemas
 
 
-@pytest.mark.parametrize("query", [url_filter.op2, chat.op3, mixing.op4])
+@pytest.mark.parametrize("query", [url_filter.op2, chat.op3, mixing.op4, licenses.op11, resample.op13])
 def test_native_operators_run_no_python(spark, sf, query):
     assert not re.search(PYTHON + "|CartesianProduct", plan(query(spark, sf)))
 

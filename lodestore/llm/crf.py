@@ -47,48 +47,92 @@ LINE_FEATURES = 23
 FEATURES = 3 * LINE_FEATURES + 1
 
 
+#: lines, and bytes unless one line has more, whose features are in memory at once
+SLICE_LINES, SLICE_BYTES = 16_384, 4 << 20
+
+
+class Lines:
+    """A whole text's lines, their features a slice at a time; an empty or null text is one empty line."""
+
+    def __init__(self, text: str | None):
+        self.raw = (text or "").encode("utf-8", "surrogatepass") + b"\n"
+        stop = np.flatnonzero(np.frombuffer(self.raw, np.uint8) == 10)
+        self.start = np.concatenate(([0], stop[:-1] + 1))
+        self.size = stop - self.start
+        key = np.empty(len(stop), np.int64)
+        for lo in range(0, len(stop), SLICE_LINES):
+            ends = zip(self.start[lo : lo + SLICE_LINES].tolist(), stop[lo : lo + SLICE_LINES].tolist(), strict=True)
+            key[lo : lo + SLICE_LINES] = [hash(self.raw[a:b]) for a, b in ends]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        same = key[1:] == key[:-1]
+        self.repeated = np.zeros(len(stop), bool)
+        self.repeated[order[1:]] |= same
+        self.repeated[order[:-1]] |= same
+        self.repeated &= self.size > 0
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def slices(self) -> Iterator[tuple[int, int]]:
+        lo, n = 0, len(self)
+        while lo < n:
+            hi = int(np.searchsorted(self.start, self.start[lo] + SLICE_BYTES))
+            yield lo, (hi := min(max(hi, lo + 1), lo + SLICE_LINES, n))
+            lo = hi
+
+    def _own(self, lo: int, hi: int) -> np.ndarray:
+        """The lines' own features."""
+        n, size = hi - lo, self.size[lo:hi]
+        first = int(self.start[lo])
+        raw = self.raw[first : int(self.start[hi - 1] + size[-1]) + 1]
+        data, start = np.frombuffer(raw, np.uint8), self.start[lo:hi] - first
+        k = _CLASS[data]
+        f = np.zeros((n, LINE_FEATURES))
+        one = np.maximum(size, 1)
+        for c in range(1, _CLASSES):
+            f[:, c - 1] = np.add.reduceat(k == c, start, dtype=np.int64) / one
+        doubled = np.zeros(len(data), bool)
+        doubled[1:] = (data[1:] == data[:-1]) & (k[1:] >= 6)
+        f[:, 9] = np.add.reduceat(doubled, start, dtype=np.int64) / one
+        space = (k == 4) | (data == 10)
+        heads = np.zeros(len(data), bool)
+        heads[0] = not space[0]
+        heads[1:] = ~space[1:] & space[:-1]
+        words = np.add.reduceat(heads, start, dtype=np.int64)
+        f[:, 10] = np.log1p(size) / 8
+        f[:, 11] = np.log1p(words) / 6
+        f[:, 12] = np.minimum(size / np.maximum(words, 1), 40) / 10
+        last = data[start + np.maximum(size, 1) - 1]
+        f[:, 13] = (size > 0) & ((last == 46) | (last == 63) | (last == 33))
+        f[:, 14] = self.repeated[lo:hi]
+        marks = f[:, 5] + f[:, 8] + f[:, 7]
+        f[:, 15], f[:, 16], f[:, 17], f[:, 18] = marks > 0.04, marks > 0.12, f[:, 1] > 0.3, f[:, 1] > 0.6
+        for i in np.flatnonzero(words > 3).tolist():
+            w = raw[start[i] : start[i] + size[i]].split()
+            if len(w) > 3:
+                f[i, 19] = sum(map(eq, w, islice(w, 1, None))) / len(w)
+                f[i, 20] = 1 - len(set(w)) / len(w)
+        f[:, 21], f[:, 22] = f[:, 19] > 0.2, f[:, 20] > 0.7
+        return f
+
+    def features(self, lo: int, hi: int) -> np.ndarray:
+        """(lines x FEATURES) of lines lo to hi: their own, and those of the line before and after each."""
+        a, b = max(lo - 1, 0), min(hi + 1, len(self))
+        f = self._own(a, b)
+        out = np.zeros((hi - lo, FEATURES))
+        out[:, :LINE_FEATURES] = f[lo - a : hi - a]
+        before, after = f[: hi - 1 - a], f[lo + 1 - a :]
+        out[len(out) - len(before) :, LINE_FEATURES : 2 * LINE_FEATURES] = before
+        out[: len(after), 2 * LINE_FEATURES : 3 * LINE_FEATURES] = after
+        out[:, -1] = 1
+        return out
+
+
 def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(lines x FEATURES, lengths in bytes) of a whole text; an empty or null text is one empty line."""
-    lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
-    n = len(lines)
-    size = np.fromiter(map(len, lines), np.int64, n)
-    data = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
-    start = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
-    k = _CLASS[data]
-    f = np.zeros((n, LINE_FEATURES))
-    one = np.maximum(size, 1)
-    for c in range(1, _CLASSES):
-        f[:, c - 1] = np.add.reduceat(k == c, start, dtype=np.int64) / one
-    doubled = np.zeros(len(data), bool)
-    doubled[1:] = (data[1:] == data[:-1]) & (k[1:] >= 6)
-    f[:, 9] = np.add.reduceat(doubled, start, dtype=np.int64) / one
-    space = (k == 4) | (data == 10)
-    heads = np.zeros(len(data), bool)
-    heads[0] = not space[0]
-    heads[1:] = ~space[1:] & space[:-1]
-    words = np.add.reduceat(heads, start, dtype=np.int64)
-    f[:, 10] = np.log1p(size) / 8
-    f[:, 11] = np.log1p(words) / 6
-    f[:, 12] = np.minimum(size / np.maximum(words, 1), 40) / 10
-    last = data[start + np.maximum(size, 1) - 1]
-    f[:, 13] = (size > 0) & ((last == 46) | (last == 63) | (last == 33))
-    count: dict[bytes, int] = {}
-    for x in lines:
-        count[x] = count.get(x, 0) + 1
-    f[:, 14] = np.fromiter((count[x] > 1 and len(x) > 0 for x in lines), bool, n)
-    marks = f[:, 5] + f[:, 8] + f[:, 7]
-    f[:, 15], f[:, 16], f[:, 17], f[:, 18] = marks > 0.04, marks > 0.12, f[:, 1] > 0.3, f[:, 1] > 0.6
-    for i, x in enumerate(lines):
-        if (w := x.split()) and len(w) > 3:
-            f[i, 19] = sum(map(eq, w, islice(w, 1, None))) / len(w)
-            f[i, 20] = 1 - len(set(w)) / len(w)
-    f[:, 21], f[:, 22] = f[:, 19] > 0.2, f[:, 20] > 0.7
-    out = np.zeros((n, FEATURES))
-    out[:, :LINE_FEATURES] = f
-    out[1:, LINE_FEATURES : 2 * LINE_FEATURES] = f[:-1]
-    out[:-1, 2 * LINE_FEATURES : 3 * LINE_FEATURES] = f[1:]
-    out[:, -1] = 1
-    return out, size
+    """(lines x FEATURES, lengths in bytes) of a whole text, for training."""
+    lines = Lines(text)
+    return np.concatenate([lines.features(*s) for s in lines.slices()]), lines.size
 
 
 @dataclass
@@ -99,26 +143,37 @@ class Model:
     b: float = 0.0
 
     def marginals(self, x: np.ndarray) -> np.ndarray:
-        """Probability of "good" for each line, by forward-backward in odds: r = message(good) / message(bad)."""
-        u = np.exp(np.clip(x @ self.unary, -30, 30)).tolist()
+        """Probability of "good" for each line."""
+        return self._smooth(x @ self.unary)
+
+    def _smooth(self, unary: np.ndarray) -> np.ndarray:
+        """Forward-backward in odds, r = message(good) / message(bad); ``unary`` becomes the marginals."""
+        u = np.exp(np.clip(unary, -30, 30, out=unary), out=unary)
         (bb, bg), (gb, gg) = np.exp(self.trans).tolist()
         n = len(u)
-        ahead, r = [1.0] * n, 1.0
-        for i in range(n):
-            if i:
-                r = (bg + r * gg) / (bb + r * gb)
-            ahead[i] = r = r * u[i]
-        out, r = [0.0] * n, 1.0
-        for i in range(n - 1, -1, -1):
-            odds = ahead[i] * r
-            out[i] = odds / (1 + odds)
-            s = r * u[i]
-            r = (gb + s * gg) / (bb + s * bg)
-        return np.array(out)
+        ahead, r = np.empty(n), None
+        for lo in range(0, n, SLICE_LINES):
+            part = []
+            for x in u[lo : lo + SLICE_LINES].tolist():
+                r = x if r is None else (bg + r * gg) / (bb + r * gb) * x
+                part.append(r)
+            ahead[lo : lo + SLICE_LINES] = part
+        r = 1.0
+        for lo in reversed(range(0, n, SLICE_LINES)):
+            part = []
+            for x, before in zip(u[lo : lo + SLICE_LINES].tolist()[::-1], ahead[lo : lo + SLICE_LINES].tolist()[::-1], strict=True):
+                odds = before * r
+                part.append(odds / (1 + odds))
+                s = r * x
+                r = (gb + s * gg) / (bb + s * bg)
+            u[lo : lo + SLICE_LINES] = part[::-1]
+        return u
 
     def good_share(self, text: str | None) -> float:
-        x, size = line_features(text)
-        return float(np.average(self.marginals(x), weights=size + 1.0))
+        """Mean of the lines' marginals, weighted by their lengths. Of a text with millions of lines only a few numbers each are held."""
+        lines = Lines(text)
+        unary = np.concatenate([lines.features(*s) @ self.unary for s in lines.slices()])
+        return float(np.average(self._smooth(unary), weights=lines.size + 1.0))
 
     def score(self, text: str | None) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.a * self.good_share(text) + self.b))))

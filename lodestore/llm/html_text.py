@@ -5,9 +5,12 @@ much of it is link text; the node whose children's densities have the largest su
 article. The smallest density on the path from it to the body is the page's threshold: the subtree
 grows to the enclosing article or main element if that is denser, and nothing in it is left out.
 Else all blocks beside the path that reach the threshold are text too, and sparser containers and
-blocks of links among them are left out. What tags and names say is never content (navigation,
-footers, forms, adverts, notices, reader comments, hidden parts) is left out beforehand. Names count
-on containers only: headings and paragraphs are called what they are about.
+blocks of links among them are left out. What tags and attributes say is never content (navigation,
+footers, forms, hidden parts) is left out beforehand. Names (adverts, notices, sidebars, reader
+comments) count on containers only: headings and paragraphs are called what they are about. A name
+that may as well describe a layout ("layout sidebar-right", "page nav-open") leaves out no element
+that holds the page's article: its article or main element, or else the node whose children's
+densities have the largest sum.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,30 +47,61 @@ NAMED = frozenset("div section ul ol dl table aside span center".split())
 #: below the threshold these are left out beside text
 CONTAINER = frozenset("div section center table tbody tr td".split())
 SCOPE = frozenset("table ul ol dl menu div section article main body html".split())
+#: a name in a class or id
 NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side-bar|comments?|comment-?list|disqus|respond|replies|cookies?|consent|gdpr|notices?|alert|popup|pop-up|modal|overlay|newsletter|subscribe|subscription|signup|login|menu|nav\w*|navbar|breadcrumbs?|pagination|pager|footer|masthead|site-?header|page-?header|share|sharing|social|related|recommended|widget|toolbar|skip|search|hidden|sr-only|visually-hidden)(?=$|[\s_-])",
     re.I,
 )
+#: words that go with a name without changing what it names
+AFFIX = frozenset("site page main global top bottom primary secondary left right area bar block box body container content form group heading inner item items link links list module outer panel posts section text title widget wrap wrapper message entry post user reader thread".split())
+#: these say how a page looks, not what an element is
+STATE = frozenset("left right open opened closed collapsed expanded visible shown fixed sticky top bottom active enabled on off".split())
+#: classes of elements that hold a page's parts
+LAYOUT = re.compile(r"(?:^|\s)(?:layout|page|wrapper|container|row|content|main|site|grid|columns?|col(?:-\w+)*|[\w-]+-wrapper|[\w-]+-container)(?=$|\s)", re.I)
+#: remarks of readers: what holds these is no article, even if each is one
+REMARKS = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|disqus|respond|replies)(?=$|[\s_-])", re.I)
 #: "has-sidebar" says what a page has, not what the element is
 HAS = re.compile(r"\b(?:has|have|no|with|without|show|hide|is)[-_]+[\w-]+", re.I)
 ROLE = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 ATTR = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>""")
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>""")
 TAG_START = re.compile(r"[a-zA-Z/!?]")
+TAG_NAME = re.compile(r"</?[a-zA-Z][^\s/>]*+")
+QUOTE_OR_END = re.compile("[\"'>]")
 
 
-def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
+#: what an element's tag and attributes say of it
+CONTENT, MAYBE, NAMED_SO, REMARK, OUT = range(5)
+
+
+def _names(value: str) -> int:
+    """What a class or id says: a name alone or with usual affixes, or one that may describe a layout."""
+    value = HAS.sub(" ", value)
+    if not NAME.search(value):
+        return CONTENT
+    layout = bool(LAYOUT.search(value))
+    for token in value.split():
+        m = NAME.search(token)
+        if m:
+            rest = [w for w in re.split("[_-]+", (token[: m.start()] + "-" + token[m.end() :]).lower()) if w]
+            if not layout and not any(w in STATE for w in rest) and all(w in AFFIX or w.isdigit() or NAME.fullmatch(w) for w in rest):
+                return REMARK if REMARKS.search(token) else NAMED_SO
+    return MAYBE
+
+
+def _boilerplate(tag: str, attrs: str, in_article: bool) -> int:
     if tag in NEVER or (tag == "header" and not in_article):  # of a header in main, ``_headers`` judges
-        return True
+        return OUT
     if not attrs or tag in ("body", "html", "article", "main") and "hidden" not in attrs and tag != "article":
-        return False
+        return CONTENT
+    found = CONTENT
     for name, *value in ATTR.findall(attrs):
         name, value = name.lower(), value[0] or value[1] or value[2]
-        if (name == "class" and tag not in HEADING or name == "id" and tag in NAMED and not (tag == "section" and in_article)) and NAME.search(HAS.sub(" ", value)):
-            return True
+        if name == "class" and tag not in HEADING or name == "id" and tag in NAMED and not (tag == "section" and in_article):
+            found = max(found, _names(value))
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in ROLE) or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return True
-    return False
+            return OUT
+    return found
 
 
 def text_density(chars: int, link_chars: int, tags: int, link_tags: int, page_links: float) -> float:
@@ -84,26 +119,71 @@ class Page:
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.out, self.inside = ["#root"], [-1], [False], [False]
         self.link = [False]
+        #: elements whose names speak against them, with how much
+        self.named: list[tuple[int, int]] = []
+        self._closing: tuple[list[int], list[int]] | None = None
         #: (node, text); text None: a block begins or ends
         self.items: list[tuple[int, str | None]] = []
         self._parse(source)
         self._headers()
+        if self.named:
+            self._judge_names()
+
+    def _ends(self) -> list[int]:
+        """Where each node's range ends."""
+        end = list(range(1, len(self.tag) + 1))
+        for k in range(len(end) - 1, 0, -1):
+            end[self.parent[k]] = max(end[self.parent[k]], end[k])
+        return end
 
     def _headers(self) -> None:
         """A header in main, but in no article, that has no heading is the site's."""
-        article = [t == "article" for t in self.tag]
-        for k in range(1, len(self.tag)):
-            article[k] = article[k] or article[self.parent[k]]
+        if "header" not in self.tag:
+            return
+        n, end = len(self.tag), self._ends()
+        article, headings = [t == "article" for t in self.tag], [0] * (n + 1)
+        for k in range(n):
+            article[k] = article[k] or (k > 0 and article[self.parent[k]])
+            headings[k + 1] = headings[k] + (self.tag[k] in HEADING)
+        for k in range(1, n):
+            if self.tag[k] == "header" and not article[k] and not self.out[k] and headings[end[k]] == headings[k]:
+                self.out[k : end[k]] = [True] * (end[k] - k)
+
+    def _judge_names(self) -> None:
+        """Leave out the elements with names, but for those that hold the article.
+
+        An article or main element outside them all is the article, or else the longest within any
+        that are no remarks of readers. Without one it is the best node by density, and only names
+        that may describe a layout give way to it.
+        """
+        chars, _, _, _, end, density, _, body = self.measure()
+        level = [CONTENT] * len(self.tag)
+        for k, how in self.named:
+            level[k] = how
         for k in range(1, len(self.tag)):
-            if self.tag[k] == "header" and not article[k] and not self.out[k]:
-                below = {k}
-                for c in range(k + 1, len(self.tag)):  # a subtree is a range
-                    if self.parent[c] not in below:
-                        break
-                    below.add(c)
-                if not any(self.tag[c] in HEADING for c in below):
-                    for c in below:
-                        self.out[c] = True
+            level[k] = max(level[k], level[self.parent[k]])
+        articles = [k for k in range(1, len(self.tag)) if self.tag[k] in ("article", "main") and not self.out[k] and chars[k]]
+        free = any(level[k] == CONTENT for k in articles)
+        inside = [k for k in articles if level[k] < REMARK]
+        keep: set[int] = set()
+        if not free and inside:
+            k = max(inside, key=lambda k: (chars[k], -k))
+            while k > 0:
+                keep.add(k)
+                k = self.parent[k]
+        elif not free:
+            sure = [0.0] * len(self.tag)  # sums of densities without children of a sure name
+            for k in range(1, len(self.tag)):
+                if level[k] <= MAYBE:
+                    sure[self.parent[k]] += density[k]
+            k = max(range(body, len(self.tag)), key=lambda k: (not self.out[k] and level[k] <= MAYBE, sure[k], density[k], -k))
+            while k > 0:
+                keep.add(k)
+                k = self.parent[k]
+        for k, _ in self.named:
+            if k not in keep and not self.out[k]:
+                self.out[k : end[k]] = [True] * (end[k] - k)
+        self.items = [x for x in self.items if x[1] is None or not self.out[x[0]]]
 
     def _parse(self, s: str) -> None:
         stack, is_open, at, n = [0], {}, 0, len(s)
@@ -141,7 +221,7 @@ class Page:
                 j = s.find("-->", i + 4)
                 at = n if j < 0 else j + 3
                 continue
-            m = TAG.match(s, i)
+            m = self._tag(s, i)
             if not m:
                 j = s.find(">", i)
                 if j < 0:
@@ -190,7 +270,10 @@ class Page:
             self.parent.append(p)
             inside = self.inside[p] or tag in ("article", "main")
             self.inside.append(inside)
-            self.out.append(self.out[p] or _boilerplate(tag, attrs, self.inside[p]))
+            how = _boilerplate(tag, attrs, self.inside[p])
+            self.out.append(self.out[p] or how == OUT)
+            if CONTENT < how < OUT and not self.out[k]:
+                self.named.append((k, how))
             self.link.append(self.link[p] or tag == "a")
             if tag in BLOCK:
                 self.items.append((k, None))
@@ -198,6 +281,24 @@ class Page:
                 stack.append(k)
                 is_open[tag] = is_open.get(tag, 0) + 1
 
+    def _tag(self, s: str, i: int) -> re.Match | None:
+        """The tag that begins at ``i``. Once one has no end outside quotes, which of all others have one is found in one backward pass."""
+        if self._closing is None:
+            m = TAG.match(s, i)
+            if m or not TAG_NAME.match(s, i):
+                return m
+            at, ends = [], []
+            out = double = single = False  # whether a tag that is outside quotes, or in quotes, at this place comes to an end
+            for q in reversed(list(QUOTE_OR_END.finditer(s))):
+                at.append(q.start())
+                out, double, single = (True, double, single) if q[0] == ">" else (double, out, single) if q[0] == '"' else (single, double, out)
+                ends.append(out)
+            self._closing = at[::-1], ends[::-1]
+        at, ends = self._closing
+        name = TAG_NAME.match(s, i)
+        k = bisect_left(at, name.end()) if name else len(at)
+        return TAG.match(s, i) if k < len(at) and ends[k] else None
+
     def _text(self, node: int, text: str) -> None:
         if text and not self.out[node]:
             self.items.append((node, html.unescape(text) if "&" in text else text))
@@ -238,10 +339,9 @@ class Page:
                 chars[node] += size
                 if self.link[node]:
                     link_chars[node] += size
-        end = list(range(1, n + 1))
+        end = self._ends()
         for k in range(n - 1, 0, -1):
             p = self.parent[k]
-            end[p] = max(end[p], end[k])
             if not self.out[k]:
                 chars[p] += chars[k]
                 link_chars[p] += link_chars[k]
@@ -295,7 +395,7 @@ def extract(source: str | None) -> str:
 
 
 def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per row: id, url, text. Pages are read whole; a null page has an empty text; repeated rows each give a row."""
+    """Per row: id, url, text. Pages are read whole; null, empty and textless pages have an empty text; repeated rows each give a row, null ids and urls stay null, and other columns don't matter. An empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -306,6 +406,6 @@ def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's texts of all ``pages``."""
+    """The contract's texts of all ``pages``; null, empty, long and repeated pages as in ``page_texts``."""
     found = page_texts(read_table(spark, f"{sf_dir}/pages.parquet"))
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import pytest
 
@@ -89,3 +91,53 @@ def test_densities_sums_and_threshold_match_plain_definitions():
         if inside and sums[best] > 0:  # the nearest article that is denser than the threshold, whole
             whole = " ".join(t for node, t in page.items if t and inside[0] in up[node] and not page.out[node]).split()
             assert "".join(page.main_text().split()) == "".join(whole)
+
+
+BODY = "<h1>Head</h1>" + "".join(f"<p>Paragraph {i} of the text tells something of some length about its matter.</p>" for i in range(6))
+REMARKS = "".join(f"<div class=comment><p>Reader {i} says that he likes this text very much, it being long and so on and so on.</p></div>" for i in range(30))
+LAYOUTS = ("has-sidebar", "layout sidebar-right", "col-md-8 sidebar-left", "page-wrapper nav-open", "page menu-open", "content related-work", "search-results", "elementor-widget elementor-widget-theme-post-content")
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div><div class="sidebar"><p>Side text of a few words</p></div>'])
+def test_layout_names_lose_no_page(name, inner):
+    """A wrapper whose class describes a layout keeps its text, and what is surely no content inside it still goes."""
+    plain = html_text.extract(f"<html><body><div>{BODY}</div></body></html>")
+    assert html_text.extract(f'<html><body><nav><a href=x>n</a></nav><div class="{name}">{inner.format(BODY)}</div><footer>f</footer></body></html>') == plain
+    assert len(plain) > 400
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="post">{BODY}</div><div id="comments">{REMARKS}</div>',
+        f'<div class="post">{BODY}</div><div id="comments">{REMARKS.replace("<div class=comment>", "<article>").replace("</div>", "</article>")}</div>',
+        f'<div class="page sidebar-left"><div class=post>{BODY}</div><ol class="comment-list">{REMARKS}</ol></div>',
+        f'<article>{BODY}</article><div class="layout sidebar-right">{REMARKS}</div>',
+        f'<div class="post">{BODY}</div><div class="sidebar">{REMARKS}</div>',
+    ],
+)
+def test_longer_remarks_are_not_the_article(page):
+    assert html_text.extract(f"<html><body>{page}</body></html>") == html_text.extract(f"<html><body><div>{BODY}</div></body></html>")
+
+
+def test_a_page_of_a_notice_is_empty():
+    assert html_text.extract('<html><body><div class="cookie-banner"><p>We use cookies on this site.</p></div></body></html>') == ""
+
+
+@pytest.mark.parametrize("piece", ['<a ">"', "<a '", "<header>", "<div><p>", "<b><i>", "<!--", '"\'<x y="'])
+def test_malformed_pages_take_linear_time(piece):
+    began = time.perf_counter()
+    html_text.extract("<p>hello</p>" + piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 20  # a second or two; minutes if it were quadratic
+
+
+def test_unclosed_quotes_read_as_before():
+    """Whether a tag ends is looked up; the answer is the pattern's own."""
+    rng = random.Random(5)
+    for _ in range(3000):
+        s = "".join(rng.choice(["<a ", '"', "'", ">", "x", "=", "<b>", "</b>", " "]) for _ in range(rng.randrange(30)))
+        page = html_text.Page("")
+        for i in (m.start() for m in re.finditer("<", s)):
+            found, plain = page._tag(s, i), html_text.TAG.match(s, i)
+            assert (found and found.span()) == (plain and plain.span())

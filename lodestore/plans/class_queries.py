@@ -63,7 +63,7 @@ sg AS (SELECT *, ceil(len(t) / 4.0::DOUBLE) AS tok, floor({_n(FENCE)} / 2.0::DOU
   {_n(chr(92) + 'b(?:' + C.VERBS + ')' + chr(92) + 'b', '(?i)')} AS verbs,
   {_n(chr(92) + 'b[' + chr(92) + 'w-]+(?:/[' + chr(92) + 'w.-]+)+' + chr(92) + '.[a-z0-9]+' + chr(92) + 'b', '(?i)')} + {_n('[A-Za-z]:' + chr(92) * 2 + '[' + chr(92) + 'w.' + chr(92) * 2 + '-]+')} AS files,
   regexp_matches(t, '(?:^|\\n)(?:diff --git|@@ |\\+\\+\\+ |--- )') AS diff,
-  {' + '.join(_n(p, '(?i)') for p in ('think' + chr(92) + 's+step' + chr(92) + 's+by' + chr(92) + 's+step', 'reason' + chr(92) + 's+about', chr(92) + 'banalyz[eing|]' + chr(92) + 'b', 'walk' + chr(92) + 's+me' + chr(92) + 's+through', 'explain' + chr(92) + 's+in' + chr(92) + 's+detail', 'chain' + chr(92) + 's+of' + chr(92) + 's+thought'))} AS reasons,
+  {' + '.join(_n(p, '(?i)') for p in ('think' + chr(92) + 's+step' + chr(92) + 's+by' + chr(92) + 's+step', 'reason' + chr(92) + 's+about', chr(92) + 'banalyz[e|ing]' + chr(92) + 'b', 'walk' + chr(92) + 's+me' + chr(92) + 's+through', 'explain' + chr(92) + 's+in' + chr(92) + 's+detail', 'chain' + chr(92) + 's+of' + chr(92) + 's+thought'))} AS reasons,
   {_n('https?://' + chr(92) + 'S+')} AS urls FROM m),
 w AS (SELECT *, n_tools > 1 OR big > 5000 OR diff OR files > 3 AS forced,
   2.0::DOUBLE * least(tok / 4000, 1) + 1.0::DOUBLE * least(turns / 10.0::DOUBLE, 1) + 2.5::DOUBLE * least(n_tools / 2.0::DOUBLE, 1) + 1.0::DOUBLE * least(CASE WHEN n_tools > 0 THEN tools_bytes ELSE 0 END / 8000.0::DOUBLE, 1)

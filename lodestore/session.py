@@ -9,6 +9,7 @@ import shutil
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -117,27 +118,31 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestore_path = path
-    for made in _SCOPES:
+    made = _SCOPE.get()
+    if made is not None:
         made.append(out)
     return out
 
 
-#: tables that ``materialize`` wrote in each open ``scratch``
-_SCOPES: list[list[DataFrame]] = []
+#: tables that ``materialize`` wrote in this context's innermost ``scratch``; threads don't share it
+_SCOPE: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
 
 
 @contextmanager
 def scratch(*keep: str) -> Iterator[None]:
-    """On leaving, delete the tables that ``materialize`` wrote within, but those of the given names, which what goes on still reads."""
+    """On leaving, delete the tables that ``materialize`` wrote within, but those of the given names, which what goes on still reads; they belong to the scope around it, if any."""
     made: list[DataFrame] = []
-    _SCOPES.append(made)
+    outer = _SCOPE.get()
+    token = _SCOPE.set(made)
     try:
         yield
     finally:
-        _SCOPES.pop()
+        _SCOPE.reset(token)
         for df in made:
             if df._lodestore_path.rsplit("/", 1)[1].rsplit("-", 1)[0] not in keep:
                 discard(df)
+            elif outer is not None:
+                outer.append(df)
 
 
 def discard(df: DataFrame) -> None:

@@ -10,8 +10,10 @@ has labels and its blocked share, smoothed towards the share among all labelled
 threshold.
 
 URLs are counted per distinct generalised path before anything is joined, so a hot host weighs
-no more than the number of its distinct paths. The tree is built level by level; a path that is
-the only one below its node is finished there.
+no more than the number of its distinct paths. The tree is built from branching to branching: what
+all paths below a node share, however many segments, is one step, and below a node with too few URLs
+for any evidence everything keeps its name, so steps number the branchings that such a number of URLs
+pass one after another.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestore.session import materialize
+from lodestore.session import discard, materialize
 
 #: (host, path) prefix and whether it allows
 RULES = (("com/", True), ("example.com/en/", False), ("www.example.com/en/", True), ("net/es/", False), ("net/fr/", False))
@@ -56,8 +58,13 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """(id, host, path, rule, verdict, template, purity) for every row.
 
     purity is null for URLs without a host. A template without labelled URLs is never rejected.
-    Empty tables give no rows; repeated rows each count.
+    Null, empty and other URLs without ``://`` have neither template nor purity and are allowed. Empty
+    tables give no rows; repeated rows each count and each have a row; null ids stay null; other columns
+    don't matter. ``min_children`` is 2 at least: an only child keeps its name.
     """
+    if min_children < 2:
+        raise ValueError("an only child keeps its name: min_children is 2 at least")
+    spark = pages.sparkSession
     host, path = split_url(F.col(url_col).cast("string"))
     u = pages.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), path.alias("path"))
     u = u.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
@@ -68,24 +75,30 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     paths = u.filter("host <> ''").groupBy(*key).agg(F.count("*").alias("n"), F.count("rule").alias("lab"), F.count_if(F.col("rule").isin(blocks)).alias("bad"))
     paths = materialize(paths, "paths")
     prior = paths.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("lab"), F.lit(0)) + 2.0)).alias("p")).first().p
-    live, done, d = paths.withColumn("g", F.lit("")), None, 0
-    while True:
-        live = live.withColumn("t", F.get("segs", F.lit(d)))
-        child = live.filter("t IS NOT NULL").groupBy("host", "g", "t").agg(*(F.sum(c).cast("double").alias(f"{c}c") for c in sums), F.count("*").alias("below"))
+    live, done = materialize(paths.withColumn("g", F.lit("")).withColumn("d", F.lit(0)), "level"), None
+    rest = lambda upto: F.array_join(F.transform(F.slice("segs", F.col("d") + 1, F.greatest(upto - F.col("d"), F.lit(0))), lambda s: F.concat(F.lit("/"), s)), "")
+    own = F.slice("segs", F.col("d") + 1, F.greatest(F.size("segs") - F.col("d"), F.lit(0)))
+    ref = F.slice("ref", F.col("d") + 1, F.greatest(F.size("ref") - F.col("d"), F.lit(0)))
+    differs = F.array_position(F.zip_with(own, ref, lambda x, y: x == y), F.lit(False))  # from 1; 0 for none
+    while not live.isEmpty():
+        # where a node's paths part: until then each has the name of its segment, as has all of a node with too few URLs for evidence
+        node = live.groupBy("host", "g").agg(F.sum("n").alias("here"), F.max(F.struct(F.size("segs").alias("size"), "segs"))["segs"].alias("ref"))
+        parts = live.join(node.filter(F.col("here") >= min(min_children, 2 * support)), ["host", "g"]).groupBy("host", "g").agg(F.min(F.when(differs > 0, F.col("d") + differs - 1)).cast("int").alias("b"))
+        at = live.join(parts, ["host", "g"], "left").withColumn("g", F.concat("g", rest(F.coalesce("b", F.size("segs"))))).withColumn("t", F.when(F.size("segs") > F.col("b"), F.get("segs", F.col("b"))))
+        at = materialize(at, "level")
+        part = at.filter("t IS NULL").select(*key, *sums, "g")
+        if done is None:
+            done = materialize(part, "paths")
+        else:
+            part.write.mode("append").parquet(done._lodestore_path)
+        child = at.filter("t IS NOT NULL").groupBy("host", "g", "t").agg(*(F.sum(c).cast("double").alias(f"{c}c") for c in sums))
         pool = child.groupBy("host", "g").agg(F.count("*").alias("k"), *(F.sum(f"{c}c").alias(f"{c}p") for c in sums))
         named = child.join(pool, ["host", "g"]).select("host", "g", "t", F.expr(_name("t", min_children, min_support, support, labels, z)).alias("name"))
-        # paths that a wildcard or merged name shares go on; one that is alone under its name is finished
-        alone = child.join(named, ["host", "g", "t"]).groupBy("host", "g", "name").agg(F.sum("below").alias("below"))
-        named = named.join(alone, ["host", "g", "name"])
-        level = live.join(named, ["host", "g", "t"], "left").withColumn("g", F.when(F.col("t").isNull(), F.col("g")).otherwise(F.concat("g", F.lit("/"), "name")))
-        rest = F.transform(F.slice("segs", d + 2, F.greatest(F.size("segs") - d - 1, F.lit(0))), lambda s: F.concat(F.lit("/"), s))
-        ended = F.col("t").isNull() | (F.size("segs") <= d + 1) | (F.col("below") == 1)
-        level = materialize(level.select(*key, *sums, F.when(ended & (F.size("segs") > d + 1), F.concat("g", F.array_join(rest, ""))).otherwise(F.col("g")).alias("g"), ended.alias("ended")), "level")
-        part = level.filter("ended").drop("ended")
-        done = part if done is None else done.unionByName(part)
-        live, d = level.filter("NOT ended").drop("ended"), d + 1
-        if live.isEmpty():
-            break
+        level = at.join(named, ["host", "g", "t"]).select(*key, *sums, F.concat("g", F.lit("/"), "name").alias("g"), (F.col("b") + 1).alias("d"))
+        before, live = live, materialize(level, "level")
+        discard(before)
+        discard(at)
+    done = paths.withColumn("g", F.lit("")) if done is None else spark.read.schema(done.schema).parquet(done._lodestore_path)
     tree = materialize(done.select(*key, *sums, F.concat("host", F.lit("/"), F.substring("g", 2, 1 << 30)).alias("template")), "tree")
     score = tree.groupBy("template").agg(F.sum("lab").alias("tlab"), F.sum("bad").alias("tbad"))
     score = score.select("template", "tlab", ((F.col("tbad") + F.lit(smoothing) * F.lit(prior)) / (F.col("tlab") + F.lit(smoothing))).alias("p"))

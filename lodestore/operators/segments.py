@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lodestore.functions import text as X
 from lodestore.operators.search import K1, B
-from lodestore.session import materialize
+from lodestore.session import discard, materialize
 from lodestore.sources import manifest as M
 
 #: no term that begins with a prefix is greater than the prefix and this
@@ -34,6 +34,13 @@ def name_tokens(name: Column) -> Column:
     return F.filter(F.split(F.lower(name), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
 
 
+def term_counts(toks: str) -> Column:
+    """array<struct<term, tf>> of a sorted array of terms, within the row: where a run of equal ones begins, and how long it is."""
+    at = F.filter(F.transform(toks, lambda t, i: F.when((i == 0) | (F.get(toks, i - 1) != t), i)), lambda i: i.isNotNull())
+    end = F.concat(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(toks)))
+    return F.zip_with(at, F.slice(end, 1, F.size(at)), lambda a, b: F.struct(F.get(toks, a).alias("term"), (b - a).alias("tf")))
+
+
 class SegmentIndex:
     """The index at a shared folder. ``tokens`` makes an array of terms of a text; ``files``: how many files a segment's postings are dealt to (None: by size, as AQE finds)."""
 
@@ -54,17 +61,18 @@ class SegmentIndex:
             return False
         at = F.col("at") if "at" in changes.columns else F.lit(0)
         last = F.max(F.struct(at.alias("at"), F.coalesce("deleted", F.lit(False)).alias("deleted"), F.coalesce(F.col("text"), F.lit("")).alias("text"))).alias("c")
-        changed = materialize(changes.groupBy("id").agg(last).select("id", "c.deleted", "c.text"), "changes")
+        counted = changes.groupBy("id").agg(last).select("id", "c.deleted", F.array_sort(F.when(F.col("c.deleted"), F.array().cast("array<string>")).otherwise(self.tokens(F.col("c.text")))).alias("toks"))
+        changed = materialize(counted.select("id", "deleted", F.size("toks").alias("dl"), term_counts("toks").alias("terms")), "changes")
         removed = self.documents().join(changed.select(F.col("id").alias("_id")), F.col("id").eqNullSafe(F.col("_id")), "left_semi").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         seq, state = self.state["seq"] + 1, dict(self.state)
-        toks = changed.filter("NOT deleted").select("id", self.tokens(F.col("text")).alias("toks"))
-        postings = toks.select("id", F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-        segment = self._write(toks.select("id", F.size("toks").cast("long").alias("dl")), postings, seq)
+        put = changed.filter("NOT deleted")
+        segment = self._write(put.select("id", "dl"), put.select("id", "dl", F.inline("terms")), seq)
         state["segments"] = [*state["segments"], segment] if segment["docs"] else state["segments"]
         if removed[0]:
             tomb = f"tomb-{uuid.uuid4().hex}"
             changed.select("id").write.parquet(f"{self.root}/{tomb}")
             state["tombs"] = [*state["tombs"], {"seq": seq, "path": tomb}]
+        discard(changed)
         self._publish(state | {"batch": batch, "seq": seq, "docs": state["docs"] + segment["docs"] - removed[0], "length": state["length"] + segment["length"] - removed[1]})
         self._merge()
         return True
@@ -79,7 +87,7 @@ class SegmentIndex:
         dealt.select("term", "id", "tf", "dl").sortWithinPartitions("term", "id").write.parquet(f"{base}/postings")
         terms = self.spark.read.schema(dealt.select("term").schema).parquet(f"{base}/postings")
         terms.groupBy(F.input_file_name().alias("file")).agg(F.min("term").alias("lo"), F.max("term").alias("hi")).write.parquet(f"{base}/ranges")
-        n, length = self.spark.read.schema("id long, dl long").parquet(f"{base}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        n, length = self.spark.read.schema("id long, dl int").parquet(f"{base}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         return {"seq": seq, "path": path, "docs": n, "length": length}
 
     def _publish(self, state: dict) -> None:
@@ -109,11 +117,11 @@ class SegmentIndex:
             self._publish(self.state | {"segments": left, "tombs": tombs})
 
     def _docs(self, segments: Sequence[dict]) -> DataFrame:
-        parts = [self.spark.read.schema("id long, dl long").parquet(f"{self.root}/{s['path']}/docs").withColumn("seq", F.lit(s["seq"])) for s in segments]
-        return reduce(DataFrame.unionByName, parts, self.spark.createDataFrame([], "id long, dl long, seq int")) if parts else self.spark.createDataFrame([], "id long, dl long, seq int")
+        parts = [self.spark.read.schema("id long, dl int").parquet(f"{self.root}/{s['path']}/docs").withColumn("seq", F.lit(s["seq"])) for s in segments]
+        return reduce(DataFrame.unionByName, parts, self.spark.createDataFrame([], "id long, dl int, seq int")) if parts else self.spark.createDataFrame([], "id long, dl int, seq int")
 
     def _postings(self, files: Sequence[tuple[dict, str]]) -> DataFrame:
-        schema = "term string, id long, tf long, dl long"
+        schema = "term string, id long, tf int, dl int"
         paths: dict[int, list[str]] = {}
         for s, f in files:
             paths.setdefault(s["seq"], []).append(f)

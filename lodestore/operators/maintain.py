@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestore.functions.text import blank, is_system_message, script_skeleton
-from lodestore.functions.vector import cosine
 
 DAY = 86_400
 #: days after which an entry of a class is stale
@@ -53,19 +54,39 @@ BLOCK_ROWS = 4096
 
 
 def similar_pairs(vectors: DataFrame, min_cos: float, blocks: int | None = None) -> DataFrame:
-    """(id1, id2, similarity) of all pairs with cosine above ``min_cos``, exactly.
+    """(id1, id2, similarity) of all pairs with cosine above ``min_cos``, exactly; vectors of one length.
 
-    The comparison of all with all is dealt by block pairs: each vector goes to the ``blocks``
-    cells of its row and column, each pair meets in one. Blocks grow with the table, so that a
-    cell holds some ``BLOCK_ROWS`` rows a side. For thresholds of near-duplicates use the
-    near-duplicate operators.
+    The comparison of all with all is dealt by pairs of blocks, each pair of blocks once: a vector
+    goes to ``blocks`` cells, and a cell is one matrix product in double precision. Blocks grow with
+    the table, so that a side of a cell holds some ``BLOCK_ROWS`` rows. Null vectors and null ids
+    take no part; a vector without length is similar to none. For thresholds of near-duplicates use
+    the near-duplicate operators.
     """
     blocks = blocks or max(8, -(-vectors.count() // BLOCK_ROWS))
-    v = vectors.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("g"))
-    cells = F.sequence(F.lit(0), F.lit(blocks - 1))
-    a = v.select(F.col("id").alias("id1"), F.col("vec").alias("v1"), F.col("g").alias("i"), F.explode(cells).alias("j"))
-    b = v.select(F.col("id").alias("id2"), F.col("vec").alias("v2"), F.explode(cells).alias("i"), F.col("g").alias("j"))
-    return a.join(b, ["i", "j"]).filter("id1 < id2").select("id1", "id2", F.round(cosine(F.col("v1"), F.col("v2")), 4).alias("similarity")).filter(F.col("similarity") > min_cos)
+    v = vectors.filter("id IS NOT NULL AND vec IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("g"))
+    cells = v.select("id", "vec", "g", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("c")).select("id", "vec", "g", F.least("g", "c").alias("i"), F.greatest("g", "c").alias("j"))
+    low = min_cos - 1e-4  # similarities are rounded to four places
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = key
+        side = pdf["g"].to_numpy()
+        x = np.array(pdf["vec"].tolist(), float).reshape(len(pdf), -1)
+        norm = np.sqrt((x * x).sum(1, keepdims=True))
+        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+        ids = pdf["id"].to_numpy(np.int64)
+        a, b = (side == i), (side == j)
+        found = []
+        ia, ib, xa, xb = ids[a], ids[b], x[a], x[b]
+        for at in range(0, len(ia), 1024):
+            cos = xa[at : at + 1024] @ xb.T
+            r, c = np.nonzero(cos > low)
+            one = pd.DataFrame({"id1": ia[at + r], "id2": ib[c], "similarity": cos[r, c]})
+            found.append(one[one["id1"] < one["id2"]] if i == j else one[one["id1"] != one["id2"]])
+        out = pd.concat(found) if found else pd.DataFrame({"id1": [], "id2": [], "similarity": []})
+        return pd.DataFrame({"id1": np.minimum(out["id1"], out["id2"]), "id2": np.maximum(out["id1"], out["id2"]), "similarity": out["similarity"]})
+
+    pairs = cells.groupBy("i", "j").applyInPandas(compare, "id1 long, id2 long, similarity double")
+    return pairs.withColumn("similarity", F.round("similarity", 4)).filter(F.col("similarity") > min_cos)
 
 
 #: sizes of the pieces by which topics that hold one another are found

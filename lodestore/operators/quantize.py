@@ -182,20 +182,42 @@ def cache_stats(packed: DataFrame) -> DataFrame:
     return p.agg(F.count("*").alias("vectors"), F.sum("b").alias("bytes"), F.sum("f").alias("full_bytes")).withColumn("saved_pct", F.round((1 - F.col("bytes") / F.col("full_bytes")) * 100, 1))
 
 
-def similarity_correlation(vectors: DataFrame, bits: int = 3, blocks: int = 4, sample: int = 20_000) -> DataFrame:
-    """One row (pairs, pearson): full against quantized inner products of all pairs of a sample, met in block cells.
+def similarity_correlation(vectors: DataFrame, bits: int = 3) -> DataFrame:
+    """One row (pairs, pearson): full against quantized inner products of all pairs of vectors of one length.
 
-    A statistic, not a join: of more than ``sample`` vectors the first by a hash of their ids are taken.
+    No pair is made: the sums over pairs of x, y, x², y² and xy are sums over vectors. With f and a
+    the full and the quantized vectors, the sum of (f_i·f_j)(a_i·a_j) over all i, j is the sum of the
+    squares of the matrix that adds up f_i a_i', and likewise for the others.
     """
-    vectors = vectors.orderBy(F.xxhash64("id"), "id").limit(sample)
     back = dequantize_vectors(quantize_vectors(vectors, bits), bits).withColumnRenamed("vec", "approx")
-    v = vectors.select(F.col("id"), F.col("vec").cast("array<double>").alias("full")).join(back, "id").withColumn("g", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    cells = F.sequence(F.lit(0), F.lit(blocks - 1))
-    a = v.select(F.col("id").alias("i1"), F.col("full").alias("f1"), F.col("approx").alias("a1"), F.col("g").alias("i"), F.explode(cells).alias("j"))
-    b = v.select(F.col("id").alias("i2"), F.col("full").alias("f2"), F.col("approx").alias("a2"), F.explode(cells).alias("i"), F.col("g").alias("j"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, p: t + p)
-    p = a.join(b, ["i", "j"]).filter("i1 < i2").select(dot("f1", "f2").alias("x"), dot("a1", "a2").alias("y"))
-    return p.agg(F.count("*").alias("pairs"), F.round(F.corr("x", "y"), 4).alias("pearson"))
+    v = vectors.select("id", F.col("vec").cast("array<double>").alias("full")).join(back, "id").select("full", "approx")
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                f, a = np.array(pdf["full"].tolist(), float), np.array(pdf["approx"].tolist(), float)
+                ff, aa = (f * f).sum(1), (a * a).sum(1)
+                fa = (f * a).sum(1)
+                own = np.array([len(f), ff.sum(), aa.sum(), (ff * ff).sum(), (aa * aa).sum(), (ff * aa).sum(), fa.sum()])
+                one = np.concatenate([own, f.sum(0), a.sum(0), (f.T @ f).ravel(), (a.T @ a).ravel(), (f.T @ a).ravel()])
+                total = one if total is None else total + one
+        if total is not None:
+            yield pd.DataFrame({"at": np.arange(len(total)), "x": total})
+
+    parts = v.mapInPandas(sums, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").toPandas()["x"].to_numpy()
+    if not len(parts) or parts[0] < 2:
+        return vectors.sparkSession.createDataFrame([(0, None)], "pairs long, pearson double")
+    n, ff, aa, ffff, aaaa, ffaa, _ = parts[:7]
+    dim = (-2 + int(round((4 + 12 * (len(parts) - 7)) ** 0.5))) // 6  # 2 d + 3 d² numbers
+    sf, sa = parts[7 : 7 + dim], parts[7 + dim : 7 + 2 * dim]
+    gf, ga, gx = (parts[7 + 2 * dim + k * dim * dim :][: dim * dim] for k in range(3))
+    pairs = n * (n - 1) / 2
+    x, y = ((sf @ sf) - ff) / 2, ((sa @ sa) - aa) / 2
+    xx, yy, xy = ((gf @ gf) - ffff) / 2, ((ga @ ga) - aaaa) / 2, ((gx @ gx) - ffaa) / 2
+    bottom = (pairs * xx - x * x) * (pairs * yy - y * y)
+    pearson = round(float((pairs * xy - x * y) / bottom**0.5), 4) if bottom > 0 else None
+    return vectors.sparkSession.createDataFrame([(int(pairs), pearson)], "pairs long, pearson double")
 
 
 def as_text(packed: DataFrame) -> DataFrame:

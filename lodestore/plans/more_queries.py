@@ -95,6 +95,11 @@ def _(s, d):
     return G.project_stats(G.all_projects({f"p{i}": t.filter(F.col("src") % 2 == i) for i in (0, 1)}))
 
 
+@query("similarity_correlation_3bit")
+def _(s, d):
+    return V.similarity_correlation(_vecs(s, d), 3)
+
+
 @query("similarity_correlation")
 def _(s, d):
     return V.similarity_correlation(_vecs(s, d), 6)

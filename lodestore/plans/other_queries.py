@@ -87,6 +87,20 @@ def _(s, d):
     return tools.get_corpus_snapshot(tools.Store(D.findings(s, d), D.table(s, d, "benchmark")))
 
 
+SNAPSHOT = """WITH f AS (
+  SELECT doc_id AS id, source AS cluster, 1704067200 + doc_id * 3600 AS epoch, '- ' || substring(text, 1, 60) || ': ' || CASE WHEN len(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END AS line FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY epoch DESC, id) AS ord FROM f),
+u AS (SELECT *, sum(len(line) + 1) OVER (ORDER BY ord, cluster DESC ROWS UNBOUNDED PRECEDING) AS upto FROM r)
+SELECT cluster, ord, id, md5(line) AS line FROM u WHERE upto <= 9000"""
+
+
+@query("snapshot_budget", SNAPSHOT)
+def _(s, d):
+    """The newest documents of each source within a budget that forces the largest sources to lose their oldest."""
+    f = D.findings(s, d)
+    return P.snapshot(f, f.select("id", F.element_at("tags", 2).alias("cluster")), 9000).select("cluster", "ord", "id", F.md5("line").alias("line"))
+
+
 PAIR = """t AS (SELECT regexp_extract_all(text, '(\\s*)([a-zA-Z]+(?:''[a-zA-Z]+)*|\\d+(?:\\.\\d+)?|\\S)') AS g FROM benchmark),
 x AS (SELECT unnest(list_zip(g[1:-2], g[2:])) AS p FROM t WHERE len(g) > 1)
 SELECT regexp_replace(p[1], '^\\s+', '') AS a, substring(p[2], 2) AS b, count(*) AS n FROM x WHERE regexp_matches(p[2], '^ \\S') GROUP BY ALL"""

@@ -209,16 +209,16 @@ NOW = 1_712_000_000
 SELECT 'stale' AS task, count(*) AS n FROM findings WHERE ({NOW} - epoch) / 86400.0::DOUBLE > CASE staleness WHEN 'volatile' THEN 14 WHEN 'versioned' THEN 60 END
 UNION ALL SELECT 'duplicates', count(*) FROM k JOIN g USING (k) UNION ALL SELECT 'missing_vectors', count(*) FROM findings WHERE id NOT IN (SELECT vec_id FROM embeddings)
 UNION ALL SELECT 'orphan_vectors', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT id FROM findings)
+UNION ALL SELECT 'similar', count(*) FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) > 0.3
 UNION ALL SELECT 'kept_triples', count(*) FROM triples WHERE (s IN (SELECT 'cust_' || id FROM findings)) OR (o IN (SELECT 'cust_' || id FROM findings))""")
 def _(s, d):
-    """How much each task would touch, but for the comparison of all vectors (``pairwise_similarity``)."""
+    """How much each task would touch."""
     f = D.findings(s, d).withColumn("entities", F.array(F.concat(F.lit("cust_"), F.col("id").cast("string"))))
     store = tools.Store(f, f, vectors=D.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), triples=D.triples(s, d))
     out = None
-    for task, rows in tools.run_maintenance(store, NOW).items():
-        if task != "similar":
-            one = rows.agg(F.count("*").alias("n")).select(F.lit(task).alias("task"), "n")
-            out = one if out is None else out.unionByName(one)
+    for task, rows in tools.run_maintenance(store, NOW, 0.3).items():
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(task).alias("task"), "n")
+        out = one if out is None else out.unionByName(one)
     return out
 
 

@@ -6,11 +6,11 @@ block's share of it. Each block is a range join: a tree of median splits, fitted
 sample, deals the block's points to tiles; a vector is at home in one and visits those lower
 ones that its block's radius reaches. Within a tile the same kind of tree orders the rows, and
 leaves whose boxes lie too far apart are never compared. A pair is counted only in the first
-block where it qualifies, so no pair list is kept or made distinct.
+block where it qualifies, so pairs aren't made distinct; only those at the very threshold are listed.
 
 Coordinates travel as 16-bit integers, for which distances are exact and differ from the true
 ones by a known bound: pairs beyond the bound on either side are decided in place; those within
-it are checked on the vectors themselves in double precision.
+it are written out, a tile's at a time, and checked on the vectors themselves in double precision.
 """
 
 from __future__ import annotations

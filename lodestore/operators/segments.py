@@ -59,9 +59,12 @@ class SegmentIndex:
         """
         if batch <= self.state["batch"]:
             return False
-        at = F.col("at") if "at" in changes.columns else F.lit(0)
-        last = F.max(F.struct(at.alias("at"), F.coalesce("deleted", F.lit(False)).alias("deleted"), F.coalesce(F.col("text"), F.lit("")).alias("text"))).alias("c")
-        counted = changes.groupBy("id").agg(last).select("id", "c.deleted", F.array_sort(F.when(F.col("c.deleted"), F.array().cast("array<string>")).otherwise(self.tokens(F.col("c.text")))).alias("toks"))
+        one = changes
+        if not changes.groupBy("id").count().filter("count > 1").isEmpty():  # else no text need be shuffled to find an id's last change
+            one = self._last(changes)
+        deleted = F.coalesce(F.col("deleted"), F.lit(False))
+        toks = F.when(deleted, F.array().cast("array<string>")).otherwise(self.tokens(F.coalesce("text", F.lit(""))))
+        counted = one.select("id", deleted.alias("deleted"), F.sort_array(toks).alias("toks"))
         changed = materialize(counted.select("id", "deleted", F.size("toks").alias("dl"), term_counts("toks").alias("terms")), "changes")
         removed = self.documents().join(changed.select(F.col("id").alias("_id")), F.col("id").eqNullSafe(F.col("_id")), "left_semi").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         seq, state = self.state["seq"] + 1, dict(self.state)
@@ -77,6 +80,12 @@ class SegmentIndex:
         self._merge()
         return True
 
+    @staticmethod
+    def _last(changes: DataFrame) -> DataFrame:
+        at = F.col("at") if "at" in changes.columns else F.lit(0)
+        last = F.max(F.struct(at.alias("at"), F.coalesce("deleted", F.lit(False)).alias("deleted"), F.coalesce(F.col("text"), F.lit("")).alias("text"))).alias("c")
+        return changes.groupBy("id").agg(last).select("id", "c.deleted", "c.text")
+
     def _write(self, docs: DataFrame, postings: DataFrame, seq: int) -> dict:
         """Write a segment's files; nobody reads them before they are published."""
         path = f"seg-{uuid.uuid4().hex}"

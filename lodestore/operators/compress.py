@@ -76,8 +76,8 @@ def _joined(text: str | None, slots: _Slots) -> tuple[list[str], np.ndarray, np.
     return toks, np.fromiter((g == " " for g, _ in found[1:]), bool, len(toks) - 1), slots.of(toks).astype(np.int64)
 
 
-def slot_counts(texts: DataFrame, text_col: str = "text") -> np.ndarray:
-    """How often tokens with one space between meet, by the hash value of both: no less than the count of any pair that has it."""
+def slot_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(slot, n): how often tokens with one space between meet, by the hash value of both: no less than the count of any pair that has it."""
     slots = SLOTS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,18 +91,26 @@ def slot_counts(texts: DataFrame, text_col: str = "text") -> np.ndarray:
             yield pd.DataFrame({"slot": at, "n": n[at]})
 
     python_path(texts.sparkSession)
-    found = texts.select(F.col(text_col).cast("string").alias("text")).mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
-    out = np.zeros(slots, np.int64)
-    out[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return texts.select(F.col(text_col).cast("string").alias("text")).mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+
+
+def _slots_with(counts: DataFrame, least: int) -> np.ndarray:
+    """Bits, lowest first, of the slots that count ``least`` or more; they come to the driver as bitmaps, an eighth of ``SLOTS`` bytes at most."""
+    s = counts.filter(F.col("n") >= least).select((F.col("slot") + 1).alias("s"))
+    parts = s.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect()
+    size = 4096  # bytes of one bitmap
+    out = np.zeros(max(SLOTS // 8, size), np.uint8)
+    for r in parts:
+        out[(r.b - 1) * size : r.b * size] = np.frombuffer(r.m, np.uint8)
     return out
 
 
-def _pieces(texts: DataFrame, text_col: str, counts: np.ndarray, least: int) -> DataFrame:
+def _pieces(texts: DataFrame, text_col: str, counts: DataFrame, least: int) -> DataFrame:
     """(toks, n): the runs of tokens with one space between, divided where the two tokens surely meet less than ``least`` times; equal ones are counted together."""
-    slots, kept = len(counts), np.packbits(counts >= least)
+    slots, kept = SLOTS, _slots_with(counts, least)
 
     def divide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hot, hashes = np.unpackbits(kept).view(bool), _Slots(slots)
+        hot, hashes = np.unpackbits(kept, bitorder="little").view(bool), _Slots(slots)
         for pdf in batches:
             found: dict[tuple[str, ...], int] = {}
             for text in pdf["text"]:
@@ -169,10 +177,9 @@ def train(texts: DataFrame, text_col: str = "text", merges: int = 512, min_count
     after another to the pieces and counts what each changes; the counts tell up to where the
     foresight was right, and the first merge that it missed.
     """
-    counts = slot_counts(texts, text_col)
+    counts = materialize(slot_counts(texts, text_col), "slots")
     joined: list[tuple[str, str]] = []
-    most = np.sort(counts)[::-1]
-    least = max(min_count, int(most[min(2 * merges, len(most) - 1)]))
+    least = max(min_count, counts.orderBy(F.desc("n")).limit(2 * merges).agg(F.min("n")).first()[0] or 0)
     while len(joined) < merges:
         pieces, done = materialize(_pieces(texts, text_col, counts, least), "pieces"), 0
         guess: list[tuple[str, str]] = []
@@ -195,6 +202,7 @@ def train(texts: DataFrame, text_col: str = "text", merges: int = 512, min_count
         if least <= min_count:
             break
         least = max(min_count, least // 4)  # fewer runs are divided, and what is merged already is merged in them too
+    discard(counts)
     return joined[:merges]
 
 

@@ -90,10 +90,10 @@ class SegmentIndex:
         """Write a segment's files; nobody reads them before they are published."""
         path = f"seg-{uuid.uuid4().hex}"
         base = f"{self.root}/{path}"
-        docs.write.parquet(f"{base}/docs")
+        docs.write.option("compression", "zstd").parquet(f"{base}/docs")
         by = [F.col("term"), F.col("id")]  # a term of very many documents is split by these
         dealt = postings.repartitionByRange(self.files, *by) if self.files else postings.repartitionByRange(*by)
-        dealt.select("term", "id", "tf", "dl").sortWithinPartitions("term", "id").write.parquet(f"{base}/postings")
+        dealt.select("term", "id", "tf", "dl").sortWithinPartitions("term", "id").write.option("compression", "zstd").parquet(f"{base}/postings")
         terms = self.spark.read.schema(dealt.select("term").schema).parquet(f"{base}/postings")
         terms.groupBy(F.input_file_name().alias("file")).agg(F.min("term").alias("lo"), F.max("term").alias("hi")).write.parquet(f"{base}/ranges")
         n, length = self.spark.read.schema("id long, dl int").parquet(f"{base}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()

@@ -51,7 +51,7 @@ def _(s, d):
     docs = D.table(s, d, "documents")
     for part, text, gone in CHANGES:
         batch = docs.filter(part).select(F.col("doc_id").alias("id"), F.expr(text).alias("text"), F.expr(gone).alias("deleted"))
-        batch.write.mode("append").parquet(f"{base}/changes")
+        batch.write.mode("append").option("compression", "zstd").parquet(f"{base}/changes")
         G.follow(G.SegmentIndex(s, f"{base}/index", fanout=3), s.readStream.schema(batch.schema).parquet(f"{base}/changes"), f"{base}/checkpoint")
     return S.top(G.SegmentIndex(s, f"{base}/index").bm25(SEARCHES), 20, ["qid"]).withColumnRenamed("id", "doc_id")
 

@@ -3,7 +3,9 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from lodestore.operators import requests as R
 from lodestore.plans import catalog
 
 
@@ -28,3 +30,15 @@ def test_backfill_makes_what_the_first_run_passed_over(spark, sf, copies):
     assert one["left_over"] > 0 and one["first_time"] > 0 and one["second_time"] == 0
     two = catalog.QUERIES["backfilled_triples"](spark, copies("part", "p_partkey", 300)).first()
     assert [two[c] for c in one.asDict()] == [2 * one[c] for c in one.asDict()]
+
+
+def test_canonical_requests_reads_events(spark, sf):
+    q = catalog.QUERIES["canonical_requests"](spark, sf)
+    assert scanned(q) == {"events.parquet"} and q.count() == 1000
+    assert 0 < q.filter("same_as < id").count() < 1000
+
+
+def test_bodies_that_ask_the_same(spark):
+    bodies = ['{"stream":true,"model":"m","user":"u","messages":[1]}', '{"messages":[1],"model":"m"}', '{"model":"n","messages":[1],"temperature":0.5}']
+    a, b, c = (r[0] for r in spark.createDataFrame([(x,) for x in bodies], "body string").select(R.canonical_json(F.col("body"))).collect())
+    assert a == b != c

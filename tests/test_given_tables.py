@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestore.operators import requests as R
+from lodestore.operators import sessions as S
 from lodestore.plans import catalog
 
 
@@ -42,3 +43,15 @@ def test_bodies_that_ask_the_same(spark):
     bodies = ['{"stream":true,"model":"m","user":"u","messages":[1]}', '{"messages":[1],"model":"m"}', '{"model":"n","messages":[1],"temperature":0.5}']
     a, b, c = (r[0] for r in spark.createDataFrame([(x,) for x in bodies], "body string").select(R.canonical_json(F.col("body"))).collect())
     assert a == b != c
+
+
+def test_chain_overlap_reads_events(spark, sf):
+    q = catalog.QUERIES["chain_overlap"](spark, sf)
+    assert scanned(q) == {"events.parquet"} and q.count() > 2
+    assert q.filter("overlap < 1").count() and q.filter("a_chains > 1").count()
+
+
+def test_overlap_of_chains(spark):
+    chains = lambda *rows: spark.createDataFrame([(i, s.split("|")) for i, s in rows], "id long, steps array<string>")
+    a, b = chains((1, "a|b|c"), (2, "a|x"), (3, "q|r|s|t")), chains((10, "b|a|c"), (11, "x|a|y"), (12, "r|q|t|s"), (13, "z"))
+    assert sorted(map(tuple, S.chain_overlap(a, b).collect())) == [(1, 10, 1.0), (3, 12, 1.0)]

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lodestore.functions import text as X
 from lodestore.operators import requests as R
 from lodestore.operators import sessions as S
 from lodestore.plans import catalog
@@ -55,3 +56,13 @@ def test_overlap_of_chains(spark):
     chains = lambda *rows: spark.createDataFrame([(i, s.split("|")) for i, s in rows], "id long, steps array<string>")
     a, b = chains((1, "a|b|c"), (2, "a|x"), (3, "q|r|s|t")), chains((10, "b|a|c"), (11, "x|a|y"), (12, "r|q|t|s"), (13, "z"))
     assert sorted(map(tuple, S.chain_overlap(a, b).collect())) == [(1, 10, 1.0), (3, 12, 1.0)]
+
+
+def test_command_tags_reads_events(spark, sf):
+    q = catalog.QUERIES["command_tags"](spark, sf)
+    assert scanned(q) == {"events.parquet"} and q.count() == 1000
+
+
+def test_tags_of_commands(spark):
+    got = spark.createDataFrame(GQ.COMMANDS, GQ.CMD_SCHEMA).select("id", X.command_tags(F.col("command")).alias("tags")).collect()
+    assert {r["id"]: r["tags"] for r in got} == GQ.TAGS

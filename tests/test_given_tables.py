@@ -66,3 +66,14 @@ def test_command_tags_reads_events(spark, sf):
 def test_tags_of_commands(spark):
     got = spark.createDataFrame(GQ.COMMANDS, GQ.CMD_SCHEMA).select("id", X.command_tags(F.col("command")).alias("tags")).collect()
     assert {r["id"]: r["tags"] for r in got} == GQ.TAGS
+
+
+def test_command_templates_reads_events(spark, sf):
+    q = catalog.QUERIES["command_templates"](spark, sf)
+    assert scanned(q) == {"events.parquet"} and q.count() == 1000
+    assert q.filter("normal LIKE '%{{PARAM}}%'").count() >= 250
+
+
+def test_templates_of_commands(spark):
+    got = spark.createDataFrame(GQ.COMMANDS, GQ.CMD_SCHEMA).select("id", X.template_only(F.col("command")).alias("t")).select("id", "t", X.normalize_template(F.col("t"))).collect()
+    assert sorted(map(tuple, got)) == sorted(GQ.TEMPLATES)

@@ -5,10 +5,12 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lodestore.functions import extract as E
 from lodestore.functions import text as X
 from lodestore.operators import requests as R
 from lodestore.operators import sessions as S
 from lodestore.plans import catalog
+from lodestore.plans import graph_queries as GQ
 
 
 def scanned(df):
@@ -77,3 +79,12 @@ def test_command_templates_reads_events(spark, sf):
 def test_templates_of_commands(spark):
     got = spark.createDataFrame(GQ.COMMANDS, GQ.CMD_SCHEMA).select("id", X.template_only(F.col("command")).alias("t")).select("id", "t", X.normalize_template(F.col("t"))).collect()
     assert sorted(map(tuple, got)) == sorted(GQ.TEMPLATES)
+
+
+def test_cooccurrence_reads_part(spark, sf, copies):
+    n = catalog.QUERIES["cooccurrence"](spark, sf).count()
+    assert n > len(GQ.TOGETHER) and catalog.QUERIES["cooccurrence"](spark, copies("part", "p_partkey", 300)).count() == 2 * n
+
+
+def test_cooccurrences_of_texts(spark):
+    assert sorted(map(tuple, E.cooccurrences(spark.createDataFrame(GQ.TEXTS, GQ.TEXT_SCHEMA)).collect())) == sorted(GQ.TOGETHER)

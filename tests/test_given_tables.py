@@ -88,3 +88,10 @@ def test_cooccurrence_reads_part(spark, sf, copies):
 
 def test_cooccurrences_of_texts(spark):
     assert sorted(map(tuple, E.cooccurrences(spark.createDataFrame(GQ.TEXTS, GQ.TEXT_SCHEMA)).collect())) == sorted(GQ.TOGETHER)
+
+
+def test_endpoint_kinds_reads_events(spark, sf):
+    q = catalog.QUERIES["endpoint_kinds"](spark, sf)
+    assert scanned(q) == {"events.parquet"} and q.count() == 1000
+    kinds = {"/v1/embeddings": "embedding", "/v1/responses": "responses", "/v1/completions": "completion", "/v1/messages": "chat"}
+    assert {r["path"]: r["kind"] for r in q.select("path", "kind").distinct().collect() if r["path"] in kinds} == kinds

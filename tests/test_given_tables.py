@@ -95,3 +95,13 @@ def test_endpoint_kinds_reads_events(spark, sf):
     assert scanned(q) == {"events.parquet"} and q.count() == 1000
     kinds = {"/v1/embeddings": "embedding", "/v1/responses": "responses", "/v1/completions": "completion", "/v1/messages": "chat"}
     assert {r["path"]: r["kind"] for r in q.select("path", "kind").distinct().collect() if r["path"] in kinds} == kinds
+
+
+def test_entity_extract_reads_part(spark, sf):
+    q = catalog.QUERIES["entity_extract"](spark, sf)
+    assert scanned(q) == {"part.parquet"} and q.select("id").distinct().count() > 100
+
+
+def test_entities_of_texts(spark):
+    got = spark.createDataFrame(GQ.TEXTS, GQ.TEXT_SCHEMA).select("id", E.entities("text").alias("es")).collect()
+    assert {r["id"]: r["es"] for r in got if r["es"]} == GQ.FOUND

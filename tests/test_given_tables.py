@@ -105,3 +105,14 @@ def test_entity_extract_reads_part(spark, sf):
 def test_entities_of_texts(spark):
     got = spark.createDataFrame(GQ.TEXTS, GQ.TEXT_SCHEMA).select("id", E.entities("text").alias("es")).collect()
     assert {r["id"]: r["es"] for r in got if r["es"]} == GQ.FOUND
+
+
+def test_entity_types_reads_part(spark, sf):
+    q = catalog.QUERIES["entity_types"](spark, sf)
+    assert scanned(q) == {"part.parquet"} and q.count() == 200
+    assert {r["type"] for r in q.select("type").distinct().collect()} == set(GQ.TYPES)
+
+
+def test_types_of_names(spark):
+    got = spark.createDataFrame([(n,) for n in GQ.NAMES], "name string").select(E.entity_type("name")).collect()
+    assert [r[0] for r in got] == GQ.TYPES

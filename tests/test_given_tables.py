@@ -116,3 +116,13 @@ def test_entity_types_reads_part(spark, sf):
 def test_types_of_names(spark):
     got = spark.createDataFrame([(n,) for n in GQ.NAMES], "name string").select(E.entity_type("name")).collect()
     assert [r[0] for r in got] == GQ.TYPES
+
+
+def test_file_paths_reads_part(spark, sf):
+    q = catalog.QUERIES["file_paths"](spark, sf)
+    assert scanned(q) == {"part.parquet"} and q.count() == 200
+
+
+def test_paths_of_texts(spark):
+    t = spark.createDataFrame([("see src/App.tsx and lib/x.py, lib/x.py",), (".js",)], "t string")
+    assert [r[0] for r in t.select(X.file_paths(t["t"])).collect()] == [["src/App.tsx", "lib/x.py"], []]

@@ -126,3 +126,14 @@ def test_file_paths_reads_part(spark, sf):
 def test_paths_of_texts(spark):
     t = spark.createDataFrame([("see src/App.tsx and lib/x.py, lib/x.py",), (".js",)], "t string")
     assert [r[0] for r in t.select(X.file_paths(t["t"])).collect()] == [["src/App.tsx", "lib/x.py"], []]
+
+
+def test_formatted_figures_reads_events(spark, sf):
+    q = catalog.QUERIES["formatted_figures"](spark, sf)
+    assert scanned(q) == {"events.parquet"} and q.count() == 1000
+
+
+def test_figures_of_numbers(spark):
+    v = spark.createDataFrame([(5, 12.0), (1500, 75.0), (2_500_000, 7200.0), (999, 3599.0)], "n long, secs double")
+    got = v.select(X.format_number(F.col("n")), X.format_duration(F.col("secs")), X.format_cost(F.col("n") / 1000)).collect()
+    assert list(map(tuple, got)) == [("5", "12 sec", "$0.01"), ("1.5K", "1 min", "$1.50"), ("2.5M", "2.0 hrs", "$2500.00"), ("999", "60 min", "$1.00")]
